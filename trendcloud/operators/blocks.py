@@ -28,8 +28,8 @@ def row_order(columns: list[str]) -> list[Column]:
 
 def _chunk() -> Column:
     # Rows without a day sort first, so they form the first chunk.
-    chunk = F.floor(F.unix_date("time") / F.lit(CHUNK_DAYS)).cast("int")
-    return F.coalesce(chunk, F.lit(-(2**31)))
+    chunk = F.expr(f"unix_date(time) div {CHUNK_DAYS}")
+    return F.coalesce(chunk, F.lit(-(2**63)))
 
 
 def series_chunks(bars: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def split_series(bars: DataFrame, block_rows: int, before: int, after: int) -> D
     in_chunk = Window.partitionBy("ticker", "_chunk").orderBy(*row_order(bars.columns))
     position = F.col("_start") + F.row_number().over(in_chunk) - F.lit(1)
     numbered = placed.withColumn(POSITION, position).drop("_chunk", "_start")
-    block = F.floor(F.col(POSITION) / F.lit(size))
+    block = F.expr(f"{POSITION} div {size}")
     offset = F.col(POSITION) % F.lit(size)
     targets = F.array_compact(
         F.array(

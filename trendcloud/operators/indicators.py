@@ -1,8 +1,8 @@
 """The five-line indicator and its projected cloud.
 
 A bar table holds every series; a series is the rows of one ticker in the order
-of `time`. All lines come out of one exchange by ticker, one sort and two passes
-of the window operator. Bars are daily and `(ticker, time)` is a key, so a
+of `time`. All lines come out of one exchange by ticker and one sort, which every
+pass of the window operator shares. Bars are daily and `(ticker, time)` is a key, so a
 series has at most one row per calendar day and fits a task; series that break
 this (or are simply too long) take `block_rows`, see `blocks.py`.
 """
@@ -10,6 +10,7 @@ this (or are simply too long) take `block_rows`, see `blocks.py`.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -49,29 +50,94 @@ class Layout:
         return Layout(order, place)
 
 
-def midpoint(order: WindowSpec, n: int) -> Column:
-    """(highest high + lowest low) / 2 of the last n rows, the current one included.
+# Frames are walked row by row, so only short ones are used as they are; a longer
+# window is put together from shorter ones that end on earlier rows.
+FRAME_ROWS = 10
+PIECES = 4
 
-    NULL unless all n rows are there and none lacks its high or low.
-    """
-    require_window(n)
+
+def _frame(bars: DataFrame, order: WindowSpec, n: int, also: dict[str, Column]) -> DataFrame:
+    """Add `_high{n}` and `_low{n}` over the last n rows, NULL unless n whole rows are there."""
     frame = order.rowsBetween(-(n - 1), 0)
-    present = F.count(F.col("high") + F.col("low")).over(frame)
-    return F.when(
-        present == n, (F.max("high").over(frame) + F.min("low").over(frame)) / F.lit(2.0)
+    whole = F.count(F.col("high") + F.col("low")).over(frame) == n
+    return bars.withColumns(
+        {
+            f"_high{n}": F.when(whole, F.max("high").over(frame)),
+            f"_low{n}": F.when(whole, F.min("low").over(frame)),
+        }
+        | also
+    )
+
+
+def _widen(df: DataFrame, order: WindowSpec, m: int, n: int) -> DataFrame:
+    """Add `_high{n}` and `_low{n}` from windows of m rows, m < n.
+
+    The last n rows are covered by windows of m rows ending on this row, m rows
+    earlier and so on; highest and lowest do not mind that the last two overlap.
+    """
+    ends = [*range(0, n - m, m), n - m]
+
+    def piece(side: str, end: int) -> str:
+        return f"_{side}{m}_{end}" if end else f"_{side}{m}"
+
+    added = {
+        piece(side, end): F.lag(f"_{side}{m}", end).over(order)
+        for side in ("high", "low")
+        for end in ends
+        if end
+    }
+    # High and low of a piece are NULL together.
+    whole = reduce(lambda a, b: a & b, [F.col(piece("high", end)).isNotNull() for end in ends])
+    wider = {
+        f"_high{n}": F.when(whole, F.greatest(*[piece("high", end) for end in ends])),
+        f"_low{n}": F.when(whole, F.least(*[piece("low", end) for end in ends])),
+    }
+    return df.withColumns(added).withColumns(wider).drop(*added)
+
+
+def with_midpoints(
+    bars: DataFrame,
+    order: WindowSpec,
+    lines: dict[str, int],
+    also: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Add each line of `lines`: (highest high + lowest low) / 2 of its last n rows.
+
+    The current row is one of them. A line is NULL unless all n rows are there
+    and none lacks its high or low. `also` are window expressions over the same
+    order that share the first pass. All passes use one sort.
+    """
+    for name, n in lines.items():
+        require_window(n, name)
+    lengths = sorted(set(lines.values()))
+    at = min(lengths[0], FRAME_ROWS)
+    df = _frame(bars, order, at, also or {})
+    for n in lengths:
+        while n > at:
+            longer = n if n <= PIECES * at else (PIECES - 1) * at
+            df = _widen(df, order, at, longer)
+            at = longer
+    return df.withColumns(
+        {
+            name: (F.col(f"_high{n}") + F.col(f"_low{n}")) / F.lit(2.0)
+            for name, n in lines.items()
+        }
     )
 
 
 def _add_line(bars: DataFrame, name: str, n: int) -> DataFrame:
     bars = without_nan(bars)
-    return bars.withColumn(name, midpoint(Layout.by_series(bars.columns).order, n))
+    order = Layout.by_series(bars.columns).order
+    return with_midpoints(bars, order, {name: n}).select(*bars.columns, name)
 
 
 def tenkan_sen(bars: DataFrame, n: int = 9) -> DataFrame:
+    """The short midpoint."""
     return _add_line(bars, "tenkan_sen", n)
 
 
 def kijun_sen(bars: DataFrame, n: int = 26) -> DataFrame:
+    """The middle midpoint."""
     return _add_line(bars, "kijun_sen", n)
 
 
@@ -130,16 +196,9 @@ def extend_horizon(bars: DataFrame, shift: int = 26) -> DataFrame:
     return _project(placed, shift, {}).select(*bars.columns, "is_projected")
 
 
-def _spans(
-    bars: DataFrame, layout: Layout, shift: int, lines: dict[str, Column], moved: dict[str, Column]
-) -> DataFrame:
-    """Add `lines`, and the `moved` values `shift` rows later, to the longer series.
-
-    `lines` are window expressions and share one pass with the row numbering;
-    `moved` are made from them and take a second pass over the same order.
-    """
-    first = bars.withColumns(lines | layout.place)
-    valued = first.withColumns({f"_{name}": value for name, value in moved.items()})
+def _moved(df: DataFrame, layout: Layout, shift: int, moved: dict[str, Column]) -> DataFrame:
+    """The longer series with the `moved` values `shift` rows later."""
+    valued = df.withColumns({f"_{name}": value for name, value in moved.items()})
     lagged = valued.withColumns(
         {name: F.lag(f"_{name}", shift).over(layout.order) for name in moved}
     )
@@ -153,11 +212,9 @@ def senkou_span_a(
     require_shift(shift)
     bars = without_nan(bars)
     layout = Layout.by_series(bars.columns)
-    lines = {
-        "_conversion": midpoint(layout.order, conversion_len),
-        "_base": midpoint(layout.order, base_len),
-    }
-    out = _spans(bars, layout, shift, lines, {"senkou_span_a": _mean("_conversion", "_base")})
+    lines = {"_conversion": conversion_len, "_base": base_len}
+    lined = with_midpoints(bars, layout.order, lines, layout.place)
+    out = _moved(lined, layout, shift, {"senkou_span_a": _mean("_conversion", "_base")})
     return out.select(*bars.columns, "senkou_span_a", "is_projected")
 
 
@@ -166,8 +223,8 @@ def senkou_span_b(bars: DataFrame, n: int = 52, shift: int = 26) -> DataFrame:
     require_shift(shift)
     bars = without_nan(bars)
     layout = Layout.by_series(bars.columns)
-    lines = {"_leading": midpoint(layout.order, n)}
-    out = _spans(bars, layout, shift, lines, {"senkou_span_b": F.col("_leading")})
+    lined = with_midpoints(bars, layout.order, {"_leading": n}, layout.place)
+    out = _moved(lined, layout, shift, {"senkou_span_b": F.col("_leading")})
     return out.select(*bars.columns, "senkou_span_b", "is_projected")
 
 
@@ -192,18 +249,18 @@ def ichimoku_cloud(
     else:
         bars = blocks.split_series(bars, block_rows, params.rows_before, params.rows_after)
         layout = Layout.by_block()
-    order = layout.order
     lines = {
-        "tenkan_sen": midpoint(order, params.conversion_len),
-        "kijun_sen": midpoint(order, params.base_len),
-        "chikou_span": F.lead("close", params.lagging_len).over(order),
-        "_leading": midpoint(order, params.leading_span_b_len),
+        "tenkan_sen": params.conversion_len,
+        "kijun_sen": params.base_len,
+        "_leading": params.leading_span_b_len,
     }
+    lead = F.lead("close", params.lagging_len).over(layout.order)
+    lined = with_midpoints(bars, layout.order, lines, {"chikou_span": lead} | layout.place)
     moved = {
         "senkou_span_a": _mean("tenkan_sen", "kijun_sen"),
         "senkou_span_b": F.col("_leading"),
     }
-    out = _spans(bars, layout, params.cloud_shift, lines, moved)
+    out = _moved(lined, layout, params.cloud_shift, moved)
     if block_rows is not None:
         out = out.filter(F.col(blocks.OWN))
     color = cloud_color(F.col("senkou_span_a"), F.col("senkou_span_b"))

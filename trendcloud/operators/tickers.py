@@ -21,9 +21,8 @@ def clean_ticker(name: Column) -> Column:
     return F.regexp_replace(F.upper(name), _OUTER_SPACE, "")
 
 
-def refusal(name: Column) -> Column:
-    """Why a name is refused; NULL for a name that is accepted."""
-    clean = clean_ticker(name)
+def refusal(name: Column, clean: Column) -> Column:
+    """Why a name, cleaned to `clean`, is refused; NULL for one that is accepted."""
     return (
         F.when(name.isNull() | (name == ""), F.lit(NOT_A_STRING))
         .when(~F.length(clean).between(1, 5), F.lit(BAD_LENGTH))
@@ -36,14 +35,13 @@ def refusal(name: Column) -> Column:
 
 def validate_tickers(df: DataFrame, col: str = "ticker") -> DataFrame:
     """Add the cleaned `symbol` (NULL if refused), `is_valid` and `reason`."""
-    name = F.col(col)
-    reason = refusal(name)
-    return df.withColumns(
-        {
-            "symbol": F.when(reason.isNull(), clean_ticker(name)),
-            "is_valid": reason.isNull(),
-            "reason": reason,
-        }
+    # Two projections of their own, so that cleaning and judging run once per row.
+    cleaned = df.withColumn("_clean", clean_ticker(F.col(col)))
+    judged = cleaned.withColumn("reason", refusal(F.col(col), F.col("_clean")))
+    accepted = F.col("reason").isNull()
+    symbol = F.when(accepted, F.col("_clean"))
+    return judged.select(
+        *df.columns, symbol.alias("symbol"), accepted.alias("is_valid"), "reason"
     )
 
 

@@ -88,10 +88,9 @@ def collect_ingest(
         )
     )
     invalid = (
-        validate_tickers(landing.select("ticker"))
+        validate_tickers(landing.select("ticker").distinct())
         .filter("not is_valid")
         .select("ticker", "reason")
-        .distinct()
     )
     return Collected(report, invalid, merged)
 

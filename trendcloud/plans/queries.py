@@ -231,8 +231,9 @@ def _registry(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    names = tickers.validate_tickers(tables.landing(spark, sf_dir).select("ticker"))
-    return names.filter("is_valid").select(F.col("symbol").alias("ticker"))
+    names = tables.landing(spark, sf_dir).select("ticker").distinct()
+    valid = tickers.validate_tickers(names).filter("is_valid")
+    return valid.select(F.col("symbol").alias("ticker"))
 
 
 @query

@@ -6,10 +6,11 @@ listings, logs and so on. Each function here is a plain query over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendcloud.operators.access import access_records
+from trendcloud.schema import BAR_NAMES
 
 # Cents of a price fit below this, so order key and price make one sortable number.
 _PRICE_SLOTS = 1 << 24
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _daily(lines: DataFrame) -> DataFrame:
-    """Lines with `ticker` to one bar per ticker and shipping day.
+def _daily(lines: DataFrame, *keys: str) -> DataFrame:
+    """Lines to one bar per value of `keys` and shipping day.
 
     Open and close are the prices of the first and last line by (order key,
     price). Both buffers of min_by/max_by are plain numbers, so the aggregation
@@ -28,15 +29,15 @@ def _daily(lines: DataFrame) -> DataFrame:
     have the same price, so the result is the same on every run.
     """
     price = F.col("l_extendedprice")
-    slot = F.col("l_orderkey") * F.lit(_PRICE_SLOTS) + F.round(price * 100).cast("bigint")
+    cents = (price * 100 + 0.5).cast("bigint")
     return (
         lines.select(
-            "ticker",
+            *keys,
             F.col("l_shipdate").cast("date").alias("time"),
             price.alias("price"),
-            slot.alias("slot"),
+            (F.col("l_orderkey") * F.lit(_PRICE_SLOTS) + cents).alias("slot"),
         )
-        .groupBy("ticker", "time")
+        .groupBy(*keys, "time")
         .agg(
             F.min_by("price", "slot").alias("open"),
             F.max("price").alias("high"),
@@ -48,43 +49,44 @@ def _daily(lines: DataFrame) -> DataFrame:
 
 
 def brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lineitem = table(spark, sf_dir, "lineitem")
-    return lineitem.join(part, lineitem.l_partkey == part.p_partkey).withColumn(
-        "ticker", F.col("p_brand")
-    )
+    return lineitem.join(part, lineitem.l_partkey == part.p_partkey)
 
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few long series: one per brand."""
-    return _daily(brand_lines(spark, sf_dir))
+    return _daily(brand_lines(spark, sf_dir), "p_brand").withColumnRenamed("p_brand", "ticker")
 
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many shorter series: one per supplier."""
-    lines = table(spark, sf_dir, "lineitem")
-    return _daily(lines.withColumn("ticker", F.concat(F.lit("S"), F.col("l_suppkey"))))
-
-
-def _symbol(brand: str = "p_brand"):
-    return F.replace(F.col(brand), F.lit("#"), F.lit(""))
+    bars = _daily(table(spark, sf_dir, "lineitem"), "l_suppkey")
+    ticker = F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker")
+    return bars.select(ticker, *BAR_NAMES)
 
 
 def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing with series files, dated and undated snapshots and the registry.
 
     Per brand: one series file per year, one snapshot per shipping day, one
-    undated snapshot per return flag. All come out of one pass over the lines.
+    undated snapshot per return flag. The lines are read and counted once, by
+    brand, day and flag; only those counts are grouped in four ways.
     """
-    day = F.col("l_shipdate").cast("date")
-    lines = brand_lines(spark, sf_dir).select(
-        _symbol().alias("symbol"),
-        day.alias("day"),
-        F.year(day).alias("year"),
-        F.col("l_returnflag").alias("flag"),
-        "l_shipdate",
+    counted = (
+        brand_lines(spark, sf_dir)
+        .groupBy("p_brand", "l_shipdate", "l_returnflag")
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .select(
+            F.replace("p_brand", F.lit("#"), F.lit("")).alias("symbol"),
+            F.col("l_shipdate").cast("date").alias("day"),
+            F.year("l_shipdate").alias("year"),
+            F.col("l_returnflag").alias("flag"),
+            "lines",
+            "l_shipdate",
+        )
     )
-    grouped = lines.groupingSets(
+    grouped = counted.groupingSets(
         [["symbol", "day"], ["symbol", "year"], ["symbol", "flag"], []],
         "symbol",
         "day",
@@ -92,18 +94,20 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flag",
     ).agg(
         F.grouping_id().alias("grouping"),
-        F.count(F.lit(1)).alias("lines"),
+        F.sum("lines").alias("lines"),
         F.max("l_shipdate").alias("last_modified"),
     )
-    symbol, year = F.col("symbol"), F.col("year").cast("string")
+    grouping = F.col("grouping")
+
+    def named(prefix: str, column: str, suffix: str) -> Column:
+        value = F.col(column).cast("string")
+        return F.concat(F.lit(prefix), F.col("symbol"), F.lit("_"), value, F.lit(suffix))
+
     # Bits of the grouping number, from the left: symbol, day, year, flag; 1 = not grouped by.
     key = (
-        F.when(
-            F.col("grouping") == 0b0011,
-            F.concat(F.lit("cache/"), symbol, F.lit("_"), F.col("day").cast("string"), F.lit(".json")),
-        )
-        .when(F.col("grouping") == 0b0101, F.concat(F.lit("data/"), symbol, F.lit("_"), year, F.lit("_data.csv")))
-        .when(F.col("grouping") == 0b0110, F.concat(F.lit("cache/"), symbol, F.lit("_"), F.col("flag"), F.lit(".json")))
+        F.when(grouping == 0b0011, named("cache/", "day", ".json"))
+        .when(grouping == 0b0101, named("data/", "year", "_data.csv"))
+        .when(grouping == 0b0110, named("cache/", "flag", ".json"))
         .otherwise(F.lit("data/available_tickers.txt"))
     )
     return grouped.select(key.alias("key"), (F.col("lines") * 64).alias("size"), "last_modified")
@@ -115,7 +119,7 @@ def snapshot_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     It is dated on the last day of the month; months with an odd number of lines
     were stamped a day late.
     """
-    bar = F.struct(F.col("time").cast("string").alias("time"), "open", "high", "low", "close", "volume")
+    bar = F.struct(F.col("time").cast("string").alias("time"), *BAR_NAMES[1:])
     monthly = (
         brand_bars(spark, sf_dir)
         .groupBy("ticker", F.last_day("time").alias("cache_date"))
@@ -135,7 +139,8 @@ def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry text: a line per part of size 50, with blanks about and empty lines between."""
     large = F.col("p_size") == 50
     name = F.concat(F.lit(" B"), F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)), F.lit("\t"))
-    return table(spark, sf_dir, "part").select(F.when(large, name).otherwise(F.lit(" ")).alias("value"))
+    line = F.when(large, name).otherwise(F.lit(" "))
+    return table(spark, sf_dir, "part").select(line.alias("value"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +150,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"),
         F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(day).alias("Date"),
         F.col("l_extendedprice").alias("Open"),
-        F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("High"),
+        F.when(F.col("l_discount") == 0, F.lit(float("nan")))
+        .otherwise(F.col("l_extendedprice"))
+        .alias("High"),
         F.col("l_quantity").alias("Low"),
         F.col("l_extendedprice").alias("Close"),
         F.col("l_linenumber").alias("Volume"),
@@ -154,12 +161,15 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars as collected: untidy ticker names, and invalid ones for returned goods."""
+    lines = brand_lines(spark, sf_dir).withColumn("returned", F.col("l_returnflag") == "R")
     number = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2))
-    name = F.when(F.col("l_returnflag") == "R", F.col("p_brand")).otherwise(
+    name = F.when(F.col("returned"), F.col("p_brand")).otherwise(
         F.concat(F.lit(" b"), number, F.lit("\n"))
     )
-    lines = brand_lines(spark, sf_dir).withColumn("ticker", name)
-    return _daily(lines).withColumn("time", F.col("time").cast("string"))
+    bars = _daily(lines, "p_brand", "returned")
+    return bars.select(
+        name.alias("ticker"), F.col("time").cast("string").alias("time"), *BAR_NAMES[1:]
+    )
 
 
 def ticker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +194,8 @@ def ticker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as attempts: an `error` is one that failed."""
     user = F.col("user_id")
-    ip = F.concat_ws(".", F.lit("10.0"), (user / 256).cast("bigint").cast("string"), (user % 256).cast("string"))
+    upper, lower = F.floor(user / 256).cast("string"), (user % 256).cast("string")
+    ip = F.concat_ws(".", F.lit("10.0"), upper, lower)
     return access_records(
         table(spark, sf_dir, "events"),
         F.col("ts"),
