@@ -14,6 +14,13 @@ LIGHT_RED = "rgba(255,182,193,0.3)"
 COLOR_BULL = "rgba(38,166,154,0.9)"
 COLOR_BEAR = "rgba(239,83,80,0.9)"
 
+# Every character that counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 _ISO_DAY = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ].*)?$"
 
 
@@ -29,6 +36,11 @@ def parse_day(value: Column, fmt: str | None = None) -> Column:
     return F.try_to_date(F.regexp_extract(text, _ISO_DAY, 1), "yyyy-MM-dd")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end (`trim` alone knows only blanks)."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 

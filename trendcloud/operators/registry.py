@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendcloud.functions.columns import strip
+
 MAX_TICKERS = 100
 
 
 def registry_list(lines: DataFrame, col: str = "value") -> DataFrame:
     """Trimmed, non-empty entries in ascending order; repeats stay."""
-    name = F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
-    return lines.select(name.alias("ticker")).filter(F.col("ticker") != "").orderBy("ticker")
+    names = lines.select(strip(F.col(col)).alias("ticker"))
+    return names.filter(F.col("ticker") != "").orderBy("ticker")
 
 
 def registry_count(registry: DataFrame) -> DataFrame:

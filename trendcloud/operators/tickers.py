@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendcloud.functions.columns import join_keys
+from trendcloud.functions.columns import WHITE_SPACE, join_keys, strip
 
 # Refused names and the reasons given.
 BLACKLIST = ("TEST", "SPAM", "HACK", "NULL", "ADMIN", "DELETE", "DROP", "EXEC")
@@ -13,35 +13,44 @@ NOT_A_STRING = "Ticker must be a non-empty string"
 BAD_LENGTH = "Ticker must be 1-5 characters long"
 BAD_CHARACTERS = "Ticker must contain only letters and numbers"
 
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
 def clean_ticker(name: Column) -> Column:
     """Upper case without white space at either end (any kind, not only blanks)."""
-    return F.regexp_replace(F.upper(name), _OUTER_SPACE, "")
+    return strip(F.upper(name))
+
+
+def is_ticker(name: Column) -> Column:
+    """Whether a name is accepted.
+
+    One pattern on the name as it is: filters on it move down to the scan, where
+    an expression of several steps would be worked out again for each step.
+    """
+    space = f"[{WHITE_SPACE}]*"
+    pattern = f"^{space}(?!(?:{'|'.join(BLACKLIST)}){space}$)[A-Z0-9]{{1,5}}{space}$"
+    return F.coalesce(F.upper(name).rlike(pattern), F.lit(False))
 
 
-def refusal(name: Column, clean: Column) -> Column:
-    """Why a name, cleaned to `clean`, is refused; NULL for one that is accepted."""
+def refusal(name: Column) -> Column:
+    """Why a name is refused; NULL for one that is accepted."""
+    clean = clean_ticker(name)
     return (
-        F.when(name.isNull() | (name == ""), F.lit(NOT_A_STRING))
+        F.when(is_ticker(name), F.lit(None).cast("string"))
+        .when(name.isNull() | (name == ""), F.lit(NOT_A_STRING))
         .when(~F.length(clean).between(1, 5), F.lit(BAD_LENGTH))
-        .when(~clean.rlike(r"^[A-Z0-9]+$"), F.lit(BAD_CHARACTERS))
-        .when(
-            clean.isin(*BLACKLIST), F.concat(F.lit("Ticker '"), clean, F.lit("' is not allowed"))
-        )
+        .when(clean.isin(*BLACKLIST), F.concat(F.lit("Ticker '"), clean, F.lit("' is not allowed")))
+        .otherwise(F.lit(BAD_CHARACTERS))
     )
 
 
 def validate_tickers(df: DataFrame, col: str = "ticker") -> DataFrame:
     """Add the cleaned `symbol` (NULL if refused), `is_valid` and `reason`."""
-    # Two projections of their own, so that cleaning and judging run once per row.
-    cleaned = df.withColumn("_clean", clean_ticker(F.col(col)))
-    judged = cleaned.withColumn("reason", refusal(F.col(col), F.col("_clean")))
-    accepted = F.col("reason").isNull()
-    symbol = F.when(accepted, F.col("_clean"))
-    return judged.select(
-        *df.columns, symbol.alias("symbol"), accepted.alias("is_valid"), "reason"
+    name = F.col(col)
+    accepted = is_ticker(name)
+    return df.withColumns(
+        {
+            "symbol": F.when(accepted, clean_ticker(name)),
+            "is_valid": accepted,
+            "reason": refusal(name),
+        }
     )
 
 

@@ -131,7 +131,7 @@ _SNAPSHOT = f"""
 
 _LANDING = f"""
     landing AS (
-      {_bars("CASE WHEN l_returnflag = 'R' THEN p_brand ELSE 'B' || split_part(p_brand, '#', 2) END")}),
+      {_bars("CASE WHEN p_size > 40 THEN p_brand ELSE 'B' || split_part(p_brand, '#', 2) END")}),
     valid AS (SELECT * FROM landing WHERE NOT contains(ticker, '#')),
     collected AS (
       SELECT * FROM valid WHERE time >= DATE '1997-01-01' AND time < DATE '1997-12-31')"""

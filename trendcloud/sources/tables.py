@@ -160,16 +160,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars as collected: untidy ticker names, and invalid ones for returned goods."""
-    lines = brand_lines(spark, sf_dir).withColumn("returned", F.col("l_returnflag") == "R")
+    """Bars as collected: untidy ticker names, and invalid ones for large parts."""
     number = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2))
-    name = F.when(F.col("returned"), F.col("p_brand")).otherwise(
-        F.concat(F.lit(" b"), number, F.lit("\n"))
-    )
-    bars = _daily(lines, "p_brand", "returned")
-    return bars.select(
-        name.alias("ticker"), F.col("time").cast("string").alias("time"), *BAR_NAMES[1:]
-    )
+    untidy = F.concat(F.lit(" b"), number, F.lit("\n"))
+    name = F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(untidy)
+    part = table(spark, sf_dir, "part").select("p_partkey", name.alias("ticker"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    bars = _daily(lineitem.join(part, lineitem.l_partkey == part.p_partkey), "ticker")
+    return bars.withColumn("time", F.col("time").cast("string"))
 
 
 def ticker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
