@@ -21,8 +21,6 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-_ISO_DAY = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ].*)?$"
-
 
 def parse_day(value: Column, fmt: str | None = None) -> Column:
     """Text to DATE, NULL where it is not a day.
@@ -31,9 +29,7 @@ def parse_day(value: Column, fmt: str | None = None) -> Column:
     it; the day is the one written, whatever zone offset follows.
     """
     text = value.cast("string")
-    if fmt is not None:
-        return F.try_to_date(text, fmt)
-    return F.try_to_date(F.regexp_extract(text, _ISO_DAY, 1), "yyyy-MM-dd")
+    return text.try_cast("date") if fmt is None else F.try_to_date(text, fmt)
 
 
 def strip(text: Column) -> Column:

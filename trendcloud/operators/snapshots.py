@@ -21,7 +21,7 @@ RETENTION_DAYS = 7
 def key_date(key: Column) -> Column:
     """The date at the end of a snapshot's key; NULL if there is none."""
     tail = F.regexp_extract(base_name(key), r"(?:^|_)(\d{4}-\d{1,2}-\d{1,2})(?:\.json)?$", 1)
-    return F.try_to_date(tail, "yyyy-M-d")
+    return parse_day(tail)
 
 
 def snapshot_read(envelopes: DataFrame, as_of: date) -> DataFrame:
