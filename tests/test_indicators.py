@@ -203,18 +203,28 @@ def test_bad_parts(bars_of):
             call()
 
 
-def test_parts_equal_whole(bars_of):
-    series = {"A": random_bars(random.Random(10), 120, gaps=0.01), "B": random_bars(random.Random(11), 20)}
+@pytest.mark.parametrize("block_rows", [None, 30])
+def test_parts_equal_whole(bars_of, block_rows):
+    series = {
+        "A": random_bars(random.Random(10), 120, gaps=0.01),
+        "B": random_bars(random.Random(11), 20),
+    }
     bars = bars_of(series)
     whole = ichimoku_cloud(bars).cache()
     base = whole.filter("not is_projected")
     for name in ("tenkan_sen", "kijun_sen", "chikou_span"):
-        part = getattr(indicators, name)(bars).select("ticker", "time", name)
-        assert part.exceptAll(base.select(*part.columns)).count() == 0
+        part = getattr(indicators, name)(bars, block_rows=block_rows)
+        part = part.select("ticker", "time", name)
+        assert part.exceptAll(base.select(*part.columns)).count() == 0, name
+        assert part.count() == base.count()
     for name in ("senkou_span_a", "senkou_span_b"):
-        part = getattr(indicators, name)(bars).select("ticker", "time", name, "is_projected")
-        assert part.exceptAll(whole.select(*part.columns)).count() == 0
+        part = getattr(indicators, name)(bars, block_rows=block_rows)
+        part = part.select("ticker", "time", name, "is_projected")
+        assert part.exceptAll(whole.select(*part.columns)).count() == 0, name
         assert part.count() == whole.count()
+    longer = indicators.extend_horizon(bars, block_rows=block_rows)
+    assert longer.exceptAll(whole.select(*longer.columns)).count() == 0
+    assert longer.count() == whole.count()
 
 
 def test_long_series_take_blocks(bars_of):

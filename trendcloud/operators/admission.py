@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendcloud.functions.columns import join_keys
-
 LIMIT = 5
 WINDOW_SECONDS = 60
 
@@ -86,7 +85,7 @@ def _stretches(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
     marked = spans.withColumn("_opens", F.when(F.coalesce(quiet, F.lit(True)), F.col("_slice")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = marked.select(*keys, "_slice", F.max("_opens").over(upto).alias("_stretch"))
-    joined = join_keys(sliced, numbered, [*keys, "_slice"], "inner")
+    joined = sliced.join(numbered, [*keys, "_slice"])
     return joined.select(*keys, "_stretch", "_at", "_requests")
 
 
@@ -101,10 +100,15 @@ def admitted_instants(
     _check(limit, window_seconds)
     keys = list(keys)
     window = window_seconds * 1_000_000
-    instants = log.groupBy(*keys, _micros(ts).alias("_at")).agg(
-        F.count(F.lit(1)).alias("_requests")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
+    timed = log.filter(known).select(*keys, _micros(ts).alias("_at"))
+    # Always true, but it makes every use of the instants need the count: their
+    # shuffles are then the same, and Spark runs one for all.
+    counted = F.col("_requests") > 0
+    instants = (
+        timed.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_requests")).filter(counted)
     )
-    stretched = _stretches(instants.filter(F.col("_at").isNotNull()), keys, window)
+    stretched = _stretches(instants, keys, window)
     ordered = stretched.repartition(*keys, "_stretch").sortWithinPartitions(
         *keys, "_stretch", "_at"
     )
@@ -171,7 +175,10 @@ def admission_summary(
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
 ) -> DataFrame:
-    """Requests let in and refused per key, from the counted instants alone."""
+    """Requests let in and refused per key, from the counted instants alone.
+
+    Requests without a time or a key are not judged and not counted.
+    """
     verdicts = admitted_instants(log, keys, ts, limit, window_seconds)
     return verdicts.groupBy(*keys).agg(
         F.sum("_requests").alias("requests"),

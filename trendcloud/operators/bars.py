@@ -142,13 +142,14 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def last_bars(df: DataFrame) -> DataFrame:
-    """The last row of each series."""
+    """The last row of each series.
+
+    One max_by per column: their buffers are plain numbers, so Spark hashes (a
+    struct of the row would make it sort), and all of them pick the same row.
+    """
     rest = [c for c in df.columns if c not in ("ticker", "time")]
-    latest = F.max_by(F.struct(*rest), F.col("time"))
-    return (
-        df.groupBy("ticker")
-        .agg(F.max("time").alias("time"), latest.alias("_row"))
-        .select("ticker", "time", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return df.groupBy("ticker").agg(
+        F.max("time").alias("time"), *[F.max_by(c, "time").alias(c) for c in rest]
     )
 
 

@@ -62,5 +62,7 @@ def resolve_sources(sources: Sequence[tuple[str, DataFrame, bool]]) -> DataFrame
     ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
     winners = rows.groupBy("ticker").agg(F.min("_rank").alias("_rank"))
-    chosen = join_keys(rows, winners, ["ticker", "_rank"], "left_semi")
+    # Winners are unique, so this keeps rows as a semi join would, but a semi join
+    # would be copied into every source and settle the winners once for each.
+    chosen = join_keys(rows, winners, ["ticker", "_rank"], "inner")
     return chosen.drop("_rank").withColumn("label", source_label(F.col("source")))

@@ -125,28 +125,44 @@ def with_midpoints(
     )
 
 
-def _add_line(bars: DataFrame, name: str, n: int) -> DataFrame:
+def _lay_out(
+    bars: DataFrame, block_rows: int | None, before: int, after: int
+) -> tuple[DataFrame, Layout]:
+    """Rows ready for window passes that reach `before` and `after` rows far."""
     bars = without_nan(bars)
-    order = Layout.by_series(bars.columns).order
-    return with_midpoints(bars, order, {name: n}).select(*bars.columns, name)
+    if block_rows is None:
+        return bars, Layout.by_series(bars.columns)
+    return blocks.split_series(bars, block_rows, before, after), Layout.by_block()
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """Without the copies that blocks hold of their neighbours' rows."""
+    return df.filter(F.col(blocks.OWN)) if blocks.OWN in df.columns else df
+
 
+def _line(bars: DataFrame, name: str, n: int, block_rows: int | None) -> DataFrame:
+    require_window(n, name)
+    laid, layout = _lay_out(bars, block_rows, n - 1, 0)
+    lined = with_midpoints(laid, layout.order, {name: n})
+    return _own(lined).select(*bars.columns, name)
 
-def tenkan_sen(bars: DataFrame, n: int = 9) -> DataFrame:
+
+def tenkan_sen(bars: DataFrame, n: int = 9, block_rows: int | None = None) -> DataFrame:
     """The short midpoint."""
-    return _add_line(bars, "tenkan_sen", n)
+    return _line(bars, "tenkan_sen", n, block_rows)
 
 
-def kijun_sen(bars: DataFrame, n: int = 26) -> DataFrame:
+def kijun_sen(bars: DataFrame, n: int = 26, block_rows: int | None = None) -> DataFrame:
     """The middle midpoint."""
-    return _add_line(bars, "kijun_sen", n)
+    return _line(bars, "kijun_sen", n, block_rows)
 
 
-def chikou_span(bars: DataFrame, n: int = 26) -> DataFrame:
+def chikou_span(bars: DataFrame, n: int = 26, block_rows: int | None = None) -> DataFrame:
     """The close n rows ahead."""
     require_shift(n)
-    bars = without_nan(bars)
-    order = Layout.by_series(bars.columns).order
-    return bars.withColumn("chikou_span", F.lead("close", n).over(order))
+    laid, layout = _lay_out(bars, block_rows, 0, n)
+    led = laid.withColumn("chikou_span", F.lead("close", n).over(layout.order))
+    return _own(led).select(*bars.columns, "chikou_span")
 
 
 def _project(df: DataFrame, shift: int, moved: dict[str, Column]) -> DataFrame:
@@ -188,12 +204,14 @@ def _project(df: DataFrame, shift: int, moved: dict[str, Column]) -> DataFrame:
     return stepped.select(*out, projected.alias("is_projected"))
 
 
-def extend_horizon(bars: DataFrame, shift: int = 26) -> DataFrame:
+def extend_horizon(
+    bars: DataFrame, shift: int = 26, block_rows: int | None = None
+) -> DataFrame:
     """The bars and, after each series, `shift` days of which only the date is known."""
     require_shift(shift)
-    bars = without_nan(bars)
-    placed = bars.withColumns(Layout.by_series(bars.columns).place)
-    return _project(placed, shift, {}).select(*bars.columns, "is_projected")
+    laid, layout = _lay_out(bars, block_rows, 0, 0)
+    out = _project(laid.withColumns(layout.place), shift, {})
+    return _own(out).select(*bars.columns, "is_projected")
 
 
 def _moved(df: DataFrame, layout: Layout, shift: int, moved: dict[str, Column]) -> DataFrame:
@@ -206,26 +224,31 @@ def _moved(df: DataFrame, layout: Layout, shift: int, moved: dict[str, Column])
 
 
 def senkou_span_a(
-    bars: DataFrame, conversion_len: int = 9, base_len: int = 26, shift: int = 26
+    bars: DataFrame,
+    conversion_len: int = 9,
+    base_len: int = 26,
+    shift: int = 26,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Mean of the two shorter midpoints, `shift` rows later."""
     require_shift(shift)
-    bars = without_nan(bars)
-    layout = Layout.by_series(bars.columns)
+    before = max(conversion_len, base_len) - 1 + shift
+    laid, layout = _lay_out(bars, block_rows, before, 0)
     lines = {"_conversion": conversion_len, "_base": base_len}
-    lined = with_midpoints(bars, layout.order, lines, layout.place)
+    lined = with_midpoints(laid, layout.order, lines, layout.place)
     out = _moved(lined, layout, shift, {"senkou_span_a": _mean("_conversion", "_base")})
-    return out.select(*bars.columns, "senkou_span_a", "is_projected")
+    return _own(out).select(*bars.columns, "senkou_span_a", "is_projected")
 
 
-def senkou_span_b(bars: DataFrame, n: int = 52, shift: int = 26) -> DataFrame:
+def senkou_span_b(
+    bars: DataFrame, n: int = 52, shift: int = 26, block_rows: int | None = None
+) -> DataFrame:
     """The longest midpoint, `shift` rows later."""
     require_shift(shift)
-    bars = without_nan(bars)
-    layout = Layout.by_series(bars.columns)
-    lined = with_midpoints(bars, layout.order, {"_leading": n}, layout.place)
+    laid, layout = _lay_out(bars, block_rows, n - 1 + shift, 0)
+    lined = with_midpoints(laid, layout.order, {"_leading": n}, layout.place)
     out = _moved(lined, layout, shift, {"senkou_span_b": F.col("_leading")})
-    return out.select(*bars.columns, "senkou_span_b", "is_projected")
+    return _own(out).select(*bars.columns, "senkou_span_b", "is_projected")
 
 
 def _mean(a: str, b: str) -> Column:
@@ -238,33 +261,27 @@ def ichimoku_cloud(
     """All five lines and the cloud colour; further columns pass through.
 
     Per series there are `cloud_shift` projected rows more than bars. With
-    `block_rows` a series is worked on in blocks of that many rows, each with
-    copies of the few neighbours its windows reach, so that no task holds a whole
-    series; the result is the same.
+    `block_rows` (here and in the single lines) a series is worked on in blocks
+    of that many rows, each with copies of the few neighbours its windows reach,
+    so that no task holds a whole series; the result is the same.
     """
-    bars = without_nan(bars)
-    names = bars.columns
-    if block_rows is None:
-        layout = Layout.by_series(names)
-    else:
-        bars = blocks.split_series(bars, block_rows, params.rows_before, params.rows_after)
-        layout = Layout.by_block()
+    laid, layout = _lay_out(bars, block_rows, params.rows_before, params.rows_after)
     lines = {
         "tenkan_sen": params.conversion_len,
         "kijun_sen": params.base_len,
         "_leading": params.leading_span_b_len,
     }
     lead = F.lead("close", params.lagging_len).over(layout.order)
-    lined = with_midpoints(bars, layout.order, lines, {"chikou_span": lead} | layout.place)
+    lined = with_midpoints(laid, layout.order, lines, {"chikou_span": lead} | layout.place)
     moved = {
         "senkou_span_a": _mean("tenkan_sen", "kijun_sen"),
         "senkou_span_b": F.col("_leading"),
     }
-    out = _moved(lined, layout, params.cloud_shift, moved)
-    if block_rows is not None:
-        out = out.filter(F.col(blocks.OWN))
+    out = _own(_moved(lined, layout, params.cloud_shift, moved))
     color = cloud_color(F.col("senkou_span_a"), F.col("senkou_span_b"))
-    return out.withColumn("cloud_color", color).select(*names, *LINES, "cloud_color", "is_projected")
+    return out.withColumn("cloud_color", color).select(
+        *bars.columns, *LINES, "cloud_color", "is_projected"
+    )
 
 
 def ichimoku_for(
