@@ -10,6 +10,7 @@ from trendcloud import CloudParams, ichimoku_cloud, schema
 from trendcloud.operators import access, catalog, registry, snapshots
 from trendcloud.plans import jobs
 from trendcloud.sources import files
+from trendcloud.streaming.access import access_log_stream
 
 BAR = (1.5, 2.5, 0.5, 2.0, 10)
 
@@ -167,6 +168,18 @@ def test_access_log(spark, tmp_path):
     assert tuple(got) == ("A", "data_access", 6, 4, 2, datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 3))
 
 
+def test_access_log_stream(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    rows = [(datetime(2024, 1, 1, h), "A", "10.0.0.1", True, "data_access") for h in range(4)]
+    log = spark.createDataFrame(rows, schema.ACCESS_LOG)
+    log.write.parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(schema.ACCESS_LOG).parquet(source)
+        access_log_stream(stream, path, str(tmp_path / "checkpoint")).awaitTermination()
+    assert files.scan_access_log(spark, path).exceptAll(log).count() == 0
+    assert files.scan_access_log(spark, path).count() == 4
+
+
 LANDING = "ticker string, Date string, Open double, High double, Low double, Close double, Volume bigint"
 
 
