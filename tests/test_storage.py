@@ -48,6 +48,20 @@ def test_written_bars_replace_only_their_tickers(spark, bars_of, tmp_path, fmt):
     assert rows(files.scan_bars(spark, path, fmt)) == sorted(expect)
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_tickers_that_look_like_numbers(spark, bars_of, tmp_path, fmt):
+    bars = bars_of({"007": [BAR], "7": [BAR] * 2})
+    files.write_bars(bars, str(tmp_path / "bars"), fmt)
+    assert rows(files.scan_bars(spark, str(tmp_path / "bars"), fmt)) == rows(bars)
+    if fmt == "parquet":
+        jobs.indicator_job(spark, str(tmp_path / "bars"), str(tmp_path / "out"))
+        out = files.read_series(spark, str(tmp_path / "out"))
+        assert {r.ticker for r in out.collect()} == {"007", "7"}
+    files.snapshot_write(bars, str(tmp_path / "s"), date(2024, 5, 1))
+    got = files.scan_snapshot_table(spark, str(tmp_path / "s"), date(2024, 5, 1))
+    assert rows(got) == rows(bars)
+
+
 def envelope(stamp, ticker, *bars):
     data = [dict(zip(schema.BAR_NAMES, b)) for b in bars]
     return json.dumps({"timestamp": stamp, "ticker": ticker, "data": data, "count": len(data)})

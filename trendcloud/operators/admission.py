@@ -69,7 +69,7 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _check(limit: int, window_seconds: int) -> None:
+def check_rule(limit: int, window_seconds: int) -> None:
     if limit < 1 or window_seconds < 1:
         raise ValueError("limit and window must be at least 1")
 
@@ -101,7 +101,7 @@ def admitted_instants(
     window_seconds: int = WINDOW_SECONDS,
 ) -> DataFrame:
     """Per key and instant: `_requests` there were and `_admitted` that were let in."""
-    _check(limit, window_seconds)
+    check_rule(limit, window_seconds)
     keys = list(keys)
     window = window_seconds * 1_000_000
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])

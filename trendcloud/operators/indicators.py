@@ -9,7 +9,7 @@ this (or are simply too long) take `block_rows`, see `blocks.py`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -284,6 +284,12 @@ def ichimoku_cloud(
     )
 
 
+def cloud_parameters(cloud: DataFrame, params: CloudParams = CloudParams()) -> DataFrame:
+    """One row: the number of rows of a result and the lengths it was made with."""
+    echoed = [F.lit(value).cast("bigint").alias(name) for name, value in asdict(params).items()]
+    return cloud.agg(F.count(F.lit(1)).alias("count")).select("count", *echoed)
+
+
 def ichimoku_for(
     bars: DataFrame, params: CloudParams = CloudParams(), max_series_rows: int = 1_000_000
 ) -> DataFrame:

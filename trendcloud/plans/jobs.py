@@ -14,7 +14,12 @@ from trendcloud.operators.indicators import ichimoku_for
 from trendcloud.operators.registry import MAX_TICKERS, registry_merge
 from trendcloud.operators.tickers import validate_tickers
 from trendcloud.params import CloudParams
-from trendcloud.sources.files import ensure_checkpoint_dir, snapshot_write, write_bars
+from trendcloud.sources.files import (
+    ensure_checkpoint_dir,
+    read_series,
+    snapshot_write,
+    write_bars,
+)
 
 # The half-open range of days that is collected by default.
 START, END = "2024-01-01", "2024-12-31"
@@ -103,8 +108,7 @@ def indicator_job(
     fmt: str = "parquet",
 ) -> None:
     """Compute the indicator for a stored bar table and store it by ticker."""
-    bars = spark.read.format(fmt).load(bars_path)
-    write_bars(ichimoku_for(bars, params), out_path, fmt)
+    write_bars(ichimoku_for(read_series(spark, bars_path, fmt), params), out_path, fmt)
 
 
 def refresh_snapshot(provider: DataFrame, path: str, as_of: date) -> None:

@@ -238,6 +238,11 @@ def oracle_sql() -> dict[str, str]:
         "ichimoku_cloud": cloud,
         "ichimoku_blocks": cloud,
         "ichimoku_fast": f"WITH {_cloud(SUPPLIER_BARS, 5, 10, 10, 20, 10)} SELECT * FROM cloud",
+        "cloud_parameters": f"""WITH {_cloud(SUPPLIER_BARS, 5, 10, 10, 20, 10)}
+            SELECT count(*) AS count, CAST(5 AS BIGINT) AS conversion_len,
+                   CAST(10 AS BIGINT) AS base_len, CAST(10 AS BIGINT) AS lagging_len,
+                   CAST(20 AS BIGINT) AS leading_span_b_len, CAST(10 AS BIGINT) AS cloud_shift
+            FROM cloud""",
         "tenkan_sen": f"{bars} SELECT ticker, time, {_mid(9)} AS tenkan_sen FROM bars",
         "kijun_sen": f"{bars} SELECT ticker, time, {_mid(26)} AS kijun_sen FROM bars",
         "chikou_span": f"""{bars}

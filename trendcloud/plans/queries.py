@@ -96,6 +96,12 @@ def cloud_color(spark, sf_dir):
     )
 
 
+@query
+def cloud_parameters(spark, sf_dir):
+    cloud = indicators.ichimoku_cloud(tables.supplier_bars(spark, sf_dir), FAST)
+    return indicators.cloud_parameters(cloud, FAST)
+
+
 # Chart series
 
 

@@ -39,6 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 # Readers
 
 
+def read_series(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table stored by ticker, all columns; `ticker` is text even if it looks like a number."""
+    stored = spark.read.format(fmt).load(path).schema
+    ticker = T.StructField("ticker", T.StringType())
+    declared = [ticker if f.name == "ticker" else f for f in stored.fields]
+    return spark.read.schema(T.StructType(declared)).format(fmt).load(path)
+
+
 def scan_bars(spark: SparkSession, path: str, fmt: str = "csv", glob: str | None = None) -> DataFrame:
     """Bars of every file below `path`.
 
@@ -48,7 +56,7 @@ def scan_bars(spark: SparkSession, path: str, fmt: str = "csv", glob: str | None
     """
     ticker = T.StructField("ticker", T.StringType())
     if fmt != "csv":
-        return normalize_bars(spark.read.format(fmt).load(path), schema.BAR_NAMES)
+        return normalize_bars(read_series(spark, path, fmt), schema.BAR_NAMES)
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)

@@ -1,8 +1,7 @@
 """Admission as a stream: verdicts as requests come in.
 
-State per key is the last `limit` admitted instants. It lives in the state store
-and is dropped by an event-time timer once the window has passed, so what is kept
-follows the keys that are active, not the log.
+State per key is the last `limit` admitted instants, a few numbers in the state
+store.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, Admission
+from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, Admission, check_rule
 
 STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
 
@@ -27,19 +26,23 @@ def admission_stream(
     ts: str,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    lateness: str = "1 minute",
+    lateness: str | None = None,
 ) -> DataFrame:
     """The streaming log with `admitted`.
 
     Requests are judged in the order in which micro-batches bring them, inside a
-    batch in the order of `ts`.
+    batch in the order of `ts`. Every request gets its verdict, and a key's state
+    stays. With `lateness` a key's state goes once the window has passed in event
+    time; Spark then leaves out requests that come later than that.
     """
+    check_rule(limit, window_seconds)
     window = window_seconds * 1_000_000
     timed = log.withColumn("_time", F.col(ts).cast("timestamp")).withColumn(
         "_at", F.unix_micros("_time")
     )
     schema = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
     columns = log.columns
+    expires = lateness is not None
 
     def judge(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
@@ -55,19 +58,20 @@ def admission_stream(
         passing = kept.admit(at, requests)
         number = rows.groupby("_at").cumcount().to_numpy()
         yield rows[columns].assign(admitted=number < passing[inverse])
-        if kept.admitted:
-            state.update((kept.admitted,))
-            expiry = (max(kept.admitted) + window) // 1000
+        if not kept.admitted:
+            return
+        state.update((kept.admitted,))
+        if expires:
+            expiry = (max(kept.admitted) + window) // 1000 + 1
             if expiry > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(expiry)
+            else:
+                state.remove()
 
-    return (
-        timed.withWatermark("_time", lateness)
-        .groupBy(*keys)
-        .applyInPandasWithState(
-            judge, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    if expires:
+        timed = timed.withWatermark("_time", lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(judge, schema, STATE, "append", timeout)
 
 
 def audit_files(
@@ -81,6 +85,7 @@ def audit_files(
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
     batch_bytes: int = 1 << 30,
+    lateness: str | None = None,
 ) -> DataFrame:
     """Judge all Parquet files of a folder as a stream, then read the verdicts back.
 
@@ -98,7 +103,7 @@ def audit_files(
     if columns is not None:
         log = log.select(*columns)
     run = (
-        admission_stream(log, keys, ts, limit, window_seconds)
+        admission_stream(log, keys, ts, limit, window_seconds, lateness)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{target}/verdicts")
