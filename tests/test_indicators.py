@@ -246,10 +246,11 @@ def test_blocks_of_sparse_series_and_unknown_days(spark):
         for i in range(200)
     ]
     rows += [("A", None, 1.0, 2.0 + i, 1.0, 1.0, 1) for i in range(3)]
+    rows += [(None, *row[1:]) for row in rows[:50]]
     bars = spark.createDataFrame(rows, schema.BARS)
     params = CloudParams(3, 5, 4, 9, 6)
     plain, cut = ichimoku_cloud(bars, params), ichimoku_cloud(bars, params, block_rows=16)
-    assert plain.count() == 209
+    assert plain.count() == 209 + 56
     assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
 
 

@@ -32,22 +32,28 @@ def _chunk() -> Column:
     return F.coalesce(chunk, F.lit(-(2**63)))
 
 
+def _series() -> Column:
+    # Rows without a ticker are a series too; as text they meet in a plain equi-join,
+    # which shares its exchange with the numbering.
+    return F.coalesce(F.col("ticker"), F.lit("\x00"))
+
+
 def series_chunks(bars: DataFrame) -> DataFrame:
-    """Per (ticker, chunk): position of its first row, rows and last day of the series.
+    """Per (series, chunk): position of its first row, rows and last day of the series.
 
     A series has no more chunks than the calendar has, so the windows here are
     small whatever the number of bars.
     """
     sizes = (
-        bars.select("ticker", "time", _chunk().alias("_chunk"))
-        .groupBy("ticker", "_chunk")
+        bars.select(_series().alias("_series"), "time", _chunk().alias("_chunk"))
+        .groupBy("_series", "_chunk")
         .agg(F.count(F.lit(1)).alias("_size"), F.max("time").alias("_end"))
     )
-    order = Window.partitionBy("ticker").orderBy("_chunk")
+    order = Window.partitionBy("_series").orderBy("_chunk")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return sizes.select(
-        "ticker",
+        "_series",
         "_chunk",
         (F.sum("_size").over(upto) - F.col("_size")).alias("_start"),
         F.sum("_size").over(whole).alias(TOTAL),
@@ -62,11 +68,11 @@ def split_series(bars: DataFrame, block_rows: int, before: int, after: int) -> D
     block can need a row. Copies carry `_own = false`.
     """
     size = max(block_rows, before, after, 1)
-    chunked = bars.withColumn("_chunk", _chunk())
-    placed = chunked.join(series_chunks(bars), ["ticker", "_chunk"])
-    in_chunk = Window.partitionBy("ticker", "_chunk").orderBy(*row_order(bars.columns))
+    chunked = bars.withColumns({"_series": _series(), "_chunk": _chunk()})
+    placed = chunked.join(series_chunks(bars), ["_series", "_chunk"])
+    in_chunk = Window.partitionBy("_series", "_chunk").orderBy(*row_order(bars.columns))
     position = F.col("_start") + F.row_number().over(in_chunk) - F.lit(1)
-    numbered = placed.withColumn(POSITION, position).drop("_chunk", "_start")
+    numbered = placed.withColumn(POSITION, position).drop("_series", "_chunk", "_start")
     block = F.expr(f"{POSITION} div {size}")
     offset = F.col(POSITION) % F.lit(size)
     targets = F.array_compact(
