@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.common import table
+from trendcloud.llm.substring_dedup import cut_repeats
+from trendcloud.llm.token_counts import token_counts
+
+#: Tokens above which op2 marks a document.
+TOKEN_LIMIT = 512
+
+
+def _vocabulary(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +26,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it has more than the limit."""
+    counts = token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that an earlier document's 50-word windows cover, and what is left."""
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", digest)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_counts": op2_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
