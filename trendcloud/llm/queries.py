@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.common import table
+from trendcloud.llm.ngram_join import ngram_groups
 from trendcloud.llm.substring_dedup import cut_repeats
 from trendcloud.llm.token_counts import token_counts
 
@@ -32,6 +33,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-word shingles, and its group at 80 % Jaccard."""
+    return ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every text that an earlier document's 50-word windows cover, and what is left."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
@@ -42,6 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
+    "op7_ngram_join": op7_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
