@@ -11,9 +11,13 @@ from trendcloud.llm.common import table
 from trendcloud.llm.ngram_join import ngram_groups
 from trendcloud.llm.substring_dedup import cut_repeats
 from trendcloud.llm.token_counts import token_counts
+from trendcloud.llm.token_files import read_token_files, write_token_files
+from trendcloud.sources.files import scratch_dir
 
 #: Tokens above which op2 marks a document.
 TOKEN_LIMIT = 512
+#: The id that ends a document in op9's files.
+END_ID = 1
 
 
 def _vocabulary(name: str) -> str:
@@ -38,6 +42,15 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every text's ids to seekable files and read all documents back."""
+    folder = scratch_dir(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    write_token_files(docs, folder, _vocabulary("word_bpe_49k.json"), END_ID)
+    read = read_token_files(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every text that an earlier document's 50-word windows cover, and what is left."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
@@ -49,6 +62,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
     "op7_ngram_join": op7_ngram_join,
+    "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
