@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.common import table
 from trendcloud.llm.ngram_join import ngram_groups
+from trendcloud.llm.quality import quality_scores
 from trendcloud.llm.substring_dedup import cut_repeats
 from trendcloud.llm.token_counts import token_counts
 from trendcloud.llm.token_files import read_token_files, write_token_files
@@ -37,6 +38,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labels that are not held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of 5-word shingles, and its group at 80 % Jaccard."""
     return ngram_groups(table(spark, sf_dir, "documents"))
@@ -61,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_ngram_join": op7_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
