@@ -10,6 +10,7 @@ from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.common import table
 from trendcloud.llm.ngram_join import ngram_groups
 from trendcloud.llm.quality import quality_scores
+from trendcloud.llm.quality_rules import apply_rules
 from trendcloud.llm.substring_dedup import cut_repeats
 from trendcloud.llm.token_counts import token_counts
 from trendcloud.llm.token_files import read_token_files, write_token_files
@@ -43,6 +44,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of every text, the base test, and the learned decision list's verdict."""
+    judged = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of 5-word shingles, and its group at 80 % Jaccard."""
     return ngram_groups(table(spark, sf_dir, "documents"))
@@ -68,6 +76,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
