@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.common import table
+from trendcloud.llm.neighbours import nearest
 from trendcloud.llm.ngram_join import ngram_groups
 from trendcloud.llm.quality import quality_scores
 from trendcloud.llm.quality_rules import apply_rules
@@ -44,6 +45,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found of every 20th, by inner product."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts of every text, the base test, and the learned decision list's verdict."""
     judged = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_nearest": op5_nearest,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op9_token_files": op9_token_files,
