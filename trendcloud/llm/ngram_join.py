@@ -411,3 +411,22 @@ def ngram_groups(
         F.col("size").alias("n_shingles"),
         F.coalesce("least", "id").alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The documents that have the smallest id of their group; the columns are those of `docs`.
+
+    Rows that share an id are one document and stay or go together; rows without
+    an id stay.
+    """
+    groups = ngram_groups(docs.select(id_col, text_col), id_col, text_col, words, percent)
+    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(first, F.col(id_col).cast("long") == F.col("__first"), "left_semi")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
