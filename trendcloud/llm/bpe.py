@@ -37,7 +37,7 @@ from trendcloud.llm.common import offsets, pieces, ranges, shuffle_partitions
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text in a block: what one task holds when it puts documents together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,17 +60,29 @@ class Distinct(dict):
         return number
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
+def pack_numbers(numbers: np.ndarray) -> bytes:
     """Numbers below 2^32; their bytes of equal weight lie together and compress well."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def unpack_codes(packed: bytes) -> np.ndarray:
+def unpack_numbers(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
+    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 1)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
 def _blocks_of(pattern: str, parts: int, block_bytes: int, schema: pa.Schema):
     """Texts to blocks; a block's words are ordered by the part that will merge them."""
 
@@ -81,35 +93,40 @@ def _blocks_of(pattern: str, parts: int, block_bytes: int, schema: pa.Schema):
 
         def block(ids: list, counts: list[int], codes: list[np.ndarray], words: Distinct):
             nonlocal made
-            names = [w.encode() for w in words]
-            part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in names), np.int64, len(names))
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            used, first = np.unique(part[order], return_index=True)
-            made += 1
             flat = np.concatenate(codes)
+            # Frequent words get small numbers, which compress best.
+            common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            number = np.empty(len(common), np.int64)
+            number[common] = np.arange(len(common))
+            names = sorted((xxhash.xxh3_64_intdigest(w := x.encode()) % parts, w, i) for x, i in words.items())
+            place = np.empty(len(names), np.int64)
+            place[number[[i for _, _, i in names]]] = np.arange(len(names))
+            part = np.fromiter((p for p, _, _ in names), np.int64, len(names))
+            used, first = np.unique(part, return_index=True)
+            at = [*first.tolist(), len(names)]
+            asked = [pack_words([w for _, w, _ in names[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+            made += 1
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([task + made - 1], pa.int64()),
                     pa.array([pa.concat_arrays(ids)], schema.field("ids").type),
                     pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([pack_codes(place[flat])], pa.binary()),
-                    pa.array([[names[i] for i in order]], pa.list_(pa.binary())),
+                    pa.array([pack_numbers(number[flat])], pa.binary()),
+                    pa.array([pack_numbers(place)], pa.binary()),
+                    pa.array([asked], pa.list_(pa.binary())),
                     pa.array([used.tolist()], pa.list_(pa.int32())),
-                    pa.array([[*first.tolist(), len(names)]], pa.list_(pa.int32())),
                 ],
                 schema=schema,
             )
 
         ids, counts, codes, words, size = [], [], [], Distinct(), 0
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 128):
             keys, texts = batch.column(0), batch.column(1)
             ids.append(keys)
             for text in texts.to_pylist():
                 tokens = find(text or "")
                 counts.append(len(tokens))
-                codes.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+                codes.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
             size += texts.nbytes
             if size >= block_bytes:
                 yield block(ids, counts, codes, words)
@@ -123,19 +140,9 @@ def _blocks_of(pattern: str, parts: int, block_bytes: int, schema: pa.Schema):
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's words as one row for each part."""
     for batch in pieces(batches, 1):
-        block = batch.column("block")[0].as_py()
-        used = batch.column("parts")[0].as_py()
-        at = batch.column("bounds")[0].as_py()
-        words = batch.column("words")[0].values
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(used, pa.int32()),
-                pa.array([block] * len(used), pa.int64()),
-                pa.array(at[:-1], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(at, pa.int32()), words),
-            ],
-            names=["part", "block", "first", "words"],
-        )
+        parts, asked = batch.column("parts").flatten(), batch.column("asked").flatten()
+        block = pa.array([batch.column("block")[0].as_py()] * len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays([parts, block, asked], names=["part", "block", "words"])
 
 
 def _merge(ranks: dict[bytes, int]):
@@ -144,20 +151,20 @@ def _merge(ranks: dict[bytes, int]):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = merger(ranks)
         known: dict[bytes, bytes] = {}
-        for batch in pieces(batches, 64):
+        for batch in pieces(batches, 16):
             lengths, ids = [], []
-            for words in batch.column("words"):
+            for packed in batch.column("words").to_pylist():
                 own = []
-                for word in words.values.to_pylist():
+                for word in unpack_words(packed):
                     merged = known.get(word)
                     if merged is None:
                         merged = known[word] = np.array(merge(word.decode()), "<u4").tobytes()
                     own.append(merged)
-                lengths.append(np.fromiter(map(len, own), "<u4", len(own)).tobytes())
-                ids.append(b"".join(own))
+                lengths.append(pack_numbers(np.fromiter(map(len, own), np.int64, len(own)) // 4))
+                ids.append(pack_numbers(np.frombuffer(b"".join(own), "<u4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("first"), pa.array(lengths), pa.array(ids)],
-                names=["block", "first", "lengths", "merged"],
+                [batch.column("part"), batch.column("block"), pa.array(lengths), pa.array(ids)],
+                names=["part", "block", "lengths", "merged"],
             )
 
     return answer
@@ -165,23 +172,20 @@ def _merge(ranks: dict[bytes, int]):
 
 def _assemble(id_type: pa.DataType):
     def assemble(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("first")
-        packs = zip(answers["lengths"].to_pylist(), answers["merged"].to_pylist(), strict=True)
-        lengths, merged = [], []
-        for a, b in packs:
-            lengths.append(np.frombuffer(a, "<u4") // 4)
-            merged.append(np.frombuffer(b, "<u4").astype(np.int32))
-        lengths = np.concatenate([np.zeros(0, np.uint32), *lengths]).astype(np.int64)
-        merged = np.concatenate([np.zeros(0, np.int32), *merged])
-        starts = offsets(lengths)[:-1]
+        answers = answers.sort_by("part")  # as the block's words are ordered
+        none = np.zeros(0, np.int64)
+        lengths = np.concatenate([none, *map(unpack_numbers, answers["lengths"].to_pylist())])
+        merged = [unpack_numbers(x).astype(np.int32) for x in answers["merged"].to_pylist()]
+        merged = np.concatenate([none.astype(np.int32), *merged])
+        place = unpack_numbers(blocks["place"][0].as_py())
+        starts, lengths = offsets(lengths)[:-1][place], lengths[place]
         ids = blocks["ids"].combine_chunks().flatten()
-        counts = np.array(blocks["counts"][0].as_py(), np.int64)
-        codes = unpack_codes(blocks["codes"][0].as_py())
-        ends = offsets(counts)
-        sizes = np.concatenate([[0], np.cumsum(lengths[codes])])[ends]
+        counts = blocks["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        codes = unpack_numbers(blocks["codes"][0].as_py()).astype(np.int32)
+        sizes = offsets(lengths[codes])[offsets(counts)]
         flat, filled = np.empty(sizes[-1], np.int32), 0
-        for at in range(0, len(codes), 1 << 20):  # a slice at a time: the gather takes 16 bytes an id
-            some = codes[at : at + (1 << 20)]
+        for at in range(0, len(codes), 1 << 18):  # a slice at a time: the gather takes 16 bytes an id
+            some = codes[at : at + (1 << 18)]
             got = merged[ranges(starts[some], lengths[some])]
             flat[filled : filled + len(got)] = got
             filled += len(got)
@@ -216,18 +220,18 @@ def encode(
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
             T.StructField("codes", T.BinaryType()),
-            T.StructField("words", T.ArrayType(T.BinaryType())),
+            T.StructField("place", T.BinaryType()),
+            T.StructField("asked", T.ArrayType(T.BinaryType())),
             T.StructField("parts", T.ArrayType(T.IntegerType())),
-            T.StructField("bounds", T.ArrayType(T.IntegerType())),
         ]
     )
     arrow = to_arrow_schema(blocks_schema)
     blocks = chosen.mapInArrow(_blocks_of(pattern, 3 * n, block_bytes, arrow), blocks_schema)
     # Both uses below need every column of it, so Spark finds one and the same exchange.
     blocks = blocks.repartition(n, "block")
-    asked = blocks.mapInArrow(_ask, "part int, block long, first int, words array<binary>")
+    asked = blocks.mapInArrow(_ask, "part int, block long, words binary")
     answered = asked.repartition(n, "part").mapInArrow(
-        _merge(ranks), "block long, first int, lengths binary, merged binary"
+        _merge(ranks), "part int, block long, lengths binary, merged binary"
     )
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]
