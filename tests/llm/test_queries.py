@@ -1,0 +1,53 @@
+"""The registered queries against their SQL and the pipeline against its operators."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import corpus_pipeline  # noqa: E402
+from compare import compare, duck  # noqa: E402
+from trendcloud.llm.queries import QUERIES, SQL  # noqa: E402
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_there_is_one_query_for_each_operator():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert SQL.keys() <= QUERIES.keys()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duck(SF_DIR)
+    assert compare(spark, con, QUERIES[name], SQL[name], SF_DIR) == ""
+    con.close()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
+def test_query_returns_a_row_for_every_document(spark, name):
+    n = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    rows = QUERIES[name](spark, SF_DIR).count()
+    assert rows == n if name != "op5_nearest" else rows > 0
+
+
+def test_stages_keep_the_columns_and_take_what_the_last_one_kept(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert last.count() == sizes[-1]
+
+
+def test_stages_take_odd_rows_and_none(spark, docs_of, odd_rows):
+    for rows in (odd_rows, []):
+        docs = docs_of(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
+        assert docs.count() >= 0

@@ -1,0 +1,185 @@
+"""BPE, token counts and token files against the tokenizer libraries on whole texts."""
+
+import base64
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from trendcloud.llm.bpe import bpe_report, decode, encode, read_ranks
+from trendcloud.llm.token_counts import token_counts, whole_tokens
+from trendcloud.llm.token_files import FileReader, read_token_files, write_token_files
+from trendcloud.sources.files import scratch_dir
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def text_of(name):
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return read_ranks(RANKS)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 4000, 1 << 20])
+def test_bpe_equals_the_library_on_whole_texts(docs_of, odd_rows, ranks, block_bytes):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = docs_of(odd_rows, clashing=True)
+    got = sorted(
+        ((r["doc_id"] or -1, r["ids"]) for r in encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=block_bytes).collect()),
+    )
+    assert got == sorted((i or -1, library.encode_ordinary(t or "")) for i, t in odd_rows)
+
+
+def test_bpe_round_trip_and_digests(docs_of, odd_rows, ranks):
+    got = bpe_report(docs_of(odd_rows), ranks, public_tokenizers.PATTERN).collect()
+    assert sorted(r["decoded_sha256"] for r in got) == sorted(
+        hashlib.sha256((t or "").encode()).hexdigest() for _, t in odd_rows
+    )
+    empty = next(r for r in got if r["doc_id"] == 5)
+    assert (empty["n_tokens"], empty["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_bpe_of_no_documents(docs_of, ranks):
+    assert bpe_report(docs_of([]), ranks, public_tokenizers.PATTERN).collect() == []
+
+
+def test_bpe_of_documents_without_text(docs_of, ranks):
+    got = bpe_report(docs_of([(1, None), (2, "")]), ranks, public_tokenizers.PATTERN).collect()
+    assert [r["n_tokens"] for r in got] == [0, 0]
+
+
+def test_bpe_keeps_ids_of_another_type(spark, ranks):
+    docs = spark.createDataFrame([("a", "x y")], "name string, body string")
+    got = encode(docs, ranks, public_tokenizers.PATTERN, "name", "body").collect()
+    assert [r["name"] for r in got] == ["a"]
+
+
+def test_words_are_shuffled_once_and_the_texts_never(docs_of, odd_rows, ranks):
+    df = encode(docs_of(odd_rows), ranks, public_tokenizers.PATTERN)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+
+
+def test_decode_takes_ids_that_are_parts_of_characters_and_refuses_unknown_ones(spark, ranks):
+    half = "é".encode()[:1]
+    df = spark.createDataFrame([([ranks[half]],), ([],), (None,)], "ids array<int>")
+    assert [bytes(r["decoded"]) for r in decode(df, ranks).collect()] == [half, b"", b""]
+    with pytest.raises(Exception, match="no bytes|out of bounds"):
+        decode(spark.createDataFrame([([60_000],)], "ids array<int>"), ranks).collect()
+
+
+def test_ranks_are_read_as_they_stand():
+    ranks = read_ranks(RANKS)
+    with open(RANKS, "rb") as lines:
+        token, i = lines.readline().split()
+    assert ranks[base64.b64decode(token)] == int(i) and len(ranks) == 50_256
+
+
+def test_counts_equal_the_library_on_whole_texts(docs_of, odd_rows):
+    vocabulary = text_of("byte_bpe_50k.json")
+    library = Tokenizer.from_str(vocabulary)
+    got = token_counts(docs_of(odd_rows, clashing=True), vocabulary).collect()
+    want = [
+        (i or -1, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids))
+        for i, t in odd_rows
+    ]
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in got) == sorted(want)
+    assert token_counts(docs_of([]), vocabulary).collect() == []
+
+
+def test_whole_tokens_are_proved_one_by_one():
+    vocabulary = text_of("byte_bpe_50k.json")
+    library = Tokenizer.from_str(vocabulary)
+    whole = whole_tokens(vocabulary)
+    assert len(whole) > 30_000 and "<|endoftext|>" not in whole and " the" in whole
+    assert all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in whole[::97])
+
+
+def test_counts_refuse_a_tokenizer_of_another_kind():
+    with pytest.raises(ValueError, match="byte-level"):
+        whole_tokens(text_of("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def written(spark, docs_of, odd_rows):
+    folder = scratch_dir(spark, "tokens")
+    write_token_files(docs_of(odd_rows, clashing=True), folder, text_of("word_bpe_49k.json"), 1, frame_bytes=4096)
+    return folder
+
+
+def test_files_hold_the_library_s_ids_in_order(spark, odd_rows, written):
+    library = Tokenizer.from_str(text_of("word_bpe_49k.json"))
+    got = sorted(read_token_files(spark, written).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in odd_rows), key=lambda i: -1 if i is None else i)
+    start = 0
+    for r in got:
+        assert (r["start"], r["n_tokens"] * 4) == (start, len(r["tokens"]))
+        start += r["n_tokens"]
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in odd_rows]
+    assert sorted(bytes(r["tokens"]) for r in got) == sorted(want)
+
+
+def test_reading_some_documents_opens_only_their_frames(spark, written, monkeypatch):
+    got = {r["doc_id"]: bytes(r["tokens"]) for r in read_token_files(spark, written, only=[9, 12, 99]).collect()}
+    whole = {r["doc_id"]: bytes(r["tokens"]) for r in read_token_files(spark, written).collect()}
+    assert got == {i: whole[i] for i in (9, 12)}
+    name = spark.read.parquet(f"{written}/manifest").filter("low <= 7 and high >= 7").first()["name"]
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(written if "://" in written else f"file://{written.removeprefix('file:')}")
+    with system.open_input_file(f"{path}/{name}") as file:
+        reader = FileReader(file)
+        opened = []
+        monkeypatch.setattr(reader, "frame", lambda i, f=reader.frame: opened.append(i) or f(i))
+        (row,) = reader.documents(np.array([7]))
+        assert row[0] == 7 and len(opened) == 1
+
+
+def test_a_damaged_frame_is_noticed(tmp_path):
+    from trendcloud.llm.token_files import FileWriter
+
+    with open(tmp_path / "f", "wb") as out:
+        writer = FileWriter(out, 64)
+        for i in range(20):
+            writer.add(i, bytes(range(32)))
+        writer.close()
+    data = bytearray((tmp_path / "f").read_bytes())
+    data[20] ^= 1
+
+    class Held:
+        at = 0
+
+        def size(self):
+            return len(data)
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            return bytes(data[self.at : self.at + n])
+
+    reader = FileReader(Held())
+    assert len(list(reader.documents(np.array([19])))) == 1
+    with pytest.raises(Exception):
+        list(reader.documents())
+
+
+def test_files_of_no_documents(spark, docs_of):
+    folder = scratch_dir(spark, "tokens")
+    write_token_files(docs_of([]), folder, text_of("word_bpe_49k.json"), 1)
+    assert read_token_files(spark, folder).collect() == []
+
+
+def test_crc_of_the_query(spark, written):
+    row = read_token_files(spark, written, only=[7]).select("tokens", F.crc32("tokens").alias("crc")).first()
+    assert row["crc"] == zlib.crc32(bytes(row["tokens"]))
