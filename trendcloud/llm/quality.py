@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trendcloud.llm.common import WordCodes, offsets, ranges, stored, utf8
+from trendcloud.llm.common import WordCodes, offsets, stored, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,7 +98,7 @@ def statistics(texts: list[bytes], codes: WordCodes) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     codes = WordCodes()
     for column in texts:

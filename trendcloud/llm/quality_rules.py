@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendcloud.llm.common import WordCodes, offsets, ranges, stored, utf8
 from trendcloud.llm.quality import held_out
@@ -55,7 +56,7 @@ def _repeated_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(offsets(covered)[offsets(counts)])
 
 
-@F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Exact counts of each text; a null text has none."""
     codes = WordCodes()

@@ -319,7 +319,16 @@ def covered_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
     return judged.repartition(n, "bucket").mapInArrow(_cover(length), "id long, mark long, spans binary")
 
 
-@F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept_text: string>")
+_CUT = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("kept_text", T.StringType()),
+    ]
+)
+
+
+@F.arrow_udf(_CUT)
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     n_words, n_removed, kept = [], [], []
     for text, covered in zip(utf8(texts), spans.to_pylist(), strict=True):
