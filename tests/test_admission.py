@@ -140,34 +140,50 @@ def in_files(df, path, cuts):
         part.coalesce(1).write.mode("append").parquet(path)
 
 
-@pytest.mark.parametrize("lateness", [None, "10 seconds"])
-def test_stream_equals_batch(spark, tmp_path, lateness):
-    hits = sorted(random_hits(random.Random(3), 60), key=lambda h: h[2])
+def instants(hits, found):
+    """Admitted requests per key and instant: only arrival orders requests at one instant."""
+    out = Counter()
+    for i, passed in found.items():
+        out[hits[i]] += bool(passed)
+    return out
+
+
+@pytest.mark.parametrize("batch_bytes", [1, None])
+def test_stream_equals_batch_whatever_the_files(spark, tmp_path, batch_bytes):
+    """Eight files of shuffled requests, one at a time or all at once."""
+    hits = random_hits(random.Random(3), 60)
     df = log_of(spark, hits)
     batch = verdicts(admission.admission_audit(df, ["ip", "endpoint"], "ts", order_by=["id"]))
-    # Files in the order of time, read one by one, so state is carried over batches.
     path = str(tmp_path / "log")
-    in_files(df, path, [0, len(hits) // 3, 2 * len(hits) // 3, len(hits)])
+    df.repartition(8).write.parquet(path)
+    got = audit_files(spark, path, str(tmp_path / "out"), ["ip", "endpoint"], "ts", batch_bytes=batch_bytes)
+    found = verdicts(got)
+    assert got.count() == len(hits) and None not in found.values()
+    assert instants(hits, found) == instants(hits, batch)
+
+
+def test_stream_judges_as_the_watermark_passes(spark, tmp_path):
+    """Files in the order of time, state carried over steps, and requests that come too late."""
+    hits = sorted(random_hits(random.Random(4), 40), key=lambda h: h[2])
+    late = [("a", "data", 1), ("b", "data", 2)]
+    df = log_of(spark, hits + late)
+    batch = verdicts(admission.admission_audit(df.filter(f"id < {len(hits)}"), ["ip", "endpoint"], "ts", order_by=["id"]))
+    path, n = str(tmp_path / "log"), len(hits)
+    in_files(df, path, [0, n // 3, 2 * n // 3, n, n + 2])
     got = audit_files(
-        spark,
-        path,
-        str(tmp_path / "out"),
-        ["ip", "endpoint"],
-        "ts",
-        batch_bytes=1,
-        lateness=lateness,
+        spark, path, str(tmp_path / "out"), ["ip", "endpoint"], "ts", batch_bytes=1, lateness_seconds=30
     )
-    assert got.count() == len(hits)
-    # Only arrival orders requests at one instant, so they are counted, not named.
-    per_instant = Counter()
-    for sign, result in ((1, batch), (-1, verdicts(got))):
-        for i, passed in result.items():
-            per_instant[hits[i]] += sign * passed
-    assert not any(per_instant.values())
+    found = verdicts(got)
+    assert got.count() == n + 2 and found[n] is None and found[n + 1] is None
+    kept = {i: v for i, v in found.items() if i < n}
+    assert None not in kept.values() and instants(hits, kept) == instants(hits, batch)
 
 
-def test_stream_keeps_late_requests(spark, tmp_path):
+def test_stream_keeps_what_it_cannot_judge_and_large_numbers(spark, tmp_path):
+    rows = [(0, "a", None, START), (2**53 + 1, "a", None, None), (None, None, "x", START), (3, "a", "y", START)]
     path = str(tmp_path / "log")
-    in_files(log_of(spark, [("a", "x", t) for t in (5000, 5001, 10, 11)]), path, [0, 2, 4])
-    got = audit_files(spark, path, str(tmp_path / "out"), ["ip"], "ts", batch_bytes=1)
-    assert verdicts(got) == {0: True, 1: True, 2: True, 3: True}
+    spark.createDataFrame(rows, LOG).write.parquet(path)
+    got = audit_files(spark, path, str(tmp_path / "out"), ["ip"], "ts")
+    assert {(r.id, r.endpoint, r.admitted) for r in got.collect()} == {
+        (0, None, True), (2**53 + 1, None, None), (None, "x", None), (3, "y", True),
+    }

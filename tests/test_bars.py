@@ -95,6 +95,9 @@ def test_records(spark):
         "volume": None,
         "note": "x",
     }
+    typed = bars.bars_from_records(spark, [{"n": 1, "x": 1.5, "ok": True}, {"n": 2**53 + 1, "x": 2, "ok": None}])
+    assert dict(typed.dtypes) | {"n": "bigint", "x": "double", "ok": "boolean"} == dict(typed.dtypes)
+    assert {r.n for r in typed.collect()} == {1, 2**53 + 1}
     assert rows[1]["volume"] == 5 and rows[1]["note"] is None
     back = [json.loads(r.record) for r in bars.records_json(df.orderBy("time")).collect()]
     assert back[0]["time"] == "2024-01-02" and back[0]["volume"] is None
@@ -114,3 +117,36 @@ def test_quality(spark):
         schema.BARS,
     )
     assert tuple(bars.bar_quality(df).first()) == ("A", 4, 2, 1, 1, 1)
+
+
+def test_repeated_days_come_in_the_order_of_their_values(spark):
+    from trendcloud import schema
+
+    d = date(2024, 1, 1)
+    rows = [("A", d, float(i), 2.0, 1.0, 1.0, 1) for i in range(9)]
+    one, other = (spark.createDataFrame(x, schema.BARS).repartition(3) for x in (rows, rows[::-1]))
+    for df in (one, other):
+        assert sorted(r.open for r in bars.preview(df).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+        assert [r.open for r in bars.last_bars(df).collect()] == [8.0]
+
+
+def test_guards_take_rows_without_a_ticker_as_a_series(spark):
+    from trendcloud import schema
+
+    rows = [(t, date(2024, 1, 1 + i), 1.0, 1.0, 1.0, 1.0, 1) for t in (None, "A") for i in range(3)]
+    df = spark.createDataFrame(rows[:5], schema.BARS)
+    kept, refused = bars.size_guard(df, 2)
+    assert {r.ticker for r in kept.collect()} == {"A"} and [tuple(r) for r in refused.collect()] == [(None, 3)]
+
+
+def test_days_of_large_keys_and_prices(spark, tmp_path):
+    from trendcloud.sources import tables
+
+    lines = spark.createDataFrame(
+        [(6 * 10**11, 200_000.0), (6 * 10**11 + 1, 1.005), (6 * 10**11 + 1, 1.004), (2**62, 167_772.17)],
+        "l_orderkey long, l_extendedprice double",
+    ).selectExpr("*", "'A' ticker", "timestamp_ntz'2024-01-01' l_shipdate")
+    (bar,) = tables._daily(lines, "ticker").collect()
+    assert (bar.open, bar.high, bar.low, bar.close, bar.volume) == (200_000.0, 200_000.0, 1.004, 167_772.17, 4)
+    plan = tables._daily(lines, "ticker")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -230,9 +230,9 @@ def test_parts_equal_whole(bars_of, block_rows):
 def test_long_series_take_blocks(bars_of):
     bars = bars_of({"A": random_bars(random.Random(12), 300), "B": random_bars(random.Random(13), 10)})
     plain = ichimoku_cloud(bars)
-    cut = indicators.ichimoku_for(bars, max_series_rows=100)
+    cut = ichimoku_cloud(bars, block_rows=100)
     assert "_block" in cut._jdf.queryExecution().toString()
-    assert "_block" not in indicators.ichimoku_for(bars)._jdf.queryExecution().toString()
+    assert "_block" not in plain._jdf.queryExecution().toString()
     assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
 
 

@@ -5,9 +5,11 @@ import os
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from trendcloud import CloudParams, ichimoku_cloud, schema
 from trendcloud.operators import access, catalog, registry, snapshots
+from trendcloud.operators.bars import normalize_bars
 from trendcloud.plans import jobs
 from trendcloud.sources import files
 from trendcloud.streaming.access import access_log_stream
@@ -91,7 +93,11 @@ def test_snapshot_table_and_expiry(spark, bars_of, tmp_path):
     assert "PartitionFilters: [isnotnull(cache_date" in plan
 
     now = datetime(2024, 3, 8, 12)
-    assert files.snapshot_expire(spark, path, now, ticker="A") == ["2024-03-01/A"]
+    only_a = spark.createDataFrame([("A",), ("other",)], "ticker string")
+    assert files.snapshot_expire(spark, path, now, tickers=only_a) == ["2024-03-01"]
+    assert files.snapshot_expire(spark, path, now, tickers=only_a) == []
+    left = files.scan_snapshot_table(spark, path, date(2024, 3, 1))
+    assert rows(left) == rows(bars_of({"B": [BAR]}))
     assert files.snapshot_expire(spark, path, datetime(2024, 3, 8)) == []
     assert files.snapshot_expire(spark, path, now) == ["2024-03-01"]
     assert files.snapshot_expire(spark, path, now, everything=True) == ["2024-03-02", "2024-03-08"]
@@ -137,7 +143,8 @@ def test_listing(spark, tmp_path):
     put(f"{tmp_path}/store/cache/BB_2024-01-02.json", "x" * (2 * 1024 * 1024))
     listing = files.scan_objects(spark, f"{tmp_path}/store").cache()
     assert listing.count() == 6
-    found = catalog.catalog_listing(listing).collect()
+    assert catalog.catalog_listing(listing).count() == 2
+    found = catalog.catalog_listing(listing, "_2024_data.csv").collect()
     assert [(r.ticker, r.key, r["size"]) for r in found] == [("AAA", "data/AAA_2024_data.csv", 12)]
     assert tuple(catalog.cache_status(listing).first()) == (3, 2 * 1024 * 1024 + 150, 2.0)
     per_ticker = catalog.cache_status_by_ticker(listing).collect()
@@ -215,24 +222,47 @@ def test_collect(spark, tmp_path):
         ],
         LANDING,
     )
-    known = spark.createDataFrame([("B",), ("Z",)], "ticker string")
-    done = jobs.collect_ingest(landing, known, path, max_tickers=3, max_bytes=32 + 2 * 30)
+    put(f"{tmp_path}/registry/part", "B\nZ\n")
+    files.write_bars(normalize_bars(landing.filter("ticker = 'b'")).withColumn("ticker", F.lit("C")), path)
+    limits = {"start": "2024-01-01", "end": "2024-12-31", "max_tickers": 3, "max_bytes": 32 + 2 * 30}
+    done = jobs.collect_ingest(landing, path, f"{tmp_path}/registry", **limits)
     assert {tuple(r) for r in done.report.collect()} == {
         ("A", "stored", 2, False),
-        ("B", "stored", 1, True),
-        ("C", "registry_full", 1, False),
+        ("B", "stored", 1, False),
+        ("C", "registry_full", 1, True),
+        ("OLD", "no_data", 0, False),
         ("BIG", "too_large", 3, False),
     }
     assert [tuple(r) for r in done.invalid.collect()] == [("test", "Ticker 'TEST' is not allowed")]
     assert sorted(r.ticker for r in done.registry.collect()) == ["A", "B", "Z"]
+    assert sorted(r.value for r in files.scan_registry(spark, f"{tmp_path}/registry").collect()) == ["A", "B", "Z"]
     stored = files.scan_bars(spark, path, "parquet")
     assert sorted((r.ticker, r.time) for r in stored.collect()) == [
         ("A", date(2024, 1, 1)),
         ("A", date(2024, 12, 30)),
         ("B", date(2024, 6, 1)),
+        ("C", date(2024, 6, 1)),
     ]
 
 
+def test_collect_has_no_limits_of_its_own(spark, tmp_path):
+    """A series of more than 1 MiB, more than a hundred tickers, and years apart: all of it is stored."""
+    day = F.date_add(F.lit(date(1900, 1, 1)), F.col("id").cast("int"))
+    long = spark.range(40_000).select(F.lit("big").alias("ticker"), day.cast("string").alias("Date"))
+    many = spark.range(300).select(F.concat(F.lit("t"), "id").alias("ticker"), F.lit("2031-05-05").alias("Date"))
+    landing = long.unionByName(many).selectExpr(
+        "ticker", "Date", "1.5D Open", "2.5D High", "0.5D Low", "2.0D Close", "10L Volume"
+    )
+    path = str(tmp_path / "bars")
+    report = jobs.collect_ingest(landing, path, str(tmp_path / "registry")).report.collect()
+    assert len(report) == 301 and {r.status for r in report} == {"stored"}
+    assert files.scan_bars(spark, path, "parquet").count() == 40_300
+    assert files.scan_registry(spark, str(tmp_path / "registry")).count() == 301
+    again = jobs.collect_ingest(landing, path, str(tmp_path / "registry")).report.collect()
+    assert all(r.data_existed for r in again)
+    assert files.scan_bars(spark, path, "parquet").count() == 40_300
+
+
 def test_indicator_job(spark, bars_of, tmp_path):
     bars = bars_of({"A": [BAR] * 30, "B": [BAR] * 4})
     files.write_bars(bars, str(tmp_path / "bars"))
@@ -245,8 +275,66 @@ def test_indicator_job(spark, bars_of, tmp_path):
 
 
 def test_refreshed_snapshot(spark, bars_of, tmp_path):
-    jobs.refresh_snapshot(bars_of({"A": [BAR]}), str(tmp_path / "s"), date(2024, 5, 1))
-    assert files.scan_snapshot_table(spark, str(tmp_path / "s"), date(2024, 5, 1)).count() == 1
+    """Expired snapshots of the tickers that were delivered go, whatever signs their names hold."""
+    path = str(tmp_path / "s")
+    for day in (date(2024, 5, 1), date(2024, 5, 20), date(2024, 6, 25)):
+        files.snapshot_write(bars_of({"Brand#12": [BAR], "B": [BAR]}), path, day)
+    fresh = bars_of({"Brand#12": [BAR] * 2})
+    assert jobs.refresh_snapshot(fresh, path, datetime(2024, 7, 1, 12)) == ["2024-05-01", "2024-05-20"]
+    got = files.scan_snapshot_table(spark, path).groupBy("cache_date", "ticker").count().collect()
+    assert {tuple(r) for r in got} == {
+        (date(2024, 5, 1), "B", 1),
+        (date(2024, 5, 20), "B", 1),
+        (date(2024, 6, 25), "B", 1),
+        (date(2024, 6, 25), "Brand#12", 1),
+        (date(2024, 7, 1), "Brand#12", 2),
+    }
+    assert jobs.refresh_snapshot(bars_of({}), path, datetime(2025, 1, 1)) == []
+    assert files.scan_snapshot_table(spark, path).count() == 6
+
+
+def test_many_tickers_make_few_folders_and_files(spark, tmp_path):
+    bars = spark.range(20_000).selectExpr(
+        "concat('T', id) ticker", "date'2024-01-01' time", "1D open", "1D high", "1D low", "1D close", "1L volume"
+    )
+    path = str(tmp_path / "bars")
+    files.write_bars(bars, path, buckets=8)
+    assert len(os.listdir(path)) <= 8 + 2 and files.scan_bars(spark, path, "parquet").count() == 20_000
+    with pytest.raises(ValueError, match="buckets"):
+        files.write_bars(bars, path, buckets=16)
+
+
+def test_corrupt_lines_are_told_from_blanks(spark, tmp_path):
+    head = "time,open,high,low,close,volume\n"
+    put(f"{tmp_path}/d/A_x.csv", head + "2024-01-02,1,2,0,1,5\n2024-01-03,,,,,\n2024-01-04,what,2,0,1,5\n")
+    got = files.scan_bars(spark, f"{tmp_path}/d", glob="*.csv", corrupt="line").collect()
+    assert {(r.time.day, r.open, r.line) for r in got} == {
+        (2, 1.0, None), (3, None, None), (4, None, "2024-01-04,what,2,0,1,5"),
+    }
+
+
+def test_export_names_files_by_value(spark, bars_of, tmp_path):
+    files.export_named(bars_of({"A#1": [BAR] * 2, "B": [BAR]}), str(tmp_path), "ticker", "csv", "_x.csv")
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["A#1_x.csv", "B_x.csv"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.scratch_dir(Session(), "x")
+    Context.master = "local[4]"
+    assert files.scratch_dir(Session(), "x")
 
 
 def test_scratch_is_in_the_shared_folder(spark):

@@ -85,6 +85,8 @@ def test_registry_list_keeps_repeats(spark):
 def test_registry_cap(spark):
     full = names_of(spark, *[f"T{i:03}" for i in range(100)])
     merged, refused = registry.registry_merge(full, names_of(spark, "T005", "NEW"))
+    assert merged.count() == 101 and refused.count() == 0
+    merged, refused = registry.registry_merge(full, names_of(spark, "T005", "NEW"), 100)
     assert merged.count() == 100 and [r.ticker for r in refused.collect()] == ["NEW"]
     merged, refused = registry.registry_merge(full, names_of(spark, "B", "A", "C", "A"), 102)
     assert merged.count() == 102 and [r.ticker for r in refused.collect()] == ["C"]
@@ -117,7 +119,7 @@ def test_cascade(spark):
     provider = source(spark, S=[9], C=[9], AAPL=[9], L=[9], P=[10])
 
     def run(**flags):
-        gated = cascade.gate_sources(snapshot, stored, local, provider, **flags)
+        gated = cascade.gate_sources(snapshot, stored, local, provider, local_ticker="AAPL", **flags)
         return served(cascade.resolve_sources(gated))
 
     everything = {t: (t, "yahoo_finance") for t in ("S", "C", "AAPL", "L", "P")}

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendcloud import schema
-from trendcloud.functions.columns import join_keys, nan_to_null, parse_day
-
-MAX_POINTS = 5000
-MAX_CSV_BYTES = 1024 * 1024
-
+from trendcloud.functions.columns import nan_to_null, parse_day
 
 def normalize_bars(
     df: DataFrame,
@@ -21,12 +17,13 @@ def normalize_bars(
     key: str = "ticker",
     fmt: str | None = None,
     strict: bool = False,
+    further: Sequence[str] = (),
 ) -> DataFrame:
     """Rename six columns by position to time, open, high, low, close, volume.
 
     `columns` names the six source columns in that order; by default they are
     every column of `df` but the key. Days that cannot be read become NULL, or
-    fail the job when `strict` is set.
+    fail the job when `strict` is set. Columns named in `further` are kept.
     """
     source = list(columns) if columns is not None else [c for c in df.columns if c != key]
     if len(source) != len(schema.BAR_NAMES):
@@ -52,17 +49,30 @@ def normalize_bars(
     if isinstance(df.schema[source[5]].dataType, (T.DoubleType, T.FloatType)):
         volume = nan_to_null(volume)
     head = [F.col(key)] if key in df.columns else []
-    return df.select(*head, day.alias("time"), *prices, volume.cast("bigint").alias("volume"))
+    bar = [day.alias("time"), *prices, volume.cast("bigint").alias("volume")]
+    return df.select(*head, *bar, *[F.col(f"`{c}`") for c in further])
+
+
+def _kind(values: Iterable) -> T.DataType:
+    """The narrowest type for the values of a further column; mixed ones are text."""
+    kinds = {type(v) for v in values if v is not None}
+    if kinds and kinds <= {bool}:
+        return T.BooleanType()
+    if kinds and kinds <= {int}:
+        return T.LongType()
+    if kinds and kinds <= {int, float}:
+        return T.DoubleType()
+    return T.StringType()
 
 
 def bars_from_records(spark: SparkSession, rows: Iterable[dict], ticker: str | None = None) -> DataFrame:
-    """Inline records to a bar table; absent fields are NULL, further ones kept."""
+    """Inline records to a bar table; absent fields are NULL, further ones kept with their types."""
     rows = list(rows)
     extra = sorted({k for r in rows for k in r} - set(schema.BARS.names))
     fields = [
         T.StructField(f.name, T.StringType()) if f.name == "time" else f for f in schema.BARS
     ]
-    declared = T.StructType(fields + [T.StructField(c, T.StringType()) for c in extra])
+    declared = T.StructType(fields + [T.StructField(c, _kind(r.get(c) for r in rows)) for c in extra])
 
     def convert(row: dict) -> tuple:
         out = []
@@ -75,12 +85,16 @@ def bars_from_records(spark: SparkSession, rows: Iterable[dict], ticker: str | N
                     value = float(value)
                 elif isinstance(f.dataType, T.LongType):
                     value = None if value != value else int(value)
-                else:
+                elif isinstance(f.dataType, T.StringType):
                     value = str(value)
             out.append(value)
         return tuple(out)
 
     df = spark.createDataFrame([convert(r) for r in rows], declared)
+    return _from_raw(df, extra)
+
+
+def _from_raw(df: DataFrame, extra: Sequence[str]) -> DataFrame:
     return df.select(
         "ticker",
         parse_day(F.col("time")).alias("time"),
@@ -90,6 +104,22 @@ def bars_from_records(spark: SparkSession, rows: Iterable[dict], ticker: str | N
     )
 
 
+def bars_from_json(
+    records: DataFrame, col: str = "record", extra: T.StructType = T.StructType(), ticker: str | None = None
+) -> DataFrame:
+    """Records as JSON text to a bar table; `extra` declares further fields, which are kept.
+
+    Absent and unreadable fields are NULL; records without a ticker get `ticker`.
+    """
+    fields = [
+        T.StructField(f.name, T.StringType()) if f.name == "time" else f for f in schema.BARS
+    ]
+    row = records.select(F.from_json(col, T.StructType(fields + extra.fields)).alias("r")).select("r.*")
+    if ticker is not None:
+        row = row.withColumn("ticker", F.coalesce("ticker", F.lit(ticker)))
+    return _from_raw(row, extra.names)
+
+
 def date_range(df: DataFrame, start: str, end: str) -> DataFrame:
     """Half-open range of days: start is in, end is not."""
     day = F.col("time")
@@ -100,16 +130,25 @@ def series_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("count"))
 
 
-def size_guard(df: DataFrame, max_rows: int = MAX_POINTS) -> tuple[DataFrame, DataFrame]:
-    """Split into whole series within the limit, and the refused `(ticker, count)`.
+def _guarded(df: DataFrame, measure: Column, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Whole series whose `measure` is at most `most`, and the refused (ticker, measure).
 
-    Counts are combined before they are shuffled and met again by a semi join,
-    which adaptive execution may split, so a long series is never one task.
+    The measure is combined before it is shuffled and met again by a semi join,
+    which adaptive execution may split, so a long series is never one task. Rows
+    without a ticker are a series too: a text stands for NULL in both, so the join
+    is a plain one and the rows need one exchange.
     """
-    counts = series_counts(df)
-    fitting = counts.filter(F.col("count") <= max_rows)
-    kept = join_keys(df, fitting, ["ticker"], "left_semi")
-    return kept, counts.filter(F.col("count") > max_rows)
+    named = df.withColumn("_series", F.coalesce("ticker", F.lit("\x00")))
+    measured = named.groupBy("_series").agg(measure.alias(name))
+    fitting = measured.filter(F.col(name) <= most).select("_series")
+    kept = named.join(fitting, "_series", "left_semi").drop("_series")
+    ticker = F.nullif("_series", F.lit("\x00")).alias("ticker")
+    return kept, measured.filter(F.col(name) > most).select(ticker, name)
+
+
+def size_guard(df: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Split into whole series within the limit, and the refused `(ticker, count)`."""
+    return _guarded(df, F.count(F.lit(1)), "count", max_rows)
 
 
 def csv_line_bytes() -> Column:
@@ -118,39 +157,40 @@ def csv_line_bytes() -> Column:
     return F.octet_length(F.concat_ws(",", *cells)) + F.lit(1)
 
 
+def _csv_bytes() -> Column:
+    header = len(",".join(schema.BAR_NAMES)) + 1
+    return F.sum(csv_line_bytes()) + F.lit(header)
+
+
 def csv_size(df: DataFrame) -> DataFrame:
     """Bytes each series takes as CSV text with a header line."""
-    header = len(",".join(schema.BAR_NAMES)) + 1
-    return df.groupBy("ticker").agg((F.sum(csv_line_bytes()) + F.lit(header)).alias("bytes"))
+    return df.groupBy("ticker").agg(_csv_bytes().alias("bytes"))
 
 
-def csv_guard(df: DataFrame, max_bytes: int = MAX_CSV_BYTES) -> tuple[DataFrame, DataFrame]:
+def csv_guard(df: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """As `size_guard`, by the bytes of the series as CSV."""
-    sizes = csv_size(df)
-    fitting = sizes.filter(F.col("bytes") <= max_bytes)
-    kept = join_keys(df, fitting, ["ticker"], "left_semi")
-    return kept, sizes.filter(F.col("bytes") > max_bytes)
+    return _guarded(df, _csv_bytes(), "bytes", max_bytes)
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """The first n rows of each series.
 
-    Spark cuts each group to n rows before the shuffle (WindowGroupLimit).
+    Spark cuts each group to n rows before the shuffle (WindowGroupLimit). Rows
+    that repeat a day come in the order of their values, the same on every run.
     """
-    first = Window.partitionBy("ticker").orderBy("time")
+    rest = [c for c in df.columns if c not in ("ticker", "time")]
+    first = Window.partitionBy("ticker").orderBy("time", *rest)
     return df.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= n)
 
 
 def last_bars(df: DataFrame) -> DataFrame:
-    """The last row of each series.
+    """The last row of each series; of rows that repeat its day the one with the largest values.
 
-    One max_by per column: their buffers are plain numbers, so Spark hashes (a
-    struct of the row would make it sort), and all of them pick the same row.
+    Spark cuts each group to one row before the shuffle (WindowGroupLimit).
     """
-    rest = [c for c in df.columns if c not in ("ticker", "time")]
-    return df.groupBy("ticker").agg(
-        F.max("time").alias("time"), *[F.max_by(c, "time").alias(c) for c in rest]
-    )
+    rest = [F.desc(c) for c in df.columns if c not in ("ticker", "time")]
+    last = Window.partitionBy("ticker").orderBy(F.desc("time"), *rest)
+    return df.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") == 1).drop("_n")
 
 
 def bar_quality(df: DataFrame) -> DataFrame:

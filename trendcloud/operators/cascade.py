@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendcloud.functions.columns import join_keys
-
 # The sources from first to last choice, with their labels.
 LABELS = {
     "s3_cache": "AWS S3 cache",
@@ -17,7 +15,6 @@ LABELS = {
     "local_csv": "local CSV backup",
     "yahoo_finance": "Yahoo Finance",
 }
-LOCAL_CSV_TICKER = "AAPL"
 
 
 def source_label(source: Column) -> Column:
@@ -34,35 +31,56 @@ def gate_sources(
     use_csv: bool = False,
     use_s3: bool = False,
     use_cache: bool = True,
-    local_ticker: str = LOCAL_CSV_TICKER,
+    local_ticker: str | None = None,
 ) -> list[tuple[str, DataFrame, bool]]:
-    """The four sources in order, each with whether a request may use it."""
+    """The four sources in order, each with whether a request may use it.
+
+    With `local_ticker` the local source serves that ticker alone.
+    """
+    if local_ticker is not None:
+        local = local.filter(F.col("ticker") == local_ticker)
     return [
         ("s3_cache", snapshot, use_s3 and use_cache),
         ("s3_csv", stored, use_s3),
-        ("local_csv", local.filter(F.col("ticker") == local_ticker), use_csv),
+        ("local_csv", local, use_csv),
         ("yahoo_finance", provider, True),
     ]
 
 
-def resolve_sources(sources: Sequence[tuple[str, DataFrame, bool]]) -> DataFrame:
+def resolve_sources(
+    sources: Sequence[tuple[str, DataFrame, bool]], present: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """For each series the rows of the first source that has any, plus `source`, `label`.
 
-    Sources that are switched off are not in the plan at all. Which source serves
-    which ticker is settled on one row per ticker and source, combined before the
-    shuffle; the rows then meet their winner in an equi-join, which adaptive
-    execution can broadcast or split.
+    `present` gives, for sources whose tickers are known from a catalogue or from
+    folders, a DataFrame with the column `ticker`; for the others it is read from
+    the rows. Sources that are switched off are not in the plan at all. The tickers
+    that each source serves are settled on names alone, one small row per ticker and
+    source; a source's rows are read once and meet the tickers it serves in a semi
+    join, the last source's those served already in an anti join, so nothing is
+    asked of it beforehand. A text stands for a missing ticker, so all joins are
+    plain ones.
     """
     enabled = [(name, df) for name, df, on in sources if on]
     if not enabled:
         raise ValueError("no source is enabled")
-    ranked = [
-        df.withColumns({"source": F.lit(name), "_rank": F.lit(rank)})
-        for rank, (name, df) in enumerate(enabled)
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
-    winners = rows.groupBy("ticker").agg(F.min("_rank").alias("_rank"))
-    # Winners are unique, so this keeps rows as a semi join would, but a semi join
-    # would be copied into every source and settle the winners once for each.
-    chosen = join_keys(rows, winners, ["ticker", "_rank"], "inner")
-    return chosen.drop("_rank").withColumn("label", source_label(F.col("source")))
+    present = present or {}
+    series = F.coalesce(F.col("ticker"), F.lit("\x00")).alias("_series")
+    *earlier, last = enabled
+    parts = []
+    if earlier:
+        names = [
+            present.get(name, df).select(series).withColumn("_rank", F.lit(rank))
+            for rank, (name, df) in enumerate(earlier)
+        ]
+        offered = reduce(DataFrame.unionByName, names)
+        first = offered.groupBy("_series").agg(F.min("_rank").alias("_first"))
+    for rank, (name, df) in enumerate(enabled):
+        rows = df.withColumns({"_series": series, "source": F.lit(name)})
+        if earlier and name != last[0]:
+            rows = rows.join(first.filter(F.col("_first") == rank), "_series", "left_semi")
+        elif earlier:
+            rows = rows.join(first, "_series", "left_anti")
+        parts.append(rows)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.drop("_series").withColumn("label", source_label(F.col("source")))

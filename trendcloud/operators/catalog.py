@@ -12,7 +12,6 @@ from trendcloud.functions.columns import megabytes
 
 DATA_PREFIX = "data/"
 SNAPSHOT_PREFIX = "cache/"
-CSV_SUFFIX = "_2024_data.csv"
 
 
 def base_name(key: Column) -> Column:
@@ -24,8 +23,8 @@ def key_ticker(key: Column) -> Column:
     return F.substring_index(base_name(key), "_", 1)
 
 
-def catalog_listing(objects: DataFrame, suffix: str = CSV_SUFFIX) -> DataFrame:
-    """The series files of a listing with their tickers."""
+def catalog_listing(objects: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """The series files of a listing with their tickers; `suffix` picks those of a year."""
     key = F.col("key")
     is_series = key.startswith(DATA_PREFIX) & key.endswith(".csv") & key.contains(suffix)
     return objects.filter(is_series).select(

@@ -288,17 +288,3 @@ def cloud_parameters(cloud: DataFrame, params: CloudParams = CloudParams()) -> D
     """One row: the number of rows of a result and the lengths it was made with."""
     echoed = [F.lit(value).cast("bigint").alias(name) for name, value in asdict(params).items()]
     return cloud.agg(F.count(F.lit(1)).alias("count")).select("count", *echoed)
-
-
-def ichimoku_for(
-    bars: DataFrame, params: CloudParams = CloudParams(), max_series_rows: int = 1_000_000
-) -> DataFrame:
-    """`ichimoku_cloud` in the plan the data calls for.
-
-    Runs one job that counts rows per series and brings back the largest count
-    (one number). Only if it passes `max_series_rows` are the series cut into
-    blocks.
-    """
-    counts = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    longest = counts.agg(F.max("n")).first()[0] or 0
-    return ichimoku_cloud(bars, params, max_series_rows if longest > max_series_rows else None)

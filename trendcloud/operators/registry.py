@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendcloud.functions.columns import strip
 
-MAX_TICKERS = 100
-
-
 def registry_list(lines: DataFrame, col: str = "value") -> DataFrame:
     """Trimmed, non-empty entries in ascending order; repeats stay."""
     names = lines.select(strip(F.col(col)).alias("ticker"))
@@ -21,19 +18,20 @@ def registry_count(registry: DataFrame) -> DataFrame:
 
 
 def registry_merge(
-    existing: DataFrame, new: DataFrame, cap: int = MAX_TICKERS
+    existing: DataFrame, new: DataFrame, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Add tickers that are not there yet; returns (registry, refused).
 
-    Entries already there always stay. New ones are let in, in ascending order,
-    until the registry holds `cap` entries; the others are refused.
+    Entries already there always stay. With a `cap`, new ones are let in in
+    ascending order until the registry holds so many entries; the others are
+    refused. Without one none is.
     """
     known = existing.select("ticker")
     fresh = new.select("ticker").distinct().join(known, "ticker", "left_anti")
-    free = F.lit(cap) - known.agg(F.count(F.lit(1))).scalar()
-    # At most `cap` rows pass the limit, so the numbering below is of a short list.
-    first = fresh.orderBy("ticker").limit(cap)
-    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy("ticker")))
-    admitted = numbered.filter(F.col("_n") <= free).select("ticker")
+    if cap is None:
+        return known.unionByName(fresh).orderBy("ticker"), fresh.filter(F.lit(False))
+    free = max(0, cap - known.count())
+    # The first `free` by name: Spark cuts each task's rows to as many before they meet.
+    admitted = fresh.orderBy("ticker").limit(free)
     refused = fresh.join(admitted, "ticker", "left_anti")
     return known.unionByName(admitted).orderBy("ticker"), refused

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendcloud import schema
-from trendcloud.operators.bars import MAX_CSV_BYTES, csv_line_bytes, date_range, normalize_bars
-from trendcloud.operators.indicators import ichimoku_for
-from trendcloud.operators.registry import MAX_TICKERS, registry_merge
+from trendcloud.operators.bars import csv_line_bytes, normalize_bars
+from trendcloud.operators.indicators import ichimoku_cloud
+from trendcloud.operators.registry import registry_list, registry_merge
+from trendcloud.operators.snapshots import RETENTION_DAYS
 from trendcloud.operators.tickers import validate_tickers
 from trendcloud.params import CloudParams
 from trendcloud.sources.files import (
+    BUCKETS,
     ensure_checkpoint_dir,
+    exists,
     read_series,
+    registry_write,
+    scan_registry,
+    snapshot_expire,
     snapshot_write,
     write_bars,
 )
 
-# The half-open range of days that is collected by default.
-START, END = "2024-01-01", "2024-12-31"
-
 
 @dataclass(frozen=True)
 class Collected:
@@ -34,56 +37,83 @@ class Collected:
     registry: DataFrame  # the tickers from now on
 
 
-def landing_bars(landing: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """Bars in the range, of the landing rows whose ticker is valid."""
+def _in_range(start: str | None, end: str | None):
+    """Half-open range of days; an end that is None is open, and rows without a day are in no closed range."""
+    day, inside = F.col("time"), F.lit(True)
+    if start is not None:
+        inside = inside & (day >= F.lit(start).cast("date"))
+    if end is not None:
+        inside = inside & (day < F.lit(end).cast("date"))
+    return F.coalesce(inside, F.lit(False))
+
+
+def valid_landing(landing: DataFrame) -> DataFrame:
+    """Bars of the landing rows whose ticker is valid."""
     named = validate_tickers(landing).filter("is_valid").withColumn("ticker", F.col("symbol"))
-    return date_range(normalize_bars(named.select(landing.columns)), start, end)
+    return normalize_bars(named.select(landing.columns))
+
+
+def landing_bars(landing: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars in the range, of the landing rows whose ticker is valid."""
+    return valid_landing(landing).filter(_in_range(start, end))
 
 
 def collect_ingest(
     landing: DataFrame,
-    registry: DataFrame,
     path: str,
-    start: str = START,
-    end: str = END,
-    max_tickers: int = MAX_TICKERS,
-    max_bytes: int = MAX_CSV_BYTES,
+    registry_path: str | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    max_tickers: int | None = None,
+    max_bytes: int | None = None,
     fmt: str = "parquet",
+    buckets: int = BUCKETS,
 ) -> Collected:
-    """Validate, normalise, guard and store landing rows; extend the registry.
+    """Validate, normalise and store landing rows; extend the registry at `registry_path`.
 
     `landing` has `ticker` and six columns in bar order. Series already stored
-    are replaced, others stay. A series that is too large, or for which the
-    registry has no room, is not written. Two passes over the landing rows: one
-    for the size of each series (the small result is checkpointed and feeds the
-    guard, the registry and the report), one for the write.
+    are replaced, others stay. Range and limits are open unless given: with
+    `max_bytes` a series that is larger as CSV, and with `max_tickers` one for
+    which the registry has no room, is reported and not written. A valid ticker
+    without rows in the range is reported as `no_data`. `data_existed` tells
+    whether the store had the series before.
+
+    Two passes over the landing rows: one for the size of each series (the small
+    result is checkpointed and feeds guard, registry and report), one for the write.
     """
-    ensure_checkpoint_dir(landing.sparkSession)
-    bars = landing_bars(landing, start, end)
+    spark = landing.sparkSession
+    ensure_checkpoint_dir(spark)
+    bars, inside = valid_landing(landing), _in_range(start, end)
     header = len(",".join(schema.BAR_NAMES)) + 1
     sizes = (
         bars.groupBy("ticker")
         .agg(
-            F.count(F.lit(1)).alias("rows_processed"),
-            (F.sum(csv_line_bytes()) + F.lit(header)).alias("bytes"),
+            F.count_if(inside).alias("rows_processed"),
+            (F.coalesce(F.sum(F.when(inside, csv_line_bytes())), F.lit(0)) + F.lit(header)).alias("bytes"),
         )
         .checkpoint()
     )
-    fitting = sizes.filter(F.col("bytes") <= max_bytes)
+    known = _stored_tickers(spark, path, fmt).checkpoint()
+    registry = spark.createDataFrame([], "ticker string")
+    if registry_path is not None and exists(spark, registry_path):
+        registry = registry_list(scan_registry(spark, registry_path)).distinct()
+    has_rows = F.col("rows_processed") > 0
+    fits = has_rows if max_bytes is None else has_rows & (F.col("bytes") <= max_bytes)
+    fitting = sizes.filter(fits)
     merged, full = registry_merge(registry, fitting, max_tickers)
     merged, full = merged.checkpoint(), full.checkpoint()
     stored = fitting.join(full, "ticker", "left_anti").select("ticker")
-    write_bars(bars.join(stored, "ticker", "left_semi"), path, fmt)
+    write_bars(bars.filter(inside).join(stored, "ticker", "left_semi"), path, fmt, buckets)
+    if registry_path is not None:
+        registry_write(merged, registry_path)
 
-    known = registry.select("ticker").distinct().withColumn("_known", F.lit(True))
     refused = full.withColumn("_full", F.lit(True))
-    status = (
-        F.when(F.col("bytes") > max_bytes, F.lit("too_large"))
-        .when(F.col("_full"), F.lit("registry_full"))
-        .otherwise(F.lit("stored"))
-    )
+    status = F.when(~has_rows, F.lit("no_data"))
+    if max_bytes is not None:
+        status = status.when(F.col("bytes") > max_bytes, F.lit("too_large"))
+    status = status.when(F.col("_full"), F.lit("registry_full")).otherwise(F.lit("stored"))
     report = (
-        sizes.join(known, "ticker", "left")
+        sizes.join(known.withColumn("_known", F.lit(True)), "ticker", "left")
         .join(refused, "ticker", "left")
         .select(
             "ticker",
@@ -100,17 +130,44 @@ def collect_ingest(
     return Collected(report, invalid, merged)
 
 
+def _stored_tickers(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """The tickers that a bar table holds; none if there is no table."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "ticker string")
+    return read_series(spark, path, fmt).select(F.col("ticker").cast("string")).distinct()
+
+
 def indicator_job(
     spark: SparkSession,
     bars_path: str,
     out_path: str,
     params: CloudParams = CloudParams(),
     fmt: str = "parquet",
+    block_rows: int | None = None,
 ) -> None:
-    """Compute the indicator for a stored bar table and store it by ticker."""
-    write_bars(ichimoku_for(read_series(spark, bars_path, fmt), params), out_path, fmt)
+    """Compute the indicator for a stored bar table and store it by ticker.
 
+    With `block_rows` series are worked on in blocks, for tables whose series are
+    too long for one task.
+    """
+    bars = read_series(spark, bars_path, fmt)
+    write_bars(ichimoku_cloud(bars, params, block_rows), out_path, fmt)
 
-def refresh_snapshot(provider: DataFrame, path: str, as_of: date) -> None:
-    """Keep what a provider delivered as the day's snapshot; nothing if it had no rows."""
-    snapshot_write(provider, path, as_of)
+
+def refresh_snapshot(
+    provider: DataFrame, path: str, as_of: datetime, days: int = RETENTION_DAYS
+) -> list[str]:
+    """Keep what a provider delivered as the day's snapshot, and drop expired ones of its tickers.
+
+    Nothing is written or dropped if it had no rows. Returns the days from which
+    something was dropped.
+    """
+    spark = provider.sparkSession
+    if isinstance(as_of, date) and not isinstance(as_of, datetime):
+        as_of = datetime.combine(as_of, time.min)
+    ensure_checkpoint_dir(spark)
+    tickers = provider.select("ticker").distinct().checkpoint()
+    if not tickers.limit(1).count():
+        return []
+    snapshot_write(provider, path, as_of.date())
+    return snapshot_expire(spark, path, as_of, days, tickers)

@@ -6,6 +6,7 @@ range, sources are ranked by a window, admission is a fold over a list.
 
 from __future__ import annotations
 
+# Colours, refusal messages, labels and refused names equal the operators'.
 GREEN, RED = "rgba(144,238,144,0.3)", "rgba(255,182,193,0.3)"
 BULL, BEAR = "rgba(38,166,154,0.9)", "rgba(239,83,80,0.9)"
 
@@ -217,10 +218,10 @@ _RANKED = """
       SELECT *, 1 AS rank, 's3_cache' AS source, 'AWS S3 cache' AS label FROM snapshot
       UNION ALL
       SELECT *, 2, 's3_csv', 'AWS S3 CSV' FROM bars
-      WHERE CAST(split_part(ticker, '#', 2) AS INTEGER) <= 15 AND year(time) = 1998
+      WHERE CAST(split_part(ticker, '#', 2) AS INTEGER) % 2 = 0 AND year(time) = 1998
       UNION ALL
       SELECT *, 3, 'local_csv', 'local CSV backup' FROM bars
-      WHERE ticker = 'Brand#20' AND year(time) = 1999
+      WHERE ticker = 'Brand#25' AND year(time) = 1999
       UNION ALL
       SELECT *, 4, 'yahoo_finance', 'Yahoo Finance' FROM provider)"""
 
@@ -313,13 +314,46 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT ticker FROM fresh, free WHERE n <= slots""",
         "registry_refused": f"""WITH {_LANDING}, {_REGISTRY_LINES}, {arrivals}
             SELECT ticker FROM fresh, free WHERE n > slots""",
-        "collect_ingest": f"""WITH {_LANDING}, {_REGISTRY_LINES}, {collected}
+        "collect_ingest": f"""WITH {_LANDING}, {_REGISTRY_LINES}, {collected},
+            sizes AS (SELECT ticker, count(*) FILTER (time >= DATE '1997-01-01' AND time < DATE '1997-12-31')
+                AS rows_processed FROM valid GROUP BY ticker)
             SELECT ticker,
-                   CASE WHEN ticker IN (SELECT ticker FROM fresh, free WHERE n > slots)
+                   CASE WHEN rows_processed = 0 THEN 'no_data'
+                        WHEN ticker IN (SELECT ticker FROM fresh, free WHERE n > slots)
                         THEN 'registry_full' ELSE 'stored' END AS status,
-                   count(*) AS rows_processed,
-                   ticker IN (SELECT ticker FROM existing) AS data_existed
-            FROM collected GROUP BY ticker""",
+                   rows_processed, ends_with(ticker, '3') AS data_existed
+            FROM sizes""",
+        "collect_invalid": f"""WITH {_LANDING}
+            SELECT DISTINCT ticker, 'Ticker must be 1-5 characters long' AS reason
+            FROM landing WHERE contains(ticker, '#')""",
+        "collect_registry": f"""WITH {_LANDING}, {_REGISTRY_LINES}, {collected}
+            SELECT ticker FROM existing
+            UNION ALL SELECT ticker FROM fresh, free WHERE n <= slots""",
+        "csv_guard_kept": f"""{suppliers}
+            SELECT * FROM bars WHERE ticker IN (
+              SELECT ticker FROM bars GROUP BY ticker
+              HAVING sum(length(concat_ws(',', time, open, high, low, close, volume)) + 1) + 32 <= 26000)""",
+        "bars_from_records": cloud,
+        "scan_csv_named": _bars("replace(p_brand, '#', '')"),
+        "scan_objects": f"""{bars}
+            SELECT replace(ticker, '#', '') || '_1998_data.csv' AS key,
+                   CAST(sum(length(concat_ws(',', time, open, high, low, close, volume)) + 1)
+                       AS BIGINT) + 32 AS size
+            FROM bars GROUP BY ticker""",
+        "scan_snapshots": f"""{bars}
+            SELECT * EXCLUDE (lines)
+            FROM (SELECT *, sum(volume) OVER (PARTITION BY ticker) AS lines FROM bars WHERE year(time) = 1998)
+            WHERE lines % 2 = 0""",
+        "scan_registry": f"""WITH {_LANDING}, {_REGISTRY_LINES}
+            SELECT ticker FROM registry_lines UNION SELECT ticker FROM valid""",
+        "snapshot_expire": f"""{bars}
+            SELECT *, DATE '1998-08-26' AS cache_date FROM bars WHERE year(time) = 1996""",
+        "snapshot_refresh": f"""{bars}
+            SELECT *, DATE '1998-08-26' AS cache_date FROM bars WHERE year(time) = 1996
+            UNION ALL
+            SELECT *, DATE '1998-08-25' FROM bars WHERE year(time) = 1995 AND NOT ends_with(ticker, '1')
+            UNION ALL
+            SELECT *, DATE '1998-09-01' FROM bars WHERE ends_with(ticker, '1')""",
         "source_cascade": f"""WITH {_SNAPSHOT}, {_RANKED}
             SELECT * EXCLUDE (rank) FROM offered
             QUALIFY rank = min(rank) OVER (PARTITION BY ticker)""",

@@ -7,17 +7,21 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trendcloud import schema
 from trendcloud.operators import access, admission, bars, cascade, catalog, indicators
 from trendcloud.operators import registry, series, snapshots, tickers
 from trendcloud.params import CloudParams
 from trendcloud.plans.jobs import collect_ingest as run_collect
 from trendcloud.plans.jobs import landing_bars
+from trendcloud.plans.jobs import refresh_snapshot as run_refresh
 from trendcloud.sources import files, tables
 from trendcloud.streaming import admission as admission_streaming
 
 FAST = CloudParams(5, 10, 10, 20, 10)
 SNAPSHOT_DAY = date(1998, 6, 30)
+YEAR_END = date(1998, 12, 31)
 AS_OF = datetime(1998, 9, 1, 12, 0)
 CSV_SUFFIX = "_1998_data.csv"
 
@@ -189,6 +193,62 @@ def csv_guard(spark, sf_dir):
     return bars.csv_guard(tables.supplier_bars(spark, sf_dir), 26_000)[1]
 
 
+@query
+def csv_guard_kept(spark, sf_dir):
+    """The series that `csv_guard` does not refuse."""
+    return bars.csv_guard(tables.supplier_bars(spark, sf_dir), 26_000)[0]
+
+
+@query
+def bars_from_records(spark, sf_dir):
+    """The indicator as JSON records, read back with the types of its further fields."""
+    cloud = _cloud(spark, sf_dir)
+    extra = T.StructType([f for f in cloud.schema if f.name not in schema.BARS.names])
+    return bars.bars_from_json(bars.records_json(cloud), extra=extra)
+
+
+@query
+def scan_csv_named(spark, sf_dir):
+    """Bars exported as one CSV file per ticker, named by it, and scanned again."""
+    return files.scan_bars(spark, _exported(spark, sf_dir), glob=f"*{CSV_SUFFIX}")
+
+
+def _exported(spark, sf_dir):
+    """Series files, named by ticker, and the registry in a folder as outside programs lay them out."""
+    path = files.scratch_dir(spark, "store")
+    named = tables.brand_bars(spark, sf_dir).withColumn("_file", F.replace("ticker", F.lit("#"), F.lit("")))
+    files.export_named(named.drop("ticker"), f"{path}/data", "_file", "csv", CSV_SUFFIX)
+    return f"{path}/data"
+
+
+@query
+def scan_objects(spark, sf_dir):
+    """The listing of those files: keys and sizes."""
+    return files.scan_objects(spark, _exported(spark, sf_dir)).select("key", "size")
+
+
+@query
+def scan_snapshots(spark, sf_dir):
+    """Snapshots exported as JSON files, named by ticker and day, and a day's bars read from them."""
+    path = files.scratch_dir(spark, "cache")
+    envelopes = tables.snapshot_envelopes(spark, sf_dir, yearly=True)
+    symbol = F.replace("ticker", F.lit("#"), F.lit(""))
+    named = envelopes.withColumn("_file", F.concat(symbol, F.lit("_"), F.col("cache_date").cast("string")))
+    files.export_named(named.drop("cache_date"), path, "_file", "json", ".json")
+    return snapshots.snapshot_read(files.scan_snapshots(spark, path), YEAR_END)
+
+
+@query
+def scan_registry(spark, sf_dir):
+    """The registry as a text file, read and rewritten sorted with the arrivals, and read again."""
+    path = files.scratch_dir(spark, "registry")
+    tables.registry_lines(spark, sf_dir).write.text(path)
+    listed = registry.registry_list(files.scan_registry(spark, path))
+    merged, _ = registry.registry_merge(listed.distinct(), _arrivals(spark, sf_dir))
+    files.registry_write(merged, path)
+    return registry.registry_list(files.scan_registry(spark, path))
+
+
 @query
 def scan_csv(spark, sf_dir):
     """Bars written as CSV and scanned again."""
@@ -201,7 +261,7 @@ def scan_csv(spark, sf_dir):
 def scan_parquet(spark, sf_dir):
     path = files.scratch_dir(spark, "bars-parquet")
     files.write_bars(tables.brand_bars(spark, sf_dir), path)
-    return files.scan_bars(spark, path, "parquet").select("ticker", *bars.schema.BAR_NAMES)
+    return files.scan_bars(spark, path, "parquet").select("ticker", *schema.BAR_NAMES)
 
 
 # Tickers
@@ -255,30 +315,65 @@ def registry_refused(spark, sf_dir):
 # Sources, snapshots, catalogue
 
 
-@query
-def collect_ingest(spark, sf_dir):
-    """The collection job end to end; its report."""
-    return run_collect(
+def _collected(spark, sf_dir):
+    """The collection job over a store that holds the brands of large parts, and its registry."""
+    path = files.scratch_dir(spark, "collected")
+    _registry(spark, sf_dir).select(F.col("ticker").alias("value")).write.text(f"{path}/registry")
+    held = landing_bars(tables.landing(spark, sf_dir)).filter(F.endswith("ticker", F.lit("3")))
+    files.write_bars(held, f"{path}/bars")
+    done = run_collect(
         tables.landing(spark, sf_dir),
-        _registry(spark, sf_dir),
-        files.scratch_dir(spark, "collected"),
+        f"{path}/bars",
+        f"{path}/registry",
         "1997-01-01",
         "1997-12-31",
         max_tickers=24,
-    ).report
+    )
+    return path, done
+
+
+@query
+def collect_ingest(spark, sf_dir):
+    """The collection job end to end; its report."""
+    return _collected(spark, sf_dir)[1].report
+
+
+@query
+def collect_invalid(spark, sf_dir):
+    """The names that the collection refuses, with reasons."""
+    return _collected(spark, sf_dir)[1].invalid
+
+
+@query
+def collect_registry(spark, sf_dir):
+    """The registry file as the collection leaves it."""
+    path, _ = _collected(spark, sf_dir)
+    return registry.registry_list(files.scan_registry(spark, f"{path}/registry"))
 
 
 @query
 def source_cascade(spark, sf_dir):
-    """Snapshots first, then stored series, then one local series, then the provider."""
-    provider = tables.brand_bars(spark, sf_dir)
+    """Snapshots first, then stored series, then one local series, then the provider.
+
+    All sources are stored tables; which tickers they hold is read from their names alone.
+    """
+    path = files.scratch_dir(spark, "sources")
+    every = tables.brand_bars(spark, sf_dir)
+    files.write_bars(every, f"{path}/provider")
+    provider = files.read_series(spark, f"{path}/provider")
     number = F.split_part("ticker", F.lit("#"), F.lit(2)).cast("int")
-    snapshot = snapshots.snapshot_read(tables.snapshot_envelopes(spark, sf_dir), SNAPSHOT_DAY)
-    stored = bars.date_range(provider.filter(number <= 15), "1998-01-01", "1999-01-01")
-    local = bars.date_range(provider, "1999-01-01", "2000-01-01")
+    files.write_bars(bars.date_range(provider.filter(number % 2 == 0), "1998-01-01", "1999-01-01"), f"{path}/stored")
+    files.write_bars(bars.date_range(provider, "1999-01-01", "2000-01-01"), f"{path}/local")
+    files.snapshot_write(snapshots.snapshot_read(tables.snapshot_envelopes(spark, sf_dir), SNAPSHOT_DAY), f"{path}/cache", SNAPSHOT_DAY)
     return cascade.resolve_sources(
         cascade.gate_sources(
-            snapshot, stored, local, provider, use_csv=True, use_s3=True, local_ticker="Brand#20"
+            files.scan_snapshot_table(spark, f"{path}/cache", SNAPSHOT_DAY),
+            files.read_series(spark, f"{path}/stored"),
+            files.read_series(spark, f"{path}/local"),
+            provider,
+            use_csv=True,
+            use_s3=True,
+            local_ticker="Brand#25",
         )
     )
 
@@ -296,6 +391,36 @@ def snapshot_write(spark, sf_dir):
     return files.scan_snapshot_table(spark, path, SNAPSHOT_DAY)
 
 
+SNAPSHOT_DAYS = (datetime(1998, 8, 20), datetime(1998, 8, 25), datetime(1998, 8, 26))
+
+
+def _by_year(spark, sf_dir, day):
+    """The bars that a snapshot of a day holds here: those of a year."""
+    start = 1994 + SNAPSHOT_DAYS.index(day)
+    return bars.date_range(tables.brand_bars(spark, sf_dir), f"{start}-01-01", f"{start + 1}-01-01")
+
+
+@query
+def snapshot_expire(spark, sf_dir):
+    """Snapshots of three days, of which two have expired; what is left."""
+    path = files.scratch_dir(spark, "snapshots")
+    for day in SNAPSHOT_DAYS:
+        files.snapshot_write(_by_year(spark, sf_dir, day), path, day.date())
+    files.snapshot_expire(spark, path, AS_OF)
+    return files.scan_snapshot_table(spark, path)
+
+
+@query
+def snapshot_refresh(spark, sf_dir):
+    """A provider delivers the brands whose numbers end in 1; their expired snapshots go, others stay."""
+    path = files.scratch_dir(spark, "snapshots")
+    for day in SNAPSHOT_DAYS[1:]:
+        files.snapshot_write(_by_year(spark, sf_dir, day), path, day.date())
+    provider = tables.brand_bars(spark, sf_dir).filter(F.endswith("ticker", F.lit("1")))
+    run_refresh(provider, path, AS_OF)
+    return files.scan_snapshot_table(spark, path)
+
+
 @query
 def snapshot_expired(spark, sf_dir):
     return snapshots.snapshot_expired(tables.object_listing(spark, sf_dir), AS_OF)
@@ -383,14 +508,17 @@ def admission_minute(spark, sf_dir):
 
 @query
 def admission_stream(spark, sf_dir):
-    """`admission_audit` as a stream over the events files, run until all is read."""
+    """`admission_audit` as a stream over the events in eight files, shuffled, four batches."""
+    path = files.scratch_dir(spark, "admission-stream")
+    log = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    log.repartition(8, F.xxhash64("event_id")).write.parquet(f"{path}/log")
+    size = sum(f.size for f in files.scan_objects(spark, f"{path}/log").select("size").collect())
     return admission_streaming.audit_files(
         spark,
-        sf_dir,
-        files.scratch_dir(spark, "admission-stream"),
-        glob="events.parquet",
+        f"{path}/log",
+        f"{path}/out",
         keys=["user_id"],
         ts="ts",
-        columns=["event_id", "user_id", "ts"],
         window_seconds=86_400,
+        batch_bytes=max(1, size // 4),
     )

@@ -5,11 +5,12 @@ Paths may be any file system Spark reads.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,52 +20,102 @@ from trendcloud.operators.bars import normalize_bars
 from trendcloud.operators.catalog import base_name, key_ticker
 from trendcloud.operators.snapshots import RETENTION_DAYS
 
+#: Folders of a stored table (of each day, for snapshots).
+BUCKETS = 64
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is the one the cluster names in `spark.checkpoint.dir`. Only in local mode,
+    where there is one machine, may it be missing; a new local folder serves then.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="trendcloud-")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; in tests, where none is set, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="trendcloud-")
-    return f"{shared.rstrip('/')}/trendcloud/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/trendcloud/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where there is none (tests)."""
+    """Use the cluster's checkpoint folder; set one only where there is none (local mode)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trendcloud-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def _bucket(buckets: int) -> Column:
+    """The folder of a ticker: tables have as many as there are buckets, whatever the tickers."""
+    number = F.pmod(F.xxhash64(F.coalesce("ticker", F.lit("\x00"))), F.lit(buckets))
+    return F.format_string(f"%05d-of-{buckets}", number)
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> dict[str, str]:
+    """Values of the folders `name=value` below `path`, with the folders' paths."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = (status.getPath() for status in fs.listStatus(root) if status.isDirectory())
+    pairs = ((f, f.getName().partition("=")) for f in found)
+    return {unescape(value): f.toString() for f, (key, sep, value) in pairs if sep and key == name}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # Readers
 
 
 def read_series(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A table stored by ticker, all columns; `ticker` is text even if it looks like a number."""
-    stored = spark.read.format(fmt).load(path).schema
-    ticker = T.StructField("ticker", T.StringType())
-    declared = [ticker if f.name == "ticker" else f for f in stored.fields]
-    return spark.read.schema(T.StructType(declared)).format(fmt).load(path)
+    """A table written by `write_bars`, all its columns; of one in CSV those of a bar."""
+    if fmt == "csv":
+        return scan_bars(spark, path, fmt)
+    return spark.read.format(fmt).load(path).drop("bucket")
 
 
-def scan_bars(spark: SparkSession, path: str, fmt: str = "csv", glob: str | None = None) -> DataFrame:
+def scan_bars(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    glob: str | None = None,
+    corrupt: str | None = None,
+) -> DataFrame:
     """Bars of every file below `path`.
 
-    The ticker is the `ticker=` folder of a partitioned table, else the start of
-    the file name (`AAPL_2024_data.csv`). Lines that cannot be read as a bar keep
-    what could be read.
+    The files are those of `write_bars`, or with `glob` CSV files in any folders,
+    named by ticker (`AAPL_2024_data.csv`). Lines that cannot be read as a bar keep
+    what could be read; with `corrupt` a column of that name holds such lines.
     """
-    ticker = T.StructField("ticker", T.StringType())
     if fmt != "csv":
         return normalize_bars(read_series(spark, path, fmt), schema.BAR_NAMES)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    lines = T.StructField(corrupt, T.StringType()) if corrupt else None
+    fields = [*schema.RAW_BAR.fields, *([] if glob else [T.StructField("ticker", T.StringType())])]
+    declared = T.StructType([*fields, *([lines] if lines else [])])
+    reader = spark.read.schema(declared).option("header", True).option("mode", "PERMISSIVE")
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-        raw = reader.schema(schema.RAW_BAR).csv(path)
+    raw = reader.csv(path)
+    if glob is not None:
         raw = raw.withColumn("ticker", key_ticker(F.col("_metadata.file_name")))
-    else:
-        raw = reader.schema(T.StructType([*schema.RAW_BAR.fields, ticker])).csv(path)
-    return normalize_bars(raw, schema.BAR_NAMES)
+    bars = normalize_bars(raw, schema.BAR_NAMES, further=[corrupt] if corrupt else [])
+    return bars
 
 
 def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -81,16 +132,15 @@ def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumn("cache_date", parse_day(stamp))
 
 
-def scan_snapshot_table(spark: SparkSession, path: str, as_of: date) -> DataFrame:
-    """Bars of one day of a table of `snapshot_write`; only its folder is listed and read."""
-    declared = T.StructType(
-        [
-            *[f for f in schema.BARS if f.name != "ticker"],
-            T.StructField("cache_date", T.DateType()),
-            T.StructField("ticker", T.StringType()),
-        ]
-    )
-    rows = spark.read.schema(declared).parquet(path)
+def scan_snapshot_table(spark: SparkSession, path: str, as_of: date | None = None) -> DataFrame:
+    """Bars of one day of a table of `snapshot_write`, or of all days with their `cache_date`.
+
+    Of one day only its folder is listed and read.
+    """
+    days = T.StructField("cache_date", T.DateType())
+    rows = spark.read.schema(T.StructType([*schema.BARS.fields, days])).parquet(path)
+    if as_of is None:
+        return rows.select(*schema.BARS.names, "cache_date")
     return rows.filter(F.col("cache_date") == F.lit(as_of)).select(*schema.BARS.names)
 
 
@@ -123,29 +173,48 @@ def scan_access_log(spark: SparkSession, path: str) -> DataFrame:
 # Writers
 
 
-def _by_ticker(df: DataFrame) -> DataFrame:
-    # Brings rows of a ticker together for few files; adaptive execution still
-    # splits a ticker that is too big for one task.
-    return df.hint("rebalance", "ticker")
-
+def _replace(df: DataFrame, path: str, fmt: str, buckets: int, day: date | None) -> None:
+    """Write the rows by bucket; rows of other tickers in the same buckets stay.
 
-def write_bars(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write series, replacing those of the same tickers and leaving the others."""
-    out = _by_ticker(df).write.mode("overwrite").format(fmt)
+    A bucket is written as a whole: what stays in it is read first, and only from
+    the buckets that the new tickers lie in. Rows of a bucket are brought together
+    for few files, and adaptive execution still splits one that is too big.
+    """
+    spark = df.sparkSession
+    folder = path if day is None else f"{path}/cache_date={day.isoformat()}"
+    held = _folders(spark, folder, "bucket")
+    if any(not name.endswith(f"-of-{buckets}") for name in held):
+        raise ValueError(f"{folder} has another number of buckets")
+    out = df.withColumn("bucket", _bucket(buckets))
+    if held:
+        ensure_checkpoint_dir(spark)
+        names = out.select("ticker", "bucket").distinct().checkpoint()
+        touched = [r["bucket"] for r in names.select("bucket").distinct().collect()]  # at most `buckets`
+        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+        reader = reader.schema(T.StructType([*df.schema.fields, T.StructField("bucket", T.StringType())]))
+        stays = reader.format(fmt).load(folder).filter(F.col("bucket").isin(touched))
+        gone = names.select(F.col("ticker").alias("_new"))
+        stays = stays.join(gone, F.col("ticker").eqNullSafe(F.col("_new")), "left_anti")
+        out = out.unionByName(stays)
+    keys = ["bucket", "ticker"] + [c for c in ("time",) if c in df.columns]
+    writer = out.hint("rebalance", "bucket").sortWithinPartitions(*keys).write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        out = out.option("header", True)
-    out.option("partitionOverwriteMode", "dynamic").partitionBy("ticker").save(path)
-
-
-def snapshot_write(df: DataFrame, path: str, as_of: date) -> None:
-    """Write series as the snapshots of the day `as_of`, replacing that day's."""
-    (
-        _by_ticker(df.withColumn("cache_date", F.lit(as_of)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("cache_date", "ticker")
-        .parquet(path)
-    )
+        writer = writer.option("header", True)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").save(folder)
+
+
+def write_bars(df: DataFrame, path: str, fmt: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Write series, replacing those of the same tickers and leaving the others.
+
+    Tickers share a fixed number of folders, and inside files rows are sorted by
+    ticker, so millions of tickers make no more files than a few.
+    """
+    _replace(df.select(*[c for c in df.columns if c != "ticker"], "ticker"), path, fmt, buckets, None)
+
+
+def snapshot_write(df: DataFrame, path: str, as_of: date, buckets: int = BUCKETS) -> None:
+    """Write series as the snapshots of the day `as_of`, replacing that day's of the same tickers."""
+    _replace(df, path, "parquet", buckets, as_of)
 
 
 def snapshot_expire(
@@ -153,38 +222,75 @@ def snapshot_expire(
     path: str,
     as_of: datetime,
     days: int = RETENTION_DAYS,
-    ticker: str | None = None,
+    tickers: DataFrame | None = None,
     everything: bool = False,
 ) -> list[str]:
-    """Drop expired folders of a snapshot table; returns what was dropped.
+    """Drop expired days of a snapshot table; returns the days something was dropped from.
 
-    A day is expired if its midnight is more than `days` before `as_of`. With
-    `ticker` only that ticker's folders go, with `everything` all of any age.
-    Folder names decide; no data is read.
+    A day is expired if its midnight is more than `days` before `as_of`. Folder
+    names decide, and a whole day goes without being read. With `tickers` (a column
+    of that name) only their rows go: expired days are written again without them.
+    With `everything` days of any age go.
     """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     cutoff = as_of - timedelta(days=days)
     dropped = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        day = _folder_day(folder.getName())
-        if day is None or not (everything or datetime.combine(day, time.min) < cutoff):
+    for value, folder in sorted(_folders(spark, path, "cache_date").items()):
+        try:
+            day = date.fromisoformat(value)
+        except ValueError:
+            continue
+        if not (everything or datetime.combine(day, time.min) < cutoff):
             continue
-        if ticker is not None:
-            folder = jvm.org.apache.hadoop.fs.Path(folder, f"ticker={ticker}")
-        if fs.exists(folder) and fs.delete(folder, True):
-            dropped.append(day.isoformat() if ticker is None else f"{day.isoformat()}/{ticker}")
-    return sorted(dropped)
-
-
-def _folder_day(name: str) -> date | None:
-    prefix, _, value = name.partition("=")
-    try:
-        return date.fromisoformat(value) if prefix == "cache_date" else None
-    except ValueError:
-        return None
+        if tickers is None:
+            _delete(spark, folder)
+            dropped.append(day.isoformat())
+        elif _without(spark, folder, tickers):
+            dropped.append(day.isoformat())
+    return dropped
+
+
+def _without(spark: SparkSession, folder: str, tickers: DataFrame) -> bool:
+    """Take tickers out of one day of a snapshot table; tells whether there were any."""
+    bucket = T.StructField("bucket", T.StringType())
+    rows = spark.read.schema(T.StructType([*schema.BARS.fields, bucket])).parquet(folder)
+    gone = tickers.select(F.col("ticker").alias("_gone")).distinct()
+    same = F.col("ticker").eqNullSafe(F.col("_gone"))
+    touched = [r["bucket"] for r in rows.join(gone, same, "left_semi").select("bucket").distinct().collect()]
+    if not touched:
+        return False
+    rest = rows.filter(F.col("bucket").isin(touched)).join(gone, same, "left_anti")
+    ensure_checkpoint_dir(spark)
+    rest = rest.checkpoint()
+    left = {r["bucket"] for r in rest.select("bucket").distinct().collect()}
+    writer = rest.hint("rebalance", "bucket").sortWithinPartitions("bucket", "ticker", "time").write
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    held = _folders(spark, folder, "bucket")
+    for name in set(touched) - left:
+        _delete(spark, held.pop(name))
+    if not held:
+        _delete(spark, folder)
+    return True
+
+
+def export_named(df: DataFrame, path: str, name: str, fmt: str, extension: str) -> None:
+    """One file per value of the column `name`, called `<value><extension>`; for readers outside Spark.
+
+    Each value's rows are one file, so this is for exchange, not for storage; the
+    files are named by the driver, one rename each.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    rows = df.withColumn("_name", F.col(name)).drop(name).repartition("_name")
+    rows = rows.sortWithinPartitions("_name", *[c for c in ("time",) if c in df.columns])
+    rows.write.format(fmt).option("header", True).option("ignoreNullFields", False).partitionBy("_name").save(staged)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for value, folder in _folders(spark, staged, "_name").items():
+        parts = [x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
+        (part,) = [x for x in parts if x.getName().startswith("part-")]
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(root, value + extension))
+    _delete(spark, staged)
 
 
 def registry_write(registry: DataFrame, path: str) -> None:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from trendcloud.operators.access import access_records
 from trendcloud.schema import BAR_NAMES
 
-# Cents of a price fit below this, so order key and price make one sortable number.
-_PRICE_SLOTS = 1 << 24
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,25 +21,26 @@ def _daily(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines to one bar per value of `keys` and shipping day.
 
     Open and close are the prices of the first and last line by (order key,
-    price). Both buffers of min_by/max_by are plain numbers, so the aggregation
-    hashes (and combines before the shuffle) instead of sorting; rows that tie
-    have the same price, so the result is the same on every run.
+    price). The two make one decimal, wide enough for any BIGINT key and prices
+    below 10^13 to six places, as buffers that are plain numbers let the aggregation
+    hash (and combine before the shuffle) where a struct would make it sort. Rows
+    that tie have the same price, so the result is the same on every run.
     """
     price = F.col("l_extendedprice")
-    cents = (price * 100 + 0.5).cast("bigint")
+    order = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**13).cast("decimal(14,0)")
     return (
         lines.select(
             *keys,
             F.col("l_shipdate").cast("date").alias("time"),
             price.alias("price"),
-            (F.col("l_orderkey") * F.lit(_PRICE_SLOTS) + cents).alias("slot"),
+            (order + price.cast("decimal(19,6)")).alias("place"),
         )
         .groupBy(*keys, "time")
         .agg(
-            F.min_by("price", "slot").alias("open"),
+            F.min_by("price", "place").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", "slot").alias("close"),
+            F.max_by("price", "place").alias("close"),
             F.count(F.lit(1)).alias("volume"),
         )
     )
@@ -113,16 +111,17 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(key.alias("key"), (F.col("lines") * 64).alias("size"), "last_modified")
 
 
-def snapshot_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per brand and month a snapshot holding the month's bars (31 at most).
+def snapshot_envelopes(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
+    """Per brand and month, or year, a snapshot holding its bars (31, or 366, at most).
 
-    It is dated on the last day of the month; months with an odd number of lines
-    were stamped a day late.
+    It is dated on the last day; those with an odd number of lines were stamped a
+    day late.
     """
     bar = F.struct(F.col("time").cast("string").alias("time"), *BAR_NAMES[1:])
+    last = F.make_date(F.year("time"), F.lit(12), F.lit(31)) if yearly else F.last_day("time")
     monthly = (
         brand_bars(spark, sf_dir)
-        .groupBy("ticker", F.last_day("time").alias("cache_date"))
+        .groupBy("ticker", last.alias("cache_date"))
         .agg(F.collect_list(bar).alias("data"), F.sum("volume").alias("lines"))
     )
     stamped = F.date_add("cache_date", (F.col("lines") % 2).cast("int"))

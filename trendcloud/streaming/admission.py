@@ -1,77 +1,147 @@
 """Admission as a stream: verdicts as requests come in.
 
-State per key is the last `limit` admitted instants, a few numbers in the state
-store.
+Verdicts hang on the order of the requests, and a stream's files come in any. So
+requests are held until the watermark has passed them, and are then judged in
+order by the batch operator, which goes on from the few instants that each key had
+admitted last. The same requests get the same verdicts however they fall into
+files and micro-batches; one that comes when later ones have been judged already
+gets NULL, as do those without a time or a key.
+
+Everything that is held lies in tables in the target folder, so neither memory nor
+a state store grows with a key, and rows never leave Spark's own types.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, admission_audit, check_rule
+from trendcloud.sources.files import exists
+
+
+class _Judge:
+    """Micro-batches in, verdicts out; what is held between them lies in `target`.
+
+    Every step writes its tables under its own number before the step is noted, so
+    a step that breaks off is done again from what the step before it left.
+    """
 
-from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, Admission, check_rule
+    def __init__(self, spark: SparkSession, target: str, keys: list[str], ts: str, limit: int, window: int, lateness: int | None):
+        self.spark, self.target, self.keys, self.ts = spark, target.rstrip("/"), keys, ts
+        self.limit, self.window, self.lateness = limit, window, lateness
 
-STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
+    def _note(self, step: int) -> dict:
+        """What is known after a step: the latest request seen, and up to where requests are judged."""
+        path = f"{self.target}/notes/{step}"
+        if step < 0 or not exists(self.spark, path):
+            return {"seen": None, "judged": None}
+        return json.loads(self.spark.read.text(path).first()["value"])
+
+    def _table(self, name: str, step: int) -> DataFrame | None:
+        path = f"{self.target}/{name}/{step}"
+        return self.spark.read.parquet(path) if step >= 0 and exists(self.spark, path) else None
+
+    def step(self, batch: DataFrame, number: int, last: bool = False) -> None:
+        keys, before = self.keys, self._note(number - 1)
+        at = F.unix_micros(F.col(self.ts).cast("timestamp"))
+        rows = batch.withColumn("_at", at)
+        held = self._table("held", number - 1)
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "_at")])
+        late = F.lit(False) if before["judged"] is None else F.col("_at") <= before["judged"]
+        never = rows.filter(~known | late).withColumn("admitted", F.lit(None).cast("boolean"))
+        fresh = rows.filter(known & ~late)
+        seen = fresh.agg(F.max("_at")).first()[0]
+        seen = max((x for x in (seen, before["seen"]) if x is not None), default=None)
+        pool = fresh if held is None else fresh.unionByName(held)
+        judged = before["judged"]
+        if last:
+            judged = seen
+        elif seen is not None and self.lateness is not None:
+            judged = max(seen - self.lateness - 1, judged if judged is not None else seen - self.lateness - 1)
+        ready = F.lit(False) if judged is None else F.col("_at") <= judged
+        verdicts = self._judged(pool.filter(ready), number, judged)
+        never.drop("_at").write.mode("overwrite").parquet(f"{self.target}/verdicts/step={number}/late")
+        verdicts.write.mode("overwrite").parquet(f"{self.target}/verdicts/step={number}/judged")
+        if not last:
+            pool.filter(~ready).write.mode("overwrite").parquet(f"{self.target}/held/{number}")
+        note = json.dumps({"seen": seen, "judged": judged})
+        self.spark.range(1).select(F.lit(note).alias("value")).write.mode("overwrite").text(f"{self.target}/notes/{number}")
+
+    def _judged(self, ready: DataFrame, number: int, judged: int | None) -> DataFrame:
+        """Verdicts of the requests up to `judged`, and the state that the next step goes on from.
+
+        A key's last admitted instants go through the operator once more in front
+        of the new requests: nothing was admitted between them, so they are again.
+        """
+        keys, window = self.keys, self.window * 1_000_000
+        state = self._table("state", number - 1)
+        new = ready.withColumn("_old", F.lit(False)).withColumn("_time", F.timestamp_micros("_at"))
+        if state is not None:
+            old = state.withColumns({"_old": F.lit(True), "_time": F.timestamp_micros("_at")})
+            new = new.unionByName(old, allowMissingColumns=True)
+        audited = admission_audit(new, keys, "_time", self.limit, self.window)
+        path = f"{self.target}/audited/{number}"
+        audited.write.mode("overwrite").parquet(path)
+        audited = self.spark.read.parquet(path)
+        newest = Window.partitionBy(*keys).orderBy(F.desc("_at"))
+        kept = audited.filter("admitted")
+        if judged is not None:  # older ones cannot touch a later request
+            kept = kept.filter(F.col("_at") > judged - window)
+        kept = kept.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= self.limit)
+        kept.select(*keys, "_at").write.mode("overwrite").parquet(f"{self.target}/state/{number}")
+        return audited.filter(~F.col("_old")).drop("_old", "_time", "_at")
 
 
 def admission_stream(
     log: DataFrame,
+    target: str,
     keys: Sequence[str],
     ts: str,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    lateness: str | None = None,
-) -> DataFrame:
-    """The streaming log with `admitted`.
+    lateness_seconds: int | None = None,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Judge a streaming log; verdicts are appended below `target`, see `read_verdicts`.
 
-    Requests are judged in the order in which micro-batches bring them, inside a
-    batch in the order of `ts`. Every request gets its verdict, and a key's state
-    stays. With `lateness` a key's state goes once the window has passed in event
-    time; Spark then leaves out requests that come later than that.
+    A request is judged once one `lateness_seconds` later has been seen; without
+    that, when `finish_stream` says that the log has ended. The checkpoint lies
+    beside the verdicts, so a run that is broken off goes on where it stopped.
     """
     check_rule(limit, window_seconds)
-    window = window_seconds * 1_000_000
-    timed = log.withColumn("_time", F.col(ts).cast("timestamp")).withColumn(
-        "_at", F.unix_micros("_time")
-    )
-    schema = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
-    columns = log.columns
-    expires = lateness is not None
-
-    def judge(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = Admission(limit, window, state.get[0] if state.exists else ())
-        rows = pd.concat(list(frames)).sort_values("_at", kind="stable", ignore_index=True)
-        at, inverse, requests = np.unique(
-            rows["_at"].to_numpy(), return_inverse=True, return_counts=True
-        )
-        passing = kept.admit(at, requests)
-        number = rows.groupby("_at").cumcount().to_numpy()
-        yield rows[columns].assign(admitted=number < passing[inverse])
-        if not kept.admitted:
-            return
-        state.update((kept.admitted,))
-        if expires:
-            expiry = (max(kept.admitted) + window) // 1000 + 1
-            if expiry > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(expiry)
-            else:
-                state.remove()
-
-    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
-    if expires:
-        timed = timed.withWatermark("_time", lateness)
-    return timed.groupBy(*keys).applyInPandasWithState(judge, schema, STATE, "append", timeout)
+    micros = None if lateness_seconds is None else lateness_seconds * 1_000_000
+    judge = _Judge(log.sparkSession, target, list(keys), ts, limit, window_seconds, micros)
+    writer = log.writeStream.foreachBatch(judge.step).option("checkpointLocation", f"{target}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def finish_stream(
+    spark: SparkSession,
+    target: str,
+    keys: Sequence[str],
+    ts: str,
+    schema,
+    limit: int = LIMIT,
+    window_seconds: int = WINDOW_SECONDS,
+) -> None:
+    """Judge what a stopped stream still holds: its log has ended."""
+    number = 0
+    while exists(spark, f"{target}/notes/{number}"):
+        number += 1
+    judge = _Judge(spark, target, list(keys), ts, limit, window_seconds, None)
+    judge.step(spark.createDataFrame([], schema), number, last=True)
+
+
+def read_verdicts(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The columns of the log and `admitted`, of all requests judged so far."""
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
+    return reader.parquet(f"{target}/verdicts")
 
 
 def audit_files(
@@ -84,32 +154,26 @@ def audit_files(
     columns: Sequence[str] | None = None,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    batch_bytes: int = 1 << 30,
-    lateness: str | None = None,
+    batch_bytes: int | None = None,
+    lateness_seconds: int | None = None,
 ) -> DataFrame:
     """Judge all Parquet files of a folder as a stream, then read the verdicts back.
 
-    `batch_bytes` bounds a micro-batch, and so the rows of a key that are held at once.
-
-    The checkpoint lies beside the verdicts, so a run that is broken off goes on
-    where it stopped.
+    `batch_bytes` bounds a micro-batch; it changes nothing in the verdicts.
     """
     pattern = f"{source.rstrip('/')}/{glob}" if glob else source
     schema = spark.read.parquet(pattern).schema
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
+    reader = spark.readStream.schema(schema)
+    if batch_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", batch_bytes)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     log = reader.parquet(source)
     if columns is not None:
         log = log.select(*columns)
-    run = (
-        admission_stream(log, keys, ts, limit, window_seconds, lateness)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{target}/verdicts")
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    rule = {"limit": limit, "window_seconds": window_seconds}
+    run = admission_stream(log, target, keys, ts, lateness_seconds=lateness_seconds, available_now=True, **rule)
     run.awaitTermination()
-    return spark.read.parquet(f"{target}/verdicts")
+    finish_stream(spark, target, keys, ts, log.schema, **rule)
+    out = log.schema.add("admitted", "boolean")
+    return read_verdicts(spark, target, out)
