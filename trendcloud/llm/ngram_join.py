@@ -55,7 +55,7 @@ WORDS, PERCENT = 5, 80
 TILE_SETS, TILE_INCIDENCES = 4096, 4 << 20
 
 _PACKED = "kind int, keys binary, sizes binary, counts binary, cols binary, freq binary, ids binary, nulls binary"
-_KINDS = {"keys": "<i8", "sizes": "<i4", "counts": "<i4", "freq": "<u2", "ids": "<i8", "nulls": "u1"}
+_KINDS = {"keys": "<i8", "sizes": "<i4", "counts": "<u2", "freq": "<u2", "ids": "<i8", "nulls": "u1"}
 
 
 def shingle_sets(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,18 @@ def _split(into: np.ndarray, **columns: np.ndarray) -> tuple[np.ndarray, dict[st
     }
 
 
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal neighbours as (owner, count) with counts of two bytes; longer runs are cut."""
+    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    n = np.diff(np.append(begin, len(owner)))
+    cuts = -(-n // 65535)
+    own = np.repeat(owner[begin], cuts)
+    out = np.full(len(own), 65535, np.int64)
+    last = np.cumsum(cuts) - 1
+    out[last] = n - 65535 * (cuts - 1)
+    return own, out.astype("<u2")
+
+
 def _incidences(size: int, parts: int):
     """Texts to packed incidences by column block (kind 0), and each document's set (kind 1)."""
 
@@ -141,12 +153,11 @@ def _incidences(size: int, parts: int):
             used, first = np.unique(part, return_index=True)
             at = [*first.tolist(), len(part)]
             low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6])
-            rows: dict[str, list[bytes]] = {"keys": [], "sizes": [], "counts": [], "cols": []}
+            rows: dict[str, list[bytes]] = {"keys": [], "counts": [], "cols": []}
             for a, b in zip(at, at[1:], strict=False):
-                own, n = np.unique(owner[a:b], return_counts=True)
+                own, n = _runs(owner[a:b])
                 rows["keys"].append(keys[own].tobytes())
-                rows["sizes"].append(sizes[own].astype("<i4").tobytes())
-                rows["counts"].append(n.astype("<i4").tobytes())
+                rows["counts"].append(n.tobytes())
                 rows["cols"].append(low[a:b].tobytes())
             yield _rows(0, "part", used, rows)
 
@@ -179,7 +190,7 @@ def _shared_columns(buckets: int):
                 if kind == 1:
                     docs.add(batch, row, {c: _KINDS[c] for c in ("ids", "nulls", "sizes", "keys")})
                     continue
-                cells.add(batch, row, {c: _KINDS[c] for c in ("keys", "sizes", "counts")})
+                cells.add(batch, row, {c: _KINDS[c] for c in ("keys", "counts")})
                 low = np.frombuffer(batch.column("cols")[row].as_buffer(), np.uint8).reshape(-1, 6)
                 col = np.zeros((len(low), 8), np.uint8)
                 col[:, :6] = low
@@ -193,7 +204,7 @@ def _shared_columns(buckets: int):
                 yield _rows(1, "bucket", used, packed)
         if not blocks:
             return
-        col, keys, sizes = np.concatenate(blocks), cells["keys"], cells["sizes"]
+        col, keys = np.concatenate(blocks), cells["keys"]
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), cells["counts"])
         order = np.argsort(col, kind="stable")
         col, owner = col[order], owner[order]
@@ -217,12 +228,11 @@ def _shared_columns(buckets: int):
         col, owner, freq = col[order], owner[order], freq[order]
         used, first = np.unique(bucket[owner], return_index=True)
         at = [*first.tolist(), len(owner)]
-        rows: dict[str, list[bytes]] = {"keys": [], "sizes": [], "counts": [], "cols": [], "freq": []}
+        rows: dict[str, list[bytes]] = {"keys": [], "counts": [], "cols": [], "freq": []}
         for a, b in zip(at, at[1:], strict=False):
-            own, begin, n = np.unique(keys[owner[a:b]], return_index=True, return_counts=True)
+            own, n = _runs(keys[owner[a:b]])
             rows["keys"].append(own.tobytes())
-            rows["sizes"].append(sizes[owner[a:b]][begin].astype("<i4").tobytes())
-            rows["counts"].append(n.astype("<i4").tobytes())
+            rows["counts"].append(n.tobytes())
             rows["cols"].append(col[a:b].tobytes())
             rows["freq"].append(freq[a:b].astype("<u2").tobytes())
         yield _rows(0, "bucket", used, rows)
@@ -238,17 +248,18 @@ def _sets_of(percent: int):
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Gathered()
+        cells, known = _Gathered(), _Gathered()
         for batch in batches:
             for row, kind in enumerate(batch.column("kind").to_pylist()):
                 if kind == 0:
-                    names = ("keys", "sizes", "counts", "freq")
+                    names = ("keys", "counts", "freq")
                     cells.add(batch, row, {c: _KINDS[c] for c in names} | {"cols": "<u8"})
                     continue
                 ids, missing, sizes, keys = (
                     np.frombuffer(batch.column(c)[row].as_buffer(), _KINDS[c])
                     for c in ("ids", "nulls", "sizes", "keys")
                 )
+                known.add(batch, row, {"keys": "<i8", "sizes": "<i4"})
                 none = pa.nulls(len(ids), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -264,11 +275,12 @@ def _sets_of(percent: int):
         if not len(cells["keys"]):
             return
         owner = np.repeat(np.arange(len(cells["keys"])), cells["counts"])
-        key, size, col, freq = cells["keys"][owner], cells["sizes"][owner], cells["cols"], cells["freq"]
-        order = np.lexsort((col, freq, key))
-        key, size, col = key[order], size[order], col[order]
+        key, col = cells["keys"][owner], cells["cols"]
+        order = np.lexsort((col, cells["freq"], key))
+        key, col = key[order], col[order]
         own, first, met = np.unique(key, return_index=True, return_counts=True)
-        size = size[first].astype(np.int64)
+        named, at = np.unique(known["keys"], return_index=True)
+        size = known["sizes"][at][np.searchsorted(named, own)].astype(np.int64)
         left = 100 * met >= percent * size
         prefix = size - -(-percent * size // 100) + 1 - (size - met)
         cols = [col[a : a + n].tobytes() for a, n in zip(first[left], met[left], strict=True)]
@@ -301,7 +313,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link(percent: int):
-    """A tile's links: each set of a group but its first, with that first one."""
+    """A tile's links: each set of a group with the first of them, itself included."""
 
     def link(tile: pa.Table) -> pa.Table:
         keys = tile["key"].to_numpy()
@@ -388,7 +400,7 @@ def ngram_groups(
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     n = shuffle_partitions(docs.sparkSession)
-    parts = min(2 * n, 1 << 15)
+    parts = min(n, 1 << 15)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent = chosen.mapInArrow(_incidences(words, parts), f"part int, {_PACKED}")
     shared = sent.repartition(n, "part").mapInArrow(_shared_columns(2 * n), f"bucket int, {_PACKED}")
