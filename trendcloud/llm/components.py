@@ -30,12 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
         # (low = a node, high = one of its neighbours)
         least = both.groupBy("low").agg(F.least(F.min("high"), F.first("low")).alias("least"))
-        large = (
-            both.filter("high > low")
-            .join(least, "low")
-            .select(F.col("least").alias("low"), "high")
-            .distinct()
-        )
+        large = both.filter("high > low").join(least, "low").select(F.col("least").alias("low"), "high")
         smaller = large.groupBy("high").agg(F.min("low").alias("least"))
         small = large.join(smaller, "high")
         small = (

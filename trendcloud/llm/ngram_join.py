@@ -331,7 +331,7 @@ def _link(percent: int):
             if not alive[first]:
                 continue
             alive[first] = False
-            queue = [first]
+            queue, before = [first], len(a)
             while queue:
                 row = queue.pop()
                 if alive.sum() * 2 < len(open_):
@@ -349,6 +349,9 @@ def _link(percent: int):
                 queue += linked.tolist()
                 a += keys[linked].tolist()
                 b += [int(keys[first])] * len(linked)
+            if len(a) > before:
+                a.append(int(keys[first]))
+                b.append(int(keys[first]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return link
@@ -372,11 +375,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum(F.length("cols")) / (8 * TILE_INCIDENCES))
         ).alias("blocks")
     )
+    load = stored(load, "load")
     placed = clustered.join(load, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "key", "size", "cols"
     )
     links = tiles.groupBy("cluster", "row", "column").applyInArrow(_link(percent), "a long, b long")
+    if not load.filter("blocks > 1").limit(1).count():  # then each group lies in one tile, as a star
+        return links.select(F.col("a").alias("key"), F.col("b").alias("root"))
     found = components(links)
     return found.select(F.col("node").alias("key"), "root")
 
