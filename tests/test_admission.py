@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trendcloud.operators import admission
 from trendcloud.streaming.admission import audit_files
@@ -97,13 +98,33 @@ def test_walk_over_small_batches(spark):
 def test_quiet_spells_cut_a_key(spark):
     df = log_of(spark, [("a", "x", t) for t in (0, 59, 118, 178, 237, 1000)])
     instants = df.groupBy("ip", admission._micros("ts").alias("_at")).count()
-    cut = admission._stretches(
-        instants.withColumnRenamed("count", "_requests"), ["ip"], 60_000_000
-    ).collect()
-    by_stretch = {}
-    for r in cut:
-        by_stretch.setdefault(r["_stretch"], []).append(r["_at"])
-    assert sorted(len(v) for v in by_stretch.values()) == [1, 2, 3]
+    sliced = instants.withColumn("_slice", F.expr("_at div 60000000"))
+    cut = admission._segments(sliced, ["ip"], 60_000_000, 1000).collect()
+    assert len({r["_stretch"] for r in cut}) == 3 and {r["_segment"] for r in cut} == {0}
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_segments_of_a_key_that_never_pauses(spark, rows):
+    """Walked apart and again until every segment started from the right state."""
+    rng = random.Random(rows)
+    hits, t = [], -3000  # instants before 1970 have slices below zero
+    for _ in range(500):
+        t += rng.choice([0, 1, 3, 7, 11, 19])
+        hits.append(("a", "x", t))
+    df = log_of(spark, hits)
+    found = admission.admitted_instants(df, ["ip"], "ts", 3, 20, segment_rows=rows)
+    passed = Counter()
+    for (_, _, at), ok in zip(hits, loop([h[2] for h in hits], 3, 20), strict=True):
+        passed[int((START + timedelta(seconds=at) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000] += ok
+    assert {r["_at"]: r["_admitted"] for r in found.collect()} == dict(passed)
+
+
+def test_a_key_that_never_pauses_uses_several_tasks(spark):
+    df = spark.range(400_000).selectExpr("'a' ip", "timestamp_micros(id * 50000) ts")
+    found = admission.admitted_instants(df, ["ip"], "ts", 5, 60, segment_rows=20_000)
+    assert found.groupBy("_admitted").count().count() == 2
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1 and found.agg(F.sum("_admitted")).first()[0] == 5 * -(-400_000 * 50 // 60_000)
 
 
 def test_leaps_over_refused_instants():

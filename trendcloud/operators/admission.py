@@ -10,8 +10,15 @@ small and cut up first:
   walk decides how many of them pass, so the log itself never goes to Python;
 * a quiet spell of at least the window clears the state, so a key's instants
   are cut at quiet spells into stretches that are walked apart from each other;
+* a stretch without a quiet spell is cut into segments of bounded size. All are
+  walked at once, as if nothing had been admitted before; those for which that
+  was wrong are walked again from what the one before has left, until every
+  segment started from the right state. The result is that of one long walk;
 * the walk streams over Arrow batches and leaps over refused instants; it never
-  holds a key or a stretch in memory.
+  holds a key, a stretch or a segment in memory.
+
+The counted instants are checkpointed, so the log is read once for them; the
+operators here therefore run jobs when they are called.
 """
 
 from __future__ import annotations
@@ -27,8 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendcloud.sources.files import ensure_checkpoint_dir
+
 LIMIT = 5
 WINDOW_SECONDS = 60
+#: Instants of a segment, about: a slice of one window's length is never cut.
+SEGMENT_ROWS = 1_000_000
 
 # The walk travels to the workers with its helpers, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,71 +85,142 @@ def check_rule(limit: int, window_seconds: int) -> None:
         raise ValueError("limit and window must be at least 1")
 
 
-def _stretches(instants: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Add `_stretch`: instants of one key in different stretches do not affect each other.
+def _segments(instants: DataFrame, keys: list[str], window: int, rows: int) -> DataFrame:
+    """(keys, _slice, _stretch, _segment, _first) of every slice of one window's length that has instants.
 
-    Instants at least a window apart never share a slice of one window's length,
-    so quiet spells are found from the first and last instant of each slice.
+    Instants of different stretches do not affect each other: instants at least a
+    window apart never share a slice, so quiet spells are found from the first and
+    last instant of each. A stretch is cut where its counts pass `rows`; `_first` is
+    a segment's first instant. These are small rows, one per key and slice.
     """
-    sliced = instants.withColumn("_slice", F.floor(F.col("_at") / F.lit(window)))
-    spans = sliced.groupBy(*keys, "_slice").agg(
-        F.min("_at").alias("_first"), F.max("_at").alias("_end")
+    spans = instants.groupBy(*keys, "_slice").agg(
+        F.min("_at").alias("_begin"), F.max("_at").alias("_end"), F.count(F.lit(1)).alias("_rows")
     )
     order = Window.partitionBy(*keys).orderBy("_slice")
-    quiet = F.col("_first") - F.lag("_end").over(order) >= window
+    quiet = F.col("_begin") - F.lag("_end").over(order) >= window
     marked = spans.withColumn("_opens", F.when(F.coalesce(quiet, F.lit(True)), F.col("_slice")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = marked.select(*keys, "_slice", F.max("_opens").over(upto).alias("_stretch"))
-    joined = sliced.join(numbered, [*keys, "_slice"])
-    return joined.select(*keys, "_stretch", "_at", "_requests")
+    stretched = marked.withColumn("_stretch", F.max("_opens").over(upto))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy("_slice")
+    before = F.sum("_rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
+    cut = stretched.withColumn("_before", before).withColumn("_segment", F.expr(f"_before div {rows}"))
+    own = Window.partitionBy(*keys, "_stretch", "_segment")
+    return cut.select(*keys, "_slice", "_stretch", "_segment", F.min("_begin").over(own).alias("_first"))
 
 
-def admitted_instants(
-    log: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    limit: int = LIMIT,
-    window_seconds: int = WINDOW_SECONDS,
-) -> DataFrame:
-    """Per key and instant: `_requests` there were and `_admitted` that were let in."""
-    check_rule(limit, window_seconds)
-    keys = list(keys)
-    window = window_seconds * 1_000_000
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
-    timed = log.filter(known).select(*keys, _micros(ts).alias("_at"))
-    # Always true, but it makes every use of the instants need the count: their
-    # shuffles are then the same, and Spark runs one for all.
-    counted = F.col("_requests") > 0
-    instants = (
-        timed.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_requests")).filter(counted)
-    )
-    stretched = _stretches(instants, keys, window)
-    ordered = stretched.repartition(*keys, "_stretch").sortWithinPartitions(
-        *keys, "_stretch", "_at"
+def _walk(rows: DataFrame, keys: list[str], limit: int, window: int) -> DataFrame:
+    """Instants with `_admitted`; and behind each segment a row without instant, its `_left` state.
+
+    `rows` has `_state`, the admitted instants that a segment starts from.
+    """
+    names = [*keys, "_stretch", "_segment"]
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "_at")
+    given = ordered.select(*names, "_at", "_requests", "_state")
+    kind = T.StructType(
+        [
+            *[T.StructField(c, given.schema[c].dataType) for c in (*names, "_at", "_requests")],
+            T.StructField("_admitted", T.LongType()),
+            T.StructField("_left", T.ArrayType(T.LongType())),
+        ]
     )
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_admitted", T.LongType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         state = Admission(limit, window)
+        place: list[pa.Array] = []
+
+        def left() -> pa.RecordBatch:
+            none = [pa.nulls(1, pa.int64()) for _ in range(3)]
+            return pa.RecordBatch.from_arrays(
+                [*place, *none, pa.array([state.admitted], pa.list_(pa.int64()))],
+                names=[*names, "_at", "_requests", "_admitted", "_left"],
+            )
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             at = batch.column("_at").to_numpy()
             requests = batch.column("_requests").to_numpy()
-            names = [batch.column(c) for c in (*keys, "_stretch")]
-            ends = _run_ends(names, batch.num_rows)
+            columns = [batch.column(c) for c in names]
             admitted = np.zeros(batch.num_rows, dtype=np.int64)
+            closed = []
             start = 0
-            for end in ends:
-                name = tuple(c[start].as_py() for c in names)
+            for end in _run_ends(columns, batch.num_rows):
+                name = tuple(c[start].as_py() for c in columns)
                 if name != current:
-                    current, state = name, Admission(limit, window)
+                    if current is not None:
+                        closed.append(left())
+                    current, place = name, [c.slice(start, 1) for c in columns]
+                    state = Admission(limit, window, batch.column("_state")[start].as_py() or ())
                 admitted[start:end] = state.admit(at[start:end], requests[start:end])
                 start = end
-            yield batch.append_column("_admitted", pa.array(admitted))
+            yield from closed
+            yield pa.RecordBatch.from_arrays(
+                [*columns, batch.column("_at"), batch.column("_requests"), pa.array(admitted),
+                 pa.nulls(batch.num_rows, pa.list_(pa.int64()))],
+                names=[*names, "_at", "_requests", "_admitted", "_left"],
+            )
+        if current is not None:
+            yield left()
+
+    return given.mapInArrow(walk, kind)
+
+
+def admitted_instants(
+    log: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    limit: int = LIMIT,
+    window_seconds: int = WINDOW_SECONDS,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Per key and instant: `_requests` there were and `_admitted` that were let in."""
+    check_rule(limit, window_seconds)
+    keys = list(keys)
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    window = window_seconds * 1_000_000
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
+    timed = log.filter(known).select(*keys, _micros(ts).alias("_at"))
+    at = F.col("_at")
+    instants = (
+        timed.groupBy(*keys, "_at")
+        .agg(F.count(F.lit(1)).alias("_requests"))
+        .withColumn("_slice", F.expr(f"(_at - pmod(_at, {window}L)) div {window}L"))
+        .checkpoint()
+    )
+    segments = _segments(instants, keys, window, segment_rows).checkpoint()
+    names = [*keys, "_stretch", "_segment"]
+    placed = instants.join(segments.drop("_first"), [*keys, "_slice"])
+    none = F.array().cast("array<bigint>")
+    starts = segments.select(*names, "_first").distinct()
+    walked = _walk(placed.withColumn("_state", none), keys, limit, window).withColumn("_round", F.lit(0))
+    if not segments.filter("_segment > 0").limit(1).count():
+        return walked.filter(at.isNotNull()).select(*keys, "_at", "_requests", "_admitted")
 
-    return ordered.mapInArrow(walk, schema).select(*keys, "_at", "_requests", "_admitted")
+    # Per segment: the state it was walked from, the one it left, and in which round.
+    walked = walked.checkpoint()
+    rounds = [walked]
+    states = starts.withColumn("_from", none).join(walked.filter(at.isNull()).select(*names, "_left", "_round"), names)
+    states = states.checkpoint()
+    order = Window.partitionBy(*keys, "_stretch").orderBy("_segment")
+    while True:
+        coming = F.filter(F.coalesce(F.lag("_left").over(order), none), lambda x: x > F.col("_first") - window)
+        checked = states.withColumn("_state", coming)
+        wrong = checked.filter(F.col("_state") != F.col("_from")).select(*names, "_first", "_state").checkpoint()
+        if not wrong.limit(1).count():
+            break
+        number = len(rounds)
+        again = _walk(placed.join(wrong.drop("_first"), names), keys, limit, window)
+        again = again.withColumn("_round", F.lit(number)).checkpoint()
+        rounds.append(again)
+        new = wrong.withColumnRenamed("_state", "_from").join(
+            again.filter(at.isNull()).select(*names, "_left", "_round"), names
+        )
+        states = states.join(wrong.select(*names), names, "left_anti").unionByName(new).checkpoint()
+    valid = states.select(*names, "_round")
+    found = reduce(DataFrame.unionByName, rounds).filter(at.isNotNull())
+    return found.join(valid, [*names, "_round"], "left_semi").select(*keys, "_at", "_requests", "_admitted")
 
 
 def _run_ends(columns: list[pa.Array], rows: int) -> list[int]:
@@ -161,14 +243,19 @@ def admission_audit(
     """The log with `admitted`; NULL for requests without a time or a key.
 
     `order_by` orders requests of one key at one instant. Numbering them and
-    meeting the verdicts use one exchange of the log, by key and instant.
+    meeting the verdicts use one exchange of the log, by key and instant; requests
+    that are not judged are spread over all tasks.
     """
     keys = list(keys)
     verdicts = admitted_instants(log, keys, ts, limit, window_seconds)
     order = [F.col(c) for c in order_by] or [F.xxhash64(*log.columns)]
-    at_once = Window.partitionBy(*keys, "_at").orderBy(*order)
-    numbered = log.withColumn("_at", _micros(ts)).withColumn("_n", F.row_number().over(at_once))
-    joined = numbered.join(verdicts, [*keys, "_at"], "left")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
+    # A constant for judged requests, so their place is settled by key and instant alone.
+    spread = F.when(known, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*log.columns), F.lit(1 << 20)))
+    at_once = Window.partitionBy(*keys, "_at", "_spread").orderBy(*order)
+    numbered = log.withColumns({"_at": _micros(ts), "_spread": spread})
+    numbered = numbered.withColumn("_n", F.row_number().over(at_once))
+    joined = numbered.join(verdicts.withColumn("_spread", F.lit(0).cast("bigint")), [*keys, "_at", "_spread"], "left")
     return joined.select(*log.columns, (F.col("_n") <= F.col("_admitted")).alias("admitted"))
 
 
