@@ -342,3 +342,14 @@ def test_scratch_is_in_the_shared_folder(spark):
     if shared is not None:
         assert files.scratch_dir(spark, "x").startswith(shared)
     assert files.scratch_dir(spark, "x") != files.scratch_dir(spark, "x")
+
+
+def test_cascade_reads_names_once_and_rows_once(spark):
+    """Seven scans: the names of three sources, and the rows of four."""
+    from trendcloud.plans.queries import QUERIES
+
+    out = QUERIES["source_cascade"](spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") <= 7
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan

@@ -80,7 +80,8 @@ def resolve_sources(
         if earlier and name != last[0]:
             rows = rows.join(first.filter(F.col("_first") == rank), "_series", "left_semi")
         elif earlier:
-            rows = rows.join(first, "_series", "left_anti")
+            # Always true, but with it the names are the same plan in every join, and run once.
+            rows = rows.join(first.filter(F.col("_first") >= 0), "_series", "left_anti")
         parts.append(rows)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return rows.drop("_series").withColumn("label", source_label(F.col("source")))
