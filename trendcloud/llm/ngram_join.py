@@ -416,18 +416,16 @@ def ngram_groups(
     found = stored(found, "sets")
     rows = found.filter("kind = 1").select("id", "size", "key")
     roots = stored(_links(found.filter("kind = 0").select("size", "key", "cols", "prefix"), percent), "roots")
-    grouped = rows.join(roots, "key", "left").withColumn("group", F.coalesce("root", "key"))
-    grouped = grouped.withColumn("group", F.when(F.col("size") > 0, F.col("group")))
-    least = (
-        grouped.groupBy("group")
-        .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 and group is not null")
-        .select("group", "least")
-    )
-    return grouped.join(least, "group", "left").select(
-        F.col("id").alias(id_col),
-        F.col("size").alias("n_shingles"),
-        F.coalesce("least", "id").alias("component_id"),
+    # Smallest ids by set, then by group, each a partial sum. Both sides of the last joins
+    # are stored, so that Spark can broadcast the small one or split a set of many copies.
+    sets = rows.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    sets = stored(sets.join(roots, "key", "left").withColumn("group", F.coalesce("root", "key")), "sets-in-groups")
+    groups = sets.groupBy("group").agg(F.min("least").alias("component"), F.sum("n").alias("n")).filter("n > 1")
+    groups = stored(groups.select("group", "component"), "groups")
+    known = stored(sets.join(groups, "group").select("key", "component"), "components")
+    component = F.when(F.col("size") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    return rows.join(known, "key", "left").select(
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id")
     )
 
 
