@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trendcloud.llm.common import offsets, pieces, ranges, shuffle_partitions
+from trendcloud.llm.common import bounded_batches, offsets, pieces, ranges, shuffle_partitions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -211,6 +211,7 @@ def encode(
     text is a block of its own.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shuffle_partitions(spark)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = chosen.schema["id"].dataType

@@ -30,6 +30,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send documents to Python a few hundred at a time, unless the session says otherwise.
+
+    Spark's default of 10,000 rows is meant for short rows: as many long texts fill
+    an executor's memory, in the JVM and again in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "512")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the cluster's shared folder as Parquet and read again."""
     path = f"{scratch_dir(df.sparkSession, 'llm')}/{name}-{uuid.uuid4().hex[:8]}"
@@ -74,7 +85,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """Words to small numbers and their 128-bit hashes; forgets all when it has grown to `most`."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
         self.digests: list[bytes] = []

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from trendcloud.llm.common import (
     WordCodes,
+    bounded_batches,
     mix,
     offsets,
     pieces,
@@ -117,7 +118,7 @@ def _incidences(size: int, parts: int):
 
     def incidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, sent = WordCodes(), set()
-        for batch in pieces(batches, 2048):
+        for batch in pieces(batches, 1024):
             ids = batch.column(0)
             words, counts = codes.hashes([t.lower() for t in utf8(batch.column(1))])
             hashes, sizes = shingle_sets(words[:, 0], counts, size)
@@ -405,6 +406,7 @@ def ngram_groups(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    bounded_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     parts = min(n, 1 << 15)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendcloud.llm.common import WordCodes, offsets, stored, utf8
+from trendcloud.llm.common import WordCodes, bounded_batches, offsets, stored, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -274,6 +274,7 @@ def quality_scores(
     empty table gives an empty one; without labels every score is 0.5. Columns
     other than id and text are left out.
     """
+    bounded_batches(docs.sparkSession)
     stats = docs.select(F.col(id_col), text_statistics(F.col(text_col)).alias("stats"))
     stats = stored(stats, "statistics")
     model = learn_quality(stats, labels, id_col)
@@ -283,6 +284,7 @@ def quality_scores(
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score of at least `THRESHOLD`; the columns are those of `docs`."""
+    bounded_batches(docs.sparkSession)
     stats = docs.select(F.col(id_col), text_statistics(F.col(text_col)).alias("stats"))
     model = learn_quality(stored(stats, "statistics"), labels, id_col)
     return docs.filter(quality_score(model, text_statistics(F.col(text_col))) >= THRESHOLD)

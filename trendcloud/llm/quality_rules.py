@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendcloud.llm.common import WordCodes, offsets, ranges, stored, utf8
+from trendcloud.llm.common import WordCodes, bounded_batches, offsets, ranges, stored, utf8
 from trendcloud.llm.quality import held_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -255,6 +255,7 @@ def apply_rules(
     table gives an empty one; without labels the base test alone decides. Other
     columns are left out. Texts of any length are read whole.
     """
+    bounded_batches(docs.sparkSession)
     counts = docs.select(F.col(id_col), text_counts(F.col(text_col)).alias("counts"))
     counts = stored(counts.select(id_col, "counts.*"), "counts")
     rules = fit_rules(counts, labels, id_col)

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from trendcloud.llm.common import (
     WordCodes,
+    bounded_batches,
     mix,
     offsets,
     pieces,
@@ -303,6 +304,7 @@ def _cover(length: int):
 def covered_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """(id, mark, spans): covered words of every document that has any; `mark` is xxhash64 of its text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shuffle_partitions(spark)
     cells = min(MOST_CELLS, CELLS * (1 << (n - 1).bit_length()))
     chosen = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from trendcloud.llm.common import pieces
+from trendcloud.llm.common import bounded_batches, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,6 +86,7 @@ def token_counts(
     ids and repeated rows are kept, other columns are left out. Texts of any
     length are read whole.
     """
+    bounded_batches(docs.sparkSession)
     whole = whole_tokens(tokenizer_json)
     special = sorted(special_strings(json.loads(tokenizer_json)), key=len, reverse=True)
 
