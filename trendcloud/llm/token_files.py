@@ -18,6 +18,8 @@ never read. Files go through Arrow's file systems (file, hdfs, s3, gs URIs).
 from __future__ import annotations
 
 import json
+import re
+import struct
 import sys
 import uuid
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trendcloud.llm.common import offsets, pieces, shuffle_partitions, utf8
-from trendcloud.llm.token_counts import special_strings
+from trendcloud.llm.common import bounded_batches, offsets, pieces, shuffle_partitions, utf8
+from trendcloud.llm.token_counts import byte_letters, special_strings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,6 +44,9 @@ FRAME_BYTES = 1 << 20
 #: Distinct words whose ids a task remembers before it forgets all of them.
 REMEMBERED = 1 << 19
 
+#: Latin letters that need no composition and have one lower-case letter each.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
+
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE = 0x184D2A5E
 SKIPPABLE_DOCUMENTS = 0x184D2A50
@@ -65,7 +70,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         _check(spec)
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # Among the plain letters these are all the letters and numbers there are.
+        self.find = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9")).findall
+        self.plain = re.compile(f"[!-~{LETTERS}]+").fullmatch
+        self.shown = byte_letters()
         self.pieces: dict[str, bytes] = {}
         special = sorted(special_strings(spec), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, special))})").split if special else None
@@ -78,13 +87,17 @@ class WordIds(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             merged = self.tokenizer.model.tokenize(piece)
-            ids = self.pieces[piece] = np.array([t.id for t in merged], "<u4").tobytes()
+            ids = self.pieces[piece] = struct.pack(f"<{len(merged)}I", *(t.id for t in merged))
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and text.isprintable():  # such letters stand for themselves
-            found = self.find(text.lower())
+        ascii_ = text.isascii()
+        if (ascii_ and text.isprintable()) or self.plain(text):
+            text = text.lower()
+            found = [text] if text.isalpha() else self.find(text)
+            if not ascii_:  # a byte-level vocabulary shows bytes as letters
+                found = [p.encode().decode("latin-1").translate(self.shown) for p in found]
         else:
             normal = self.tokenizer.normalizer.normalize_str(text)
             found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
@@ -257,6 +270,7 @@ def write_token_files(
     without files. Ids are integers; other columns are left out. Special strings
     inside texts are their token, as is the library's default.
     """
+    bounded_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # The hash also splits rows that share an id between neighbouring files.
