@@ -17,6 +17,7 @@ from trendcloud.llm.quality_rules import apply_rules
 from trendcloud.llm.substring_dedup import cut_repeats
 from trendcloud.llm.token_counts import token_counts
 from trendcloud.llm.token_files import read_token_files, write_token_files
+from trendcloud.llm.whitening import whitened
 from trendcloud.sources.files import scratch_dir
 
 #: Tokens above which op2 marks a document.
@@ -97,6 +98,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the four leading components, each with unit variance."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +114,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {
