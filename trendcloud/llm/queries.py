@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.chat import chat_report
 from trendcloud.llm.common import table
+from trendcloud.llm.lexical_search import search_index, write_index
 from trendcloud.llm.mixing import mix_sources
 from trendcloud.llm.neighbours import nearest
 from trendcloud.llm.ngram_join import ngram_groups
@@ -103,6 +104,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index all documents and find the 20 best of every benchmark item."""
+    folder = scratch_dir(spark, "index")
+    write_index(table(spark, sf_dir, "documents"), folder)
+    return search_index(spark, folder, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -115,6 +123,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -208,4 +217,32 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    "op13_lexical_search": r"""
+        WITH found AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents
+        ), totals AS (
+            SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM found WHERE len(t) > 0
+        ), held AS (
+            SELECT doc_id, len(t) AS n, unnest(t) AS term FROM found
+        ), counts AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), scored AS (
+            SELECT item_id, doc_id,
+                sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN counts USING (term), totals GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """,
 }
