@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trendcloud.llm.bpe import bpe_report, read_ranks
 from trendcloud.llm.chat import chat_report
 from trendcloud.llm.common import table
+from trendcloud.llm.language_crf import languages
 from trendcloud.llm.lexical_search import search_index, write_index
 from trendcloud.llm.mixing import mix_sources
 from trendcloud.llm.neighbours import nearest
@@ -99,6 +100,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from those that are not held out."""
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the four leading components, each with unit variance."""
     return whitened(table(spark, sf_dir, "embeddings"))
@@ -122,6 +128,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language": op11_language,
     "op12_whitening": op12_whitening,
     "op13_lexical_search": op13_lexical_search,
 }
