@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendcloud.operators import admission
+from trendcloud.operators import admission, segments
 from trendcloud.streaming.admission import audit_files
 
 START = datetime(2024, 1, 1)
@@ -100,12 +100,13 @@ def test_quiet_spells_cut_a_key(spark):
     instants = df.groupBy("ip", admission._micros("ts").alias("_at")).count()
     sliced = instants.withColumn("_slice", F.expr("_at div 60000000"))
     cut = admission._segments(sliced, ["ip"], 60_000_000, 1000).collect()
-    assert len({r["_stretch"] for r in cut}) == 3 and {r["_segment"] for r in cut} == {0}
+    assert len({r["_stretch"] for r in cut}) == 3 and {r["_segment"] for r in cut} == {0} == {r["_last"] for r in cut}
 
 
-@pytest.mark.parametrize("rows", [1, 7])
-def test_segments_of_a_key_that_never_pauses(spark, rows):
-    """Walked apart and again until every segment started from the right state."""
+@pytest.mark.parametrize("rows,fan", [(1, 16), (7, 2)])
+def test_segments_of_a_key_that_never_pauses(spark, monkeypatch, rows, fan):
+    """Walked apart, each from the state that the composed tables give."""
+    monkeypatch.setattr(segments, "FAN", fan)
     rng = random.Random(rows)
     hits, t = [], -3000  # instants before 1970 have slices below zero
     for _ in range(500):
@@ -119,12 +120,59 @@ def test_segments_of_a_key_that_never_pauses(spark, rows):
     assert {r["_at"]: r["_admitted"] for r in found.collect()} == dict(passed)
 
 
-def test_a_key_that_never_pauses_uses_several_tasks(spark):
-    df = spark.range(400_000).selectExpr("'a' ip", "timestamp_micros(id * 50000) ts")
-    found = admission.admitted_instants(df, ["ip"], "ts", 5, 60, segment_rows=20_000)
+def state_after(at, requests, state, limit, window):
+    """Admitted instants and the state left, by letting requests in one by one."""
+    walk = admission.Admission(limit, window, state)
+    passed = walk.admit(at, requests)
+    return passed, walk.admitted[-limit:]
+
+
+@pytest.mark.parametrize("limit,window", [(1, 10), (2, 10), (5, 60), (3, 1)])
+def test_composed_tables_do_what_walks_do(limit, window):
+    """Tables of four segments as one, against walking through them."""
+    rng = np.random.default_rng(limit)
+    for _ in range(200):
+        at = np.unique(np.cumsum(rng.choice([1, 1, 2, 3, window // 2 + 1, window - 1 or 1], 60)))
+        requests = rng.integers(1, limit + 3, len(at))
+        cuts = np.append(np.sort(rng.choice(np.arange(1, len(at)), 4, replace=False)), len(at))
+        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        first = [segments.segment_table(at[p], requests[p], limit, window, 3 * limit) for p in parts]
+        whole = segments.Table(first[0].entries, first[0].counts, first[0].exits[:, -2 * limit :])
+        for table in first[1:]:
+            whole = segments.joined(whole, table, limit, window)
+        _, state = state_after(at[: cuts[0]], requests[: cuts[0]], [], limit, window)
+        row = np.array([[segments.NONE] * (limit - len(state)) + state], np.int64)
+        expect, left = state_after(at[cuts[0] :], requests[cuts[0] :], state, limit, window)
+        count, got = segments.follow(whole, row, limit, window)
+        live = [t for t in got[0].tolist() if t > at[-1] - window]
+        assert count[0] == expect.sum() and live == [t for t in left if t > at[-1] - window]
+
+
+@pytest.mark.parametrize("offset", [0, 7])
+def test_a_key_that_never_pauses_is_walked_once_whatever_its_phase(spark, monkeypatch, offset):
+    """A saturated log keeps its phase for ever; rounds grow with the logarithm of its segments."""
+    made = []
+    for name in ("composed", "first_tables"):
+        old = getattr(segments, name)
+        monkeypatch.setattr(segments, name, lambda *a, old=old, name=name: (made.append(name), old(*a))[1])
+    walks = []
+    monkeypatch.setattr(admission, "_walk", lambda *a, old=admission._walk: (walks.append(1), old(*a))[1])
+    monkeypatch.setattr(segments, "FAN", 3)
+    df = spark.range(100_000).selectExpr("'a' ip", f"timestamp_micros(id * 50000 + {offset * 1_000_000}) ts")
+    found = admission.admitted_instants(df, ["ip"], "ts", 5, 60, segment_rows=4_000)
     assert found.groupBy("_admitted").count().count() == 2
-    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
-    assert tasks > 1 and found.agg(F.sum("_admitted")).first()[0] == 5 * -(-400_000 * 50 // 60_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the data are few
+    try:
+        tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1 and found.agg(F.sum("_admitted")).first()[0] == 5 * -(-100_000 * 50 // 60_000)
+    # 21 segments or so: two rounds of threes; one walk of the short keys, one of the long.
+    assert made == ["first_tables", "composed", "composed"] and len(walks) == 2
+
+
+def test_rounds_grow_with_the_logarithm():
+    assert [segments.rounds(n) for n in (1, 16, 17, 256, 257, 4096, 1_000_000)] == [0, 0, 1, 1, 2, 2, 4]
 
 
 def test_leaps_over_refused_instants():

@@ -8,13 +8,13 @@ small and cut up first:
 
 * requests of one key at one instant are counted before the shuffle, and the
   walk decides how many of them pass, so the log itself never goes to Python;
-* a quiet spell of at least the window clears the state, so a key's instants
-  are cut at quiet spells into stretches that are walked apart from each other;
-* a stretch without a quiet spell is cut into segments of bounded size. All are
-  walked at once, as if nothing had been admitted before; those for which that
-  was wrong are walked again from what the one before has left, until every
-  segment started from the right state. The result is that of one long walk;
-* the walk streams over Arrow batches and leaps over refused instants; it never
+* a key with few instants is one walk. A longer one is cut: a quiet spell of at
+  least the window clears the state, so stretches between quiet spells are walked
+  apart from each other, and a stretch without one is cut into segments of bounded
+  size, each walked once from the state it is entered with;
+* these states come from composing what segments do to any state (`segments.py`),
+  in rounds that grow with the logarithm of a stretch's segments;
+* a walk streams over Arrow batches and leaps over refused instants; it never
   holds a key, a stretch or a segment in memory.
 
 The counted instants are checkpointed, so the log is read once for them; the
@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendcloud.operators.segments import entering_states, run_ends
 from trendcloud.sources.files import ensure_checkpoint_dir
 
 LIMIT = 5
 WINDOW_SECONDS = 60
 #: Instants of a segment, about: a slice of one window's length is never cut.
-SEGMENT_ROWS = 1_000_000
+SEGMENT_ROWS = 1 << 18
 
 # The walk travels to the workers with its helpers, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -86,12 +87,13 @@ def check_rule(limit: int, window_seconds: int) -> None:
 
 
 def _segments(instants: DataFrame, keys: list[str], window: int, rows: int) -> DataFrame:
-    """(keys, _slice, _stretch, _segment, _first) of every slice of one window's length that has instants.
+    """(keys, _slice, _stretch, _segment, _last) of every slice of one window's length that has instants.
 
     Instants of different stretches do not affect each other: instants at least a
     window apart never share a slice, so quiet spells are found from the first and
-    last instant of each. A stretch is cut where its counts pass `rows`; `_first` is
-    a segment's first instant. These are small rows, one per key and slice.
+    last instant of each. A stretch is cut where its counts pass `rows`; segments
+    are numbered from 0 and `_last` is the stretch's last number. These are small
+    rows, one per key and slice.
     """
     spans = instants.groupBy(*keys, "_slice").agg(
         F.min("_at").alias("_begin"), F.max("_at").alias("_end"), F.count(F.lit(1)).alias("_rows")
@@ -101,41 +103,31 @@ def _segments(instants: DataFrame, keys: list[str], window: int, rows: int) -> D
     marked = spans.withColumn("_opens", F.when(F.coalesce(quiet, F.lit(True)), F.col("_slice")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stretched = marked.withColumn("_stretch", F.max("_opens").over(upto))
-    inside = Window.partitionBy(*keys, "_stretch").orderBy("_slice")
-    before = F.sum("_rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
-    cut = stretched.withColumn("_before", before).withColumn("_segment", F.expr(f"_before div {rows}"))
-    own = Window.partitionBy(*keys, "_stretch", "_segment")
-    return cut.select(*keys, "_slice", "_stretch", "_segment", F.min("_begin").over(own).alias("_first"))
+    stretch = Window.partitionBy(*keys, "_stretch")
+    inside = stretch.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = stretched.withColumn("_before", F.sum("_rows").over(inside) - F.col("_rows"))
+    cut = cut.withColumn("_part", F.expr(f"_before div {rows}"))
+    numbered = cut.withColumn("_segment", F.dense_rank().over(stretch.orderBy("_part")).cast("long") - 1)
+    return numbered.select(*keys, "_slice", "_stretch", "_segment", F.max("_segment").over(stretch).alias("_last"))
 
 
-def _walk(rows: DataFrame, keys: list[str], limit: int, window: int) -> DataFrame:
-    """Instants with `_admitted`; and behind each segment a row without instant, its `_left` state.
+def _walk(rows: DataFrame, names: list[str], limit: int, window: int) -> DataFrame:
+    """Instants with `_admitted`; rows of the same `names` are one walk, in order of `_at`.
 
-    `rows` has `_state`, the admitted instants that a segment starts from.
+    `rows` has `_state`, the admitted instants that a walk starts from.
     """
-    names = [*keys, "_stretch", "_segment"]
     ordered = rows.repartition(*names).sortWithinPartitions(*names, "_at")
     given = ordered.select(*names, "_at", "_requests", "_state")
     kind = T.StructType(
         [
             *[T.StructField(c, given.schema[c].dataType) for c in (*names, "_at", "_requests")],
             T.StructField("_admitted", T.LongType()),
-            T.StructField("_left", T.ArrayType(T.LongType())),
         ]
     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         state = Admission(limit, window)
-        place: list[pa.Array] = []
-
-        def left() -> pa.RecordBatch:
-            none = [pa.nulls(1, pa.int64()) for _ in range(3)]
-            return pa.RecordBatch.from_arrays(
-                [*place, *none, pa.array([state.admitted], pa.list_(pa.int64()))],
-                names=[*names, "_at", "_requests", "_admitted", "_left"],
-            )
-
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -143,25 +135,18 @@ def _walk(rows: DataFrame, keys: list[str], limit: int, window: int) -> DataFram
             requests = batch.column("_requests").to_numpy()
             columns = [batch.column(c) for c in names]
             admitted = np.zeros(batch.num_rows, dtype=np.int64)
-            closed = []
             start = 0
-            for end in _run_ends(columns, batch.num_rows):
+            for end in run_ends(columns, batch.num_rows):
                 name = tuple(c[start].as_py() for c in columns)
                 if name != current:
-                    if current is not None:
-                        closed.append(left())
-                    current, place = name, [c.slice(start, 1) for c in columns]
+                    current = name
                     state = Admission(limit, window, batch.column("_state")[start].as_py() or ())
                 admitted[start:end] = state.admit(at[start:end], requests[start:end])
                 start = end
-            yield from closed
             yield pa.RecordBatch.from_arrays(
-                [*columns, batch.column("_at"), batch.column("_requests"), pa.array(admitted),
-                 pa.nulls(batch.num_rows, pa.list_(pa.int64()))],
-                names=[*names, "_at", "_requests", "_admitted", "_left"],
-            )
-        if current is not None:
-            yield left()
+                [*columns, batch.column("_at"), batch.column("_requests"), pa.array(admitted)],
+                names=[*names, "_at", "_requests", "_admitted"],
+            )
 
     return given.mapInArrow(walk, kind)
 
@@ -174,7 +159,11 @@ def admitted_instants(
     window_seconds: int = WINDOW_SECONDS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Per key and instant: `_requests` there were and `_admitted` that were let in."""
+    """Per key and instant: `_requests` there were and `_admitted` that were let in.
+
+    Keys of at most `segment_rows` instants are walked whole; only longer ones are
+    cut into stretches and segments.
+    """
     check_rule(limit, window_seconds)
     keys = list(keys)
     spark = log.sparkSession
@@ -182,54 +171,24 @@ def admitted_instants(
     window = window_seconds * 1_000_000
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
     timed = log.filter(known).select(*keys, _micros(ts).alias("_at"))
-    at = F.col("_at")
-    instants = (
-        timed.groupBy(*keys, "_at")
-        .agg(F.count(F.lit(1)).alias("_requests"))
-        .withColumn("_slice", F.expr(f"(_at - pmod(_at, {window}L)) div {window}L"))
-        .checkpoint()
-    )
+    instants = timed.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_requests")).checkpoint()
+    result = [*keys, "_at", "_requests", "_admitted"]
+    none = F.array().cast("array<bigint>")
+    long = instants.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > segment_rows)
+    long = long.select(*keys).checkpoint()
+    if not long.limit(1).count():
+        return _walk(instants.withColumn("_state", none), keys, limit, window).select(*result)
+    short = instants.join(long, keys, "left_anti").withColumn("_state", none)
+    walked = _walk(short, keys, limit, window).select(*result)
+
+    slice_ = F.expr(f"(_at - pmod(_at, {window}L)) div {window}L")
+    instants = instants.join(long, keys, "left_semi").withColumn("_slice", slice_)
     segments = _segments(instants, keys, window, segment_rows).checkpoint()
     names = [*keys, "_stretch", "_segment"]
-    placed = instants.join(segments.drop("_first"), [*keys, "_slice"])
-    none = F.array().cast("array<bigint>")
-    starts = segments.select(*names, "_first").distinct()
-    walked = _walk(placed.withColumn("_state", none), keys, limit, window).withColumn("_round", F.lit(0))
-    if not segments.filter("_segment > 0").limit(1).count():
-        return walked.filter(at.isNotNull()).select(*keys, "_at", "_requests", "_admitted")
-
-    # Per segment: the state it was walked from, the one it left, and in which round.
-    walked = walked.checkpoint()
-    rounds = [walked]
-    states = starts.withColumn("_from", none).join(walked.filter(at.isNull()).select(*names, "_left", "_round"), names)
-    states = states.checkpoint()
-    order = Window.partitionBy(*keys, "_stretch").orderBy("_segment")
-    while True:
-        coming = F.filter(F.coalesce(F.lag("_left").over(order), none), lambda x: x > F.col("_first") - window)
-        checked = states.withColumn("_state", coming)
-        wrong = checked.filter(F.col("_state") != F.col("_from")).select(*names, "_first", "_state").checkpoint()
-        if not wrong.limit(1).count():
-            break
-        number = len(rounds)
-        again = _walk(placed.join(wrong.drop("_first"), names), keys, limit, window)
-        again = again.withColumn("_round", F.lit(number)).checkpoint()
-        rounds.append(again)
-        new = wrong.withColumnRenamed("_state", "_from").join(
-            again.filter(at.isNull()).select(*names, "_left", "_round"), names
-        )
-        states = states.join(wrong.select(*names), names, "left_anti").unionByName(new).checkpoint()
-    valid = states.select(*names, "_round")
-    found = reduce(DataFrame.unionByName, rounds).filter(at.isNotNull())
-    return found.join(valid, [*names, "_round"], "left_semi").select(*keys, "_at", "_requests", "_admitted")
-
-
-def _run_ends(columns: list[pa.Array], rows: int) -> list[int]:
-    """Ends of the runs of equal rows."""
-    change = np.zeros(rows, dtype=bool)
-    for column in columns:
-        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        change[1:] |= codes[1:] != codes[:-1]
-    return [*np.flatnonzero(change).tolist(), rows]
+    placed = instants.join(segments, [*keys, "_slice"]).drop("_slice")
+    states = entering_states(placed, keys, limit, window)
+    started = placed.drop("_last").join(states, names, "left").withColumn("_state", F.coalesce("_state", none))
+    return walked.unionByName(_walk(started, names, limit, window).select(*result))
 
 
 def admission_audit(
