@@ -3,13 +3,14 @@
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trendcloud.operators import admission, segments
-from trendcloud.streaming.admission import audit_files
+from trendcloud.streaming.admission import admission_stream, audit_files, finish_stream, read_verdicts, verdict_stream
 
 START = datetime(2024, 1, 1)
 LOG = "id bigint, ip string, endpoint string, ts timestamp"
@@ -209,26 +210,17 @@ def in_files(df, path, cuts):
         part.coalesce(1).write.mode("append").parquet(path)
 
 
-def instants(hits, found):
-    """Admitted requests per key and instant: only arrival orders requests at one instant."""
-    out = Counter()
-    for i, passed in found.items():
-        out[hits[i]] += bool(passed)
-    return out
-
-
-@pytest.mark.parametrize("batch_bytes", [1, None])
-def test_stream_equals_batch_whatever_the_files(spark, tmp_path, batch_bytes):
-    """Eight files of shuffled requests, one at a time or all at once."""
+@pytest.mark.parametrize("batch_files", [1, None])
+def test_stream_equals_batch_whatever_the_files(spark, tmp_path, batch_files):
+    """Eight files of shuffled requests, one at a time or all at once, row by row."""
     hits = random_hits(random.Random(3), 60)
     df = log_of(spark, hits)
-    batch = verdicts(admission.admission_audit(df, ["ip", "endpoint"], "ts", order_by=["id"]))
+    batch = verdicts(admission.admission_audit(df, ["ip", "endpoint"], "ts"))
     path = str(tmp_path / "log")
     df.repartition(8).write.parquet(path)
-    got = audit_files(spark, path, str(tmp_path / "out"), ["ip", "endpoint"], "ts", batch_bytes=batch_bytes)
-    found = verdicts(got)
-    assert got.count() == len(hits) and None not in found.values()
-    assert instants(hits, found) == instants(hits, batch)
+    rule = {"batch_files": batch_files, "lateness_seconds": 1_000_000}
+    got = audit_files(spark, path, str(tmp_path / "out"), ["ip", "endpoint"], "ts", **rule)
+    assert got.count() == len(hits) and verdicts(got) == batch
 
 
 def test_stream_judges_as_the_watermark_passes(spark, tmp_path):
@@ -236,23 +228,68 @@ def test_stream_judges_as_the_watermark_passes(spark, tmp_path):
     hits = sorted(random_hits(random.Random(4), 40), key=lambda h: h[2])
     late = [("a", "data", 1), ("b", "data", 2)]
     df = log_of(spark, hits + late)
-    batch = verdicts(admission.admission_audit(df.filter(f"id < {len(hits)}"), ["ip", "endpoint"], "ts", order_by=["id"]))
+    batch = verdicts(admission.admission_audit(df.filter(f"id < {len(hits)}"), ["ip", "endpoint"], "ts"))
     path, n = str(tmp_path / "log"), len(hits)
     in_files(df, path, [0, n // 3, 2 * n // 3, n, n + 2])
-    got = audit_files(
-        spark, path, str(tmp_path / "out"), ["ip", "endpoint"], "ts", batch_bytes=1, lateness_seconds=30
-    )
+    out = str(tmp_path / "out")
+    got = audit_files(spark, path, out, ["ip", "endpoint"], "ts", batch_files=1, lateness_seconds=30)
     found = verdicts(got)
     assert got.count() == n + 2 and found[n] is None and found[n + 1] is None
-    kept = {i: v for i, v in found.items() if i < n}
-    assert None not in kept.values() and instants(hits, kept) == instants(hits, batch)
+    assert {i: v for i, v in found.items() if i < n} == batch
+    judged = spark.read.parquet(f"{out}/verdicts").count()
+    assert n > judged > 2 * n // 3, "most verdicts come before the log has ended"
+
+
+def test_a_stream_that_was_stopped_goes_on(spark, tmp_path):
+    hits = sorted(random_hits(random.Random(6), 30), key=lambda h: h[2])
+    df, n = log_of(spark, hits), len(hits)
+    batch = verdicts(admission.admission_audit(df, ["ip", "endpoint"], "ts"))
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for low, high in ((0, n // 2), (n // 2, n)):
+        in_files(df, path, [low, high])
+        log = spark.readStream.schema(LOG).parquet(path)
+        admission_stream(log, out, ["ip", "endpoint"], "ts", lateness_seconds=5, available_now=True).awaitTermination()
+    for _ in range(2):
+        finish_stream(spark, out, ["ip", "endpoint"], "ts", log.schema)
+    got = read_verdicts(spark, out, log.schema)
+    assert got.count() == n and verdicts(got) == batch
+
+
+def test_each_step_writes_in_proportion_to_its_batch(spark, tmp_path):
+    """Twenty files of as many requests each: later steps write no more state than earlier ones."""
+    path, out = str(tmp_path / "log"), tmp_path / "out"
+    for k in range(20):
+        rows = spark.range(400).selectExpr("id", "concat('k', id % 7) ip", "'x' endpoint", f"timestamp_seconds({k} * 400 + id) ts")
+        rows.coalesce(1).write.mode("append").parquet(path)
+    audit_files(spark, path, str(out), ["ip"], "ts", batch_files=1, lateness_seconds=100)
+    sizes = {}
+    for file in (out / "checkpoint" / "state").rglob("*.changelog"):
+        step = int(file.name.split(".")[0].split("_")[0])
+        sizes[step] = sizes.get(step, 0) + file.stat().st_size
+    steps = [sizes[k] for k in sorted(sizes)]
+    assert len(steps) >= 20 and max(steps[10:20]) < 1.5 * max(steps[2:8])
+
+
+def test_stream_keeps_what_it_cannot_judge_and_all_types(spark, tmp_path):
+    kind = LOG + ", price decimal(20,4), bytes binary, tags array<struct<a:bigint,b:string>>, near double, day date"
+    more = (Decimal("12345678901234.5678"), b"\x00\xff", [(2**60, None), (1, "\u00e9")], 0.1, START.date())
+    none = (None,) * 5
+    rows = [(0, "a", None, START, *more), (2**53 + 1, "a", None, None, *none), (None, None, "x", START, *more),
+            (3, "a", "y", START + timedelta(microseconds=1), *none)]
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame(rows, kind)
+    df.write.parquet(path)
+    got = audit_files(spark, path, str(tmp_path / "out"), ["ip"], "ts")
+    passed = F.when(F.col("ip").isNotNull() & F.col("ts").isNotNull(), True)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, df.withColumn("admitted", passed).collect()))
 
 
-def test_stream_keeps_what_it_cannot_judge_and_large_numbers(spark, tmp_path):
-    rows = [(0, "a", None, START), (2**53 + 1, "a", None, None), (None, None, "x", START), (3, "a", "y", START)]
+def test_settings_of_the_session_stay(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     path = str(tmp_path / "log")
-    spark.createDataFrame(rows, LOG).write.parquet(path)
-    got = audit_files(spark, path, str(tmp_path / "out"), ["ip"], "ts")
-    assert {(r.id, r.endpoint, r.admitted) for r in got.collect()} == {
-        (0, None, True), (2**53 + 1, None, None), (None, "x", None), (3, "y", True),
-    }
+    log_of(spark, []).write.parquet(path)
+    assert audit_files(spark, path, str(tmp_path / "out"), ["ip"], "ts").count() == 0
+    assert spark.conf.get(name) == before
+    with pytest.raises(ValueError):
+        verdict_stream(spark.readStream.schema(LOG).parquet(path), ["ip"], "ts", lateness_seconds=-1)

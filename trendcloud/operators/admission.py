@@ -224,12 +224,13 @@ def admission_summary(
     ts: str,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Requests let in and refused per key, from the counted instants alone.
 
     Requests without a time or a key are not judged and not counted.
     """
-    verdicts = admitted_instants(log, keys, ts, limit, window_seconds)
+    verdicts = admitted_instants(log, keys, ts, limit, window_seconds, segment_rows)
     return verdicts.groupBy(*keys).agg(
         F.sum("_requests").alias("requests"),
         F.sum("_admitted").alias("admitted"),

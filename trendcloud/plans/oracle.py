@@ -380,5 +380,6 @@ def oracle_sql() -> dict[str, str]:
         "admission_audit": _AUDIT,
         "admission_stream": _AUDIT,
         "admission_summary": _summary("event_type", 14_400),
+        "admission_segments": _summary("event_type", 14_400),
         "admission_minute": _summary("user_id, event_type", 60),
     }

@@ -506,13 +506,22 @@ def admission_minute(spark, sf_dir):
     )
 
 
+@query
+def admission_segments(spark, sf_dir):
+    """`admission_summary` with small segments: tables of their effects are composed over many."""
+    log = tables.table(spark, sf_dir, "events")
+    return admission.admission_summary(log, ["event_type"], "ts", window_seconds=14_400, segment_rows=200)
+
+
 @query
 def admission_stream(spark, sf_dir):
-    """`admission_audit` as a stream over the events in eight files, shuffled, four batches."""
+    """`admission_audit` as a stream over files of a week's events each, an hour's lateness."""
     path = files.scratch_dir(spark, "admission-stream")
     log = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    log.repartition(8, F.xxhash64("event_id")).write.parquet(f"{path}/log")
-    size = sum(f.size for f in files.scan_objects(spark, f"{path}/log").select("size").collect())
+    week = F.expr("date_diff(ts, date'2024-01-01') div 7")
+    weeks = sorted(r[0] for r in log.select(week).distinct().collect())
+    for number in weeks:
+        log.filter(week == number).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return admission_streaming.audit_files(
         spark,
         f"{path}/log",
@@ -520,5 +529,6 @@ def admission_stream(spark, sf_dir):
         keys=["user_id"],
         ts="ts",
         window_seconds=86_400,
-        batch_bytes=max(1, size // 4),
+        batch_files=1,
+        lateness_seconds=3600,
     )

@@ -1,101 +1,175 @@
 """Admission as a stream: verdicts as requests come in.
 
-Verdicts hang on the order of the requests, and a stream's files come in any. So
-requests are held until the watermark has passed them, and are then judged in
-order by the batch operator, which goes on from the few instants that each key had
-admitted last. The same requests get the same verdicts however they fall into
-files and micro-batches; one that comes when later ones have been judged already
-gets NULL, as do those without a time or a key.
-
-Everything that is held lies in tables in the target folder, so neither memory nor
-a state store grows with a key, and rows never leave Spark's own types.
+Verdicts hang on the order of the requests, and a stream's files come in any. So a
+request waits in its key's state until the watermark has passed it; a timer then
+judges what is ready, in order, from the few instants that the key had admitted
+last. The same requests get the same verdicts however they fall into files and
+micro-batches. One that comes when the watermark has already passed it gets NULL, as
+do those without a time or a key, which never enter the state.
+
+State is Spark's: per key the last admitted instants, and what waits, packed by
+slices of the lateness. A micro-batch touches the slices that its requests fall into
+and those that become ready, nothing else, and no state is older than the lateness.
+What still waits when a log has ended is read from the state and judged by the
+batch operator, which cuts long keys up.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, admission_audit, check_rule
+from trendcloud.operators.admission import LIMIT, WINDOW_SECONDS, Admission, admission_audit, check_rule
 from trendcloud.sources.files import exists
 
+#: How late a request may come and still be judged.
+LATENESS_SECONDS = 600
+#: Slices of the lateness in which waiting requests are kept.
+SLICES = 16
+#: The one state store that keeps states of several kinds and timers; it writes changes only.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-class _Judge:
-    """Micro-batches in, verdicts out; what is held between them lies in `target`.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_WAITING = pa.schema([("at", pa.int64()), ("tie", pa.int64()), ("packed", pa.list_(pa.string()))])
+
+
+def _packed(at: np.ndarray, tie: np.ndarray, rows: list) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _WAITING) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(at), pa.array(tie), pa.array(rows, _WAITING.field(2).type)], schema=_WAITING))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    """Requests from streams that were written one behind the other."""
+    source, batches = pa.BufferReader(data), []
+    while source.tell() < source.size():
+        batches += list(pa.ipc.open_stream(source))
+    return pa.Table.from_batches(batches, _WAITING)
+
+
+class Judge(StatefulProcessor):
+    """Requests of one key in, verdicts out, as the watermark passes them."""
+
+    def __init__(self, limit: int, window: int, slice_ms: int):
+        self.limit, self.window, self.slice_ms = limit, window, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long", "requests binary")
+        self.admitted = handle.getValueState("admitted", "instants array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            late = frame["at"].to_numpy() < mark * 1000
+            if late.any():
+                yield pd.DataFrame({"packed": frame["packed"][late], "admitted": pd.array([None] * int(late.sum()), "boolean")})
+            fresh = frame[~late]
+            number = fresh["at"].to_numpy() // (self.slice_ms * 1000)
+            for n in np.unique(number):
+                part = fresh[number == n]
+                place = (int(n),)
+                held = self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else b""
+                rows_ = [list(r) for r in part["packed"]]
+                self.waiting.updateValue(place, (held + _packed(part["at"].to_numpy(), part["tie"].to_numpy(), rows_),))
+                if not held:
+                    self.handle.registerTimer((int(n) + 1) * self.slice_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ends = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms
+        ready = sorted(k[0] for k in self.waiting.keys() if k[0] < ends)
+        for n in ready:
+            requests = _unpacked(self.waiting.getValue((n,))[0])
+            self.waiting.removeKey((n,))
+            yield self._judged(requests.sort_by([("at", "ascending"), ("tie", "ascending")]))
+
+    def _judged(self, requests: pa.Table) -> pd.DataFrame:
+        before = self.admitted.get()[0] if self.admitted.exists() else []
+        walk = Admission(self.limit, self.window, [int(t) for t in before])
+        at, first, counts = np.unique(requests["at"].to_numpy(), return_index=True, return_counts=True)
+        passed = walk.admit(at, counts)
+        self.admitted.update(([int(t) for t in walk.admitted[-self.limit :]],))
+        rank = np.arange(requests.num_rows) - np.repeat(first, counts)
+        return pd.DataFrame({"packed": requests["packed"].to_pylist(), "admitted": rank < np.repeat(passed, counts)})
+
+    def close(self) -> None:
+        pass
+
+
+# Requests travel through the state as texts, from which every type comes back as it was.
+
+
+def _text(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(column.alias("x")), {"ignoreNullFields": "false"})
+    return F.base64(column) if isinstance(field.dataType, T.BinaryType) else column.cast("string")
+
+
+def _value(field: T.StructField, text: Column) -> Column:
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        value = F.from_json(text, T.StructType([T.StructField("x", field.dataType)]))["x"]
+    else:
+        value = F.unbase64(text) if isinstance(field.dataType, T.BinaryType) else text.cast(field.dataType)
+    return value.alias(field.name)
 
-    Every step writes its tables under its own number before the step is noted, so
-    a step that breaks off is done again from what the step before it left.
-    """
 
-    def __init__(self, spark: SparkSession, target: str, keys: list[str], ts: str, limit: int, window: int, lateness: int | None):
-        self.spark, self.target, self.keys, self.ts = spark, target.rstrip("/"), keys, ts
-        self.limit, self.window, self.lateness = limit, window, lateness
-
-    def _note(self, step: int) -> dict:
-        """What is known after a step: the latest request seen, and up to where requests are judged."""
-        path = f"{self.target}/notes/{step}"
-        if step < 0 or not exists(self.spark, path):
-            return {"seen": None, "judged": None}
-        return json.loads(self.spark.read.text(path).first()["value"])
-
-    def _table(self, name: str, step: int) -> DataFrame | None:
-        path = f"{self.target}/{name}/{step}"
-        return self.spark.read.parquet(path) if step >= 0 and exists(self.spark, path) else None
-
-    def step(self, batch: DataFrame, number: int, last: bool = False) -> None:
-        keys, before = self.keys, self._note(number - 1)
-        at = F.unix_micros(F.col(self.ts).cast("timestamp"))
-        rows = batch.withColumn("_at", at)
-        held = self._table("held", number - 1)
-        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "_at")])
-        late = F.lit(False) if before["judged"] is None else F.col("_at") <= before["judged"]
-        never = rows.filter(~known | late).withColumn("admitted", F.lit(None).cast("boolean"))
-        fresh = rows.filter(known & ~late)
-        seen = fresh.agg(F.max("_at")).first()[0]
-        seen = max((x for x in (seen, before["seen"]) if x is not None), default=None)
-        pool = fresh if held is None else fresh.unionByName(held)
-        judged = before["judged"]
-        if last:
-            judged = seen
-        elif seen is not None and self.lateness is not None:
-            judged = max(seen - self.lateness - 1, judged if judged is not None else seen - self.lateness - 1)
-        ready = F.lit(False) if judged is None else F.col("_at") <= judged
-        verdicts = self._judged(pool.filter(ready), number, judged)
-        never.drop("_at").write.mode("overwrite").parquet(f"{self.target}/verdicts/step={number}/late")
-        verdicts.write.mode("overwrite").parquet(f"{self.target}/verdicts/step={number}/judged")
-        if not last:
-            pool.filter(~ready).write.mode("overwrite").parquet(f"{self.target}/held/{number}")
-        note = json.dumps({"seen": seen, "judged": judged})
-        self.spark.range(1).select(F.lit(note).alias("value")).write.mode("overwrite").text(f"{self.target}/notes/{number}")
-
-    def _judged(self, ready: DataFrame, number: int, judged: int | None) -> DataFrame:
-        """Verdicts of the requests up to `judged`, and the state that the next step goes on from.
-
-        A key's last admitted instants go through the operator once more in front
-        of the new requests: nothing was admitted between them, so they are again.
-        """
-        keys, window = self.keys, self.window * 1_000_000
-        state = self._table("state", number - 1)
-        new = ready.withColumn("_old", F.lit(False)).withColumn("_time", F.timestamp_micros("_at"))
-        if state is not None:
-            old = state.withColumns({"_old": F.lit(True), "_time": F.timestamp_micros("_at")})
-            new = new.unionByName(old, allowMissingColumns=True)
-        audited = admission_audit(new, keys, "_time", self.limit, self.window)
-        path = f"{self.target}/audited/{number}"
-        audited.write.mode("overwrite").parquet(path)
-        audited = self.spark.read.parquet(path)
-        newest = Window.partitionBy(*keys).orderBy(F.desc("_at"))
-        kept = audited.filter("admitted")
-        if judged is not None:  # older ones cannot touch a later request
-            kept = kept.filter(F.col("_at") > judged - window)
-        kept = kept.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= self.limit)
-        kept.select(*keys, "_at").write.mode("overwrite").parquet(f"{self.target}/state/{number}")
-        return audited.filter(~F.col("_old")).drop("_old", "_time", "_at")
+def _unpack(packed: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    return packed.select(*[_value(f, F.col("packed")[i]) for i, f in enumerate(schema.fields)], *more)
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def verdict_stream(
+    log: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    limit: int = LIMIT,
+    window_seconds: int = WINDOW_SECONDS,
+    lateness_seconds: int = LATENESS_SECONDS,
+) -> DataFrame:
+    """A streaming log's requests with `admitted`, each once the watermark has passed it.
+
+    The query needs a state store that keeps timers; `admission_stream` sets it.
+    """
+    check_rule(limit, window_seconds)
+    if lateness_seconds < 0:
+        raise ValueError("lateness must be at least 0")
+    schema, window = log.schema, window_seconds * 1_000_000
+    slice_ms = max(1000, lateness_seconds * 1000 // SLICES)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, ts)])
+    names = [f"key{i}" for i in range(len(keys))]
+    marked = log.filter(known).withColumn("_mark", F.col(ts).cast("timestamp")).withWatermark("_mark", f"{lateness_seconds} seconds")
+    # Names without a leading underscore: Spark's own frames of requests rename such ones.
+    packed = marked.select(
+        *[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)],
+        # Made anew, so that Spark does not drop what is late before it is seen here.
+        F.unix_micros("_mark").alias("at"),
+        F.xxhash64(*schema.names).alias("tie"),
+        F.array(*[_text(f) for f in schema.fields]).alias("packed"),
+    )
+    judged = packed.groupBy(*names).transformWithStateInPandas(
+        Judge(limit, window, slice_ms), "packed array<string>, admitted boolean", "append", "EventTime"
+    )
+    never = log.filter(~known).withColumn("admitted", F.lit(None).cast("boolean"))
+    return _unpack(judged, schema, "admitted").unionByName(never)
 
 
 def admission_stream(
@@ -105,20 +179,34 @@ def admission_stream(
     ts: str,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    lateness_seconds: int | None = None,
+    lateness_seconds: int = LATENESS_SECONDS,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Judge a streaming log; verdicts are appended below `target`, see `read_verdicts`.
 
-    A request is judged once one `lateness_seconds` later has been seen; without
-    that, when `finish_stream` says that the log has ended. The checkpoint lies
-    beside the verdicts, so a run that is broken off goes on where it stopped.
+    The checkpoint lies beside the verdicts, so a run that is broken off goes on
+    where it stopped.
     """
-    check_rule(limit, window_seconds)
-    micros = None if lateness_seconds is None else lateness_seconds * 1_000_000
-    judge = _Judge(log.sparkSession, target, list(keys), ts, limit, window_seconds, micros)
-    writer = log.writeStream.foreachBatch(judge.step).option("checkpointLocation", f"{target}/checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    spark = log.sparkSession
+    verdicts = verdict_stream(log, keys, ts, limit, window_seconds, lateness_seconds)
+    writer = verdicts.writeStream.format("parquet").option("checkpointLocation", f"{target}/checkpoint")
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    # A query keeps the settings it was started with; the session gets its own back.
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
+    try:
+        return writer.start(f"{target}/verdicts")
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _state(spark: SparkSession, target: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("path", f"{target}/checkpoint").option("stateVarName", name).load()
 
 
 def finish_stream(
@@ -126,22 +214,41 @@ def finish_stream(
     target: str,
     keys: Sequence[str],
     ts: str,
-    schema,
+    schema: T.StructType,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
 ) -> None:
-    """Judge what a stopped stream still holds: its log has ended."""
-    number = 0
-    while exists(spark, f"{target}/notes/{number}"):
-        number += 1
-    judge = _Judge(spark, target, list(keys), ts, limit, window_seconds, None)
-    judge.step(spark.createDataFrame([], schema), number, last=True)
+    """Judge what a stopped stream still holds: its log has ended.
+
+    A key's last admitted instants go through the batch operator once more in front
+    of its waiting requests: nothing was admitted between them, so they are again.
+    May be called again; it writes the same.
+    """
+    if not exists(spark, f"{target}/checkpoint/state"):
+        return
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from _unpacked(data.as_py()).select(["packed"]).to_batches()
+
+    waiting = _state(spark, target, "waiting").select("user_map_value.requests").mapInArrow(unpack, "packed array<string>")
+    new = _unpack(waiting, schema).withColumns({"_old": F.lit(False), "_time": F.col(ts).cast("timestamp")})
+    names = [F.col(f"key.key{i}").alias(c) for i, c in enumerate(keys)]
+    instants = _state(spark, target, "admitted").select(*names, F.explode("value.instants").alias("_at"))
+    old = instants.select(*keys, F.timestamp_micros("_at").alias("_time"), F.lit(True).alias("_old"))
+    pool = new.withColumn("_tie", F.xxhash64(*schema.names)).unionByName(old, allowMissingColumns=True)
+    audited = admission_audit(pool, keys, "_time", limit, window_seconds, order_by=["_tie"])
+    rest = audited.filter(~F.col("_old")).drop("_old", "_time", "_tie")
+    rest.write.mode("overwrite").parquet(f"{target}/rest")
 
 
-def read_verdicts(spark: SparkSession, target: str, schema) -> DataFrame:
+def read_verdicts(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
     """The columns of the log and `admitted`, of all requests judged so far."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
-    return reader.parquet(f"{target}/verdicts")
+    out = T.StructType([*schema.fields, T.StructField("admitted", T.BooleanType())])
+    parts = [f"{target}/{name}" for name in ("verdicts", "rest") if exists(spark, f"{target}/{name}")]
+    none = spark.createDataFrame([], out)
+    return reduce(DataFrame.unionByName, [spark.read.schema(out).parquet(p) for p in parts], none)
 
 
 def audit_files(
@@ -154,18 +261,19 @@ def audit_files(
     columns: Sequence[str] | None = None,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    batch_bytes: int | None = None,
-    lateness_seconds: int | None = None,
+    batch_files: int | None = None,
+    lateness_seconds: int = LATENESS_SECONDS,
 ) -> DataFrame:
-    """Judge all Parquet files of a folder as a stream, then read the verdicts back.
+    """Judge all Parquet files of a folder, oldest first, as a stream, then read the verdicts back.
 
-    `batch_bytes` bounds a micro-batch; it changes nothing in the verdicts.
+    `batch_files` bounds a micro-batch; it changes nothing in the verdicts of
+    requests that are not late. A request older than the newest by more than the
+    lateness when its micro-batch begins is.
     """
     pattern = f"{source.rstrip('/')}/{glob}" if glob else source
-    schema = spark.read.parquet(pattern).schema
-    reader = spark.readStream.schema(schema)
-    if batch_bytes is not None:
-        reader = reader.option("maxBytesPerTrigger", batch_bytes)
+    reader = spark.readStream.schema(spark.read.parquet(pattern).schema)
+    if batch_files is not None:
+        reader = reader.option("maxFilesPerTrigger", batch_files)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     log = reader.parquet(source)
@@ -175,5 +283,4 @@ def audit_files(
     run = admission_stream(log, target, keys, ts, lateness_seconds=lateness_seconds, available_now=True, **rule)
     run.awaitTermination()
     finish_stream(spark, target, keys, ts, log.schema, **rule)
-    out = log.schema.add("admitted", "boolean")
-    return read_verdicts(spark, target, out)
+    return read_verdicts(spark, target, log.schema)
