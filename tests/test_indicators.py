@@ -254,6 +254,28 @@ def test_blocks_of_sparse_series_and_unknown_days(spark):
     assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
 
 
+def test_a_day_with_many_rows_is_spread_over_tasks(spark, tmp_path):
+    """Positions follow the rows' order though one day of one series has nearly all rows."""
+    from trendcloud.operators import blocks
+
+    day = "date_add(date'2024-01-01', cast(if(id % 50 = 0, id % 400, 0) as int))"
+    columns = ("'A' ticker", f"{day} time", "1D open", "cast(xxhash64(id) % 100000 as double) high", "0D low", "1D close", "1L volume")
+    spark.range(100_000).selectExpr(*columns).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the data are few
+    try:
+        numbered = blocks.numbered_rows(bars)
+        shares = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) > 1 and max(shares) < 60_000
+    rows = numbered.select("time", "high", blocks.POSITION, blocks.TOTAL).orderBy(blocks.POSITION).collect()
+    assert [r[2] for r in rows] == list(range(100_000)) and {r[3] for r in rows} == {100_000}
+    assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+    plan = blocks.split_series(bars, 1000, 100, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan, "the sorted rows are kept: the bars are read once"
+
+
 def test_one_exchange_and_one_sort(bars_of, spark, tmp_path):
     bars_of({"A": random_bars(random.Random(15), 50)}).write.parquet(str(tmp_path / "bars"))
     bars = spark.read.parquet(str(tmp_path / "bars"))
