@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from datetime import date, datetime
 
 import pytest
@@ -152,11 +153,23 @@ def test_listing(spark, tmp_path):
     assert tuple(catalog.store_metrics(listing).first()) == (3, 3)
 
 
-def test_listing_reads_no_contents(spark, tmp_path):
-    put(f"{tmp_path}/store/a.bin", "x")
-    plan = files.scan_objects(spark, f"{tmp_path}/store")._jdf.queryExecution().executedPlan()
-    text = plan.toString()
-    assert "content:binary" not in text[text.index("ReadSchema") :]
+def test_tasks_list_many_files_in_folders_of_any_depth(spark, tmp_path, monkeypatch):
+    """A hundred thousand files, unevenly dealt over folders; the driver lists none of them."""
+    monkeypatch.setattr(files, "_scan_objects_by_reader", None)
+    expect = 0
+    for folder, n in (("a", 60_000), ("b/c", 25_000), ("b/c/d/e/f", 15_000), (".", 7)):
+        os.makedirs(f"{tmp_path}/store/{folder}", exist_ok=True)
+        for i in range(n):
+            os.close(os.open(f"{tmp_path}/store/{folder}/{i}", os.O_CREAT | os.O_WRONLY))
+        expect += n
+    for hidden in ("_x", ".y", "b/_z/1", "b/c/d/.w/2"):
+        put(f"{tmp_path}/store/{hidden}", "x")
+    listing = files.scan_objects(spark, f"file:{tmp_path}/store").cache()
+    assert listing.count() == listing.distinct().count() == expect
+    per = listing.groupBy(F.regexp_extract("key", "^(.*)/", 1)).count().collect()
+    assert {tuple(r) for r in per} == {("a", 60_000), ("b/c", 25_000), ("b/c/d/e/f", 15_000), ("", 7)}
+    os.makedirs(f"{tmp_path}/none")
+    assert files.scan_objects(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_empty_store(spark):
@@ -344,12 +357,142 @@ def test_scratch_is_in_the_shared_folder(spark):
     assert files.scratch_dir(spark, "x") != files.scratch_dir(spark, "x")
 
 
-def test_cascade_reads_names_once_and_rows_once(spark):
+def test_cascade_of_tables_reads_names_once_and_rows_once(spark):
     """Seven scans: the names of three sources, and the rows of four."""
     from trendcloud.plans.queries import QUERIES
 
-    out = QUERIES["source_cascade"](spark, "/root/testdata/sf0.001")
+    out = QUERIES["source_cascade_rows"](spark, "/root/testdata/sf0.001")
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Scan parquet") <= 7
     assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+
+
+def opened(df):
+    """Bucket folders of the files that a read opens."""
+    return {part for f in df.inputFiles() for part in f.split("/") if part.startswith("bucket=")}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_point_reads_open_the_buckets_of_their_tickers(spark, bars_of, tmp_path, fmt):
+    path = str(tmp_path / "bars")
+    files.write_bars(bars_of({f"T{i}": [BAR] * 2 for i in range(300)} | {None: [BAR]}), path, fmt)
+    names = lambda df: {r["ticker"] for r in df.collect()}
+    one = files.scan_bars(spark, path, fmt, tickers=["T7"])
+    assert names(one) == {"T7"} and one.count() == 2 and len(opened(one)) == 1
+    assert names(files.scan_bars(spark, path, fmt, tickers=["T7", None, "T9"])) == {"T7", None, "T9"}
+    none = files.scan_bars(spark, path, fmt, tickers=["absent"])
+    assert none.count() == 0 and len(opened(none)) <= 1
+    assert files.scan_bars(spark, path, fmt, tickers=[]).count() == 0
+    assert len(opened(files.scan_bars(spark, path, fmt))) > 50
+
+
+def test_point_reads_of_a_day(spark, bars_of, tmp_path):
+    path, day = str(tmp_path / "s"), date(2024, 3, 1)
+    files.snapshot_write(bars_of({f"T{i}": [BAR] for i in range(100)} | {None: [BAR]}), path, day)
+    one = files.scan_snapshot_table(spark, path, day, tickers=["T5", None])
+    assert {r["ticker"] for r in one.collect()} == {"T5", None} and 1 <= len(opened(one)) <= 2
+    assert one.columns == schema.BARS.names
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_presence_index_follows_the_table(spark, bars_of, tmp_path, fmt):
+    path = str(tmp_path / "bars")
+    files.write_bars(bars_of({"A": [BAR], "B": [BAR] * 3, None: [BAR]}), path, fmt)
+    files.write_bars(bars_of({"B": [BAR], "C": [BAR]}), path, fmt)
+    got = [r["ticker"] for r in files.present_tickers(spark, path).collect()]
+    assert sorted(got, key=str) == ["A", "B", "C", None]
+    assert files.scan_bars(spark, path, fmt).count() == 4  # the index is no part of the table
+    assert files.present_tickers(spark, str(tmp_path / "no")).count() == 0
+
+
+def test_later_sources_open_only_what_they_serve(spark, bars_of, tmp_path):
+    from trendcloud.operators import cascade
+
+    day = date(2024, 3, 1)
+    first, second, third = (str(tmp_path / n) for n in ("first", "second", "third"))
+    files.snapshot_write(bars_of({"A": [BAR], None: [BAR]}), first, day)
+    files.write_bars(bars_of({"A": [BAR] * 2, "B": [BAR] * 2, "L": [BAR]}), second)
+    files.write_bars(bars_of({"A": [BAR] * 3, "L": [BAR] * 3}), third)
+    sources = [
+        cascade.StoredSource.of_day("s3_cache", first, day),
+        cascade.StoredSource("s3_csv", second),
+        cascade.StoredSource("local_csv", third, "L"),
+    ]
+    got = cascade.resolve_stored(spark, sources, bars_of({"A": [BAR] * 4, "P": [BAR] * 4, None: [BAR] * 4}))
+    counts = got.groupBy("ticker", "source", "label").count().collect()
+    assert {tuple(r) for r in counts} == {
+        ("A", "s3_cache", "AWS S3 cache", 1), (None, "s3_cache", "AWS S3 cache", 1), ("B", "s3_csv", "AWS S3 CSV", 2),
+        ("L", "s3_csv", "AWS S3 CSV", 1), ("P", "yahoo_finance", "Yahoo Finance", 4),
+    }
+    read = got.inputFiles()
+    assert not any(third in f for f in read), "all its tickers are served earlier"
+    assert len({f for f in read if second in f}) <= 2, "only the buckets of B and L"
+    assert cascade.resolve_stored(spark, sources[2:]).count() == 3
+    with pytest.raises(ValueError):
+        cascade.resolve_stored(spark, [cascade.StoredSource("s3_csv", str(tmp_path / "no"))])
+
+
+def stamps(path):
+    return {f: os.stat(f).st_mtime_ns for f in (str(p) for p in path.rglob("*.parquet")) if "_gone" not in f}
+
+
+def test_a_refresh_writes_marks_and_compaction_writes_files(spark, bars_of, tmp_path):
+    path = tmp_path / "s"
+    old, kept, today = date(2024, 5, 1), date(2024, 6, 28), datetime(2024, 7, 1, 12)
+    many = {f"T{i}": [BAR] for i in range(40)} | {None: [BAR]}
+    for day in (old, kept):
+        files.snapshot_write(bars_of(many), str(path), day)
+    before = stamps(path)
+    assert jobs.refresh_snapshot(bars_of({"T1": [BAR] * 2, None: [BAR]}), str(path), today) == ["2024-05-01"]
+    assert {f: t for f, t in stamps(path).items() if f in before} == before, "no earlier file is touched"
+    left = lambda day: {r["ticker"] for r in files.scan_snapshot_table(spark, str(path), day).collect()}
+    assert left(old) == many.keys() - {"T1", None} and left(kept) == many.keys()
+    whole = files.scan_snapshot_table(spark, str(path)).groupBy("cache_date").count().collect()
+    assert {tuple(r) for r in whole} == {(old, 39), (kept, 41), (date(2024, 7, 1), 3)}
+    assert files.scan_snapshot_table(spark, str(path), old, tickers=["T1", "T2"]).count() == 1
+    # What is written again on an old day is there again, and other marks stay.
+    files.snapshot_write(bars_of({"T1": [BAR]}), str(path), old)
+    assert left(old) == many.keys() - {None}
+    jobs.refresh_snapshot(bars_of({"T3": [BAR]}), str(path), today)
+    before = stamps(path)
+    assert files.compact_snapshots(spark, str(path)) == ["2024-05-01"]
+    changed = {f.split("/")[-2] for f, t in stamps(path).items() if before.get(f) != t and "_presence" not in f}
+    assert left(old) == many.keys() - {None, "T3"} and len(changed) <= 2
+    assert files.gone_tickers(spark, str(path)) is None or files.gone_tickers(spark, str(path)).count() == 0
+    assert files.compact_snapshots(spark, str(path)) == []
+    # A day whose last ticker goes, goes.
+    files.snapshot_write(bars_of({"Z": [BAR]}), str(path), date(2024, 5, 2))
+    jobs.refresh_snapshot(bars_of({"Z": [BAR]}), str(path), today)
+    assert files.compact_snapshots(spark, str(path)) == ["2024-05-02"]
+    assert not (path / "cache_date=2024-05-02").exists()
+
+
+@pytest.mark.parametrize("params", [CloudParams(2, 3, 1, 4, 2), CloudParams(3, 5, 7, 9, 6)])
+def test_an_updated_indicator_equals_one_made_anew(spark, bars_of, tmp_path, params):
+    """Bars behind the last ones, between them, in place of one, of new series and of short ones."""
+    rng = random.Random(8)
+    bar = lambda: (1.0, rng.random() + 1, rng.random(), rng.random(), 1)
+    bars, out = str(tmp_path / "bars"), str(tmp_path / "out")
+    first = bars_of({"A": [bar() for _ in range(60)], "B": [bar() for _ in range(4)], "C": [bar() for _ in range(50)]})
+    files.write_bars(first, bars)
+    jobs.indicator_job(spark, bars, out, params)
+    untouched = {f: t for f, t in stamps(tmp_path / "out").items()}
+    steps = [
+        bars_of({"A": [bar()]}, start=date(2024, 3, 1)),
+        bars_of({"A": [bar(), bar()], "B": [bar()], "D": [bar()]}, start=date(2024, 3, 2)),
+        bars_of({"A": [bar()], "B": [bar()]}, start=date(2024, 1, 3)),
+        bars_of({"A": [bar()]}, start=date(2023, 1, 1)),
+    ]
+    for step, new in enumerate(steps):
+        jobs.indicator_update(spark, new, bars, out, params)
+        expect = ichimoku_cloud(files.read_series(spark, bars), params)
+        got = files.read_series(spark, out).select(*expect.columns)
+        assert got.count() == expect.count(), step
+        assert got.exceptAll(expect).count() == 0, step
+    c = files.bucket_names(spark, out, ["C"])
+    if not c & files.bucket_names(spark, out, ["A", "B", "D"]):
+        same = {f for f, t in stamps(tmp_path / "out").items() if untouched.get(f) == t}
+        assert any(f"bucket={next(iter(c))}" in f for f in same), "other buckets are not written"
+    jobs.indicator_update(spark, bars_of({}), bars, out, params)
+    assert files.read_series(spark, out).count() == expect.count()

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendcloud.sources.files import ensure_checkpoint_dir, present_tickers, read_series
+
 # The sources from first to last choice, with their labels.
 LABELS = {
     "s3_cache": "AWS S3 cache",
@@ -85,3 +89,53 @@ def resolve_sources(
         parts.append(rows)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return rows.drop("_series").withColumn("label", source_label(F.col("source")))
+
+
+@dataclass(frozen=True)
+class StoredSource:
+    """A table of `write_bars`, or one day of a snapshot table, that is read as far as it serves."""
+
+    name: str
+    path: str
+    ticker: str | None = None  # the one that it serves, if it is for one alone
+
+    @staticmethod
+    def of_day(name: str, path: str, day: date) -> StoredSource:
+        return StoredSource(name, f"{path.rstrip('/')}/cache_date={day.isoformat()}")
+
+    def tickers(self, spark: SparkSession) -> DataFrame:
+        names = present_tickers(spark, self.path)
+        return names if self.ticker is None else names.filter(F.col("ticker") == self.ticker)
+
+
+def resolve_stored(
+    spark: SparkSession, sources: Sequence[StoredSource], provider: DataFrame | None = None
+) -> DataFrame:
+    """For each series the rows of the first source that has it, plus `source`, `label`.
+
+    The sources' presence indexes, a few small files each, settle which one serves a
+    ticker. Of each source only the buckets with tickers that it serves are listed
+    and opened, and none if earlier ones serve them all. A `provider` comes last and
+    gives what no stored source has. Series that have expired from a snapshot but lie
+    in its files yet must be compacted before. Runs jobs when called.
+    """
+    series = F.coalesce(F.col("ticker"), F.lit("\x00")).alias("_series")
+    parts = []
+    if sources:
+        ensure_checkpoint_dir(spark)
+        names = [s.tickers(spark).select(series, "bucket", F.lit(rank).alias("_rank")) for rank, s in enumerate(sources)]
+        offered = reduce(DataFrame.unionByName, names)
+        first = offered.groupBy("_series").agg(F.min(F.struct("_rank", "bucket")).alias("_first")).select("_series", "_first.*").checkpoint()
+        needed = first.select("_rank", "bucket").distinct().collect()  # at most sources x buckets
+        for rank, source in enumerate(sources):
+            buckets = [r["bucket"] for r in needed if r["_rank"] == rank]
+            if buckets:
+                rows = read_series(spark, source.path, buckets=buckets).withColumns({"_series": series, "source": F.lit(source.name)})
+                parts.append(rows.join(first.filter(F.col("_rank") == rank).select("_series"), "_series", "left_semi"))
+    if provider is not None:
+        rows = provider.withColumns({"_series": series, "source": F.lit("yahoo_finance")})
+        parts.append(rows.join(first.select("_series"), "_series", "left_anti") if sources else rows)
+    if not parts:
+        raise ValueError("no source has a series")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.drop("_series").withColumn("label", source_label(F.col("source")))

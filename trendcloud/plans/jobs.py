@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendcloud import schema
@@ -28,6 +28,10 @@ from trendcloud.sources.files import (
 )
 
 
+#: Series that are named to the reader one by one; of more all buckets are read.
+FEW = 10_000
+
+
 @dataclass(frozen=True)
 class Collected:
     """What a collection did."""
@@ -154,6 +158,68 @@ def indicator_job(
     write_bars(ichimoku_cloud(bars, params, block_rows), out_path, fmt)
 
 
+def indicator_update(
+    spark: SparkSession,
+    new: DataFrame,
+    bars_path: str,
+    out_path: str,
+    params: CloudParams = CloudParams(),
+) -> None:
+    """Add `new` bars to a stored bar table and bring its stored indicator up to date.
+
+    A new bar replaces the stored one of its ticker and day. Of each series with new
+    bars only the rows that these can change are made anew: from `rows_after` rows
+    before the first new day, whose lagging close may move, to the projected end;
+    that takes the `rows_before` bars before them and no earlier ones. Other series
+    are not read and, unless they share a bucket, not written. A run that breaks off
+    is finished by running it again.
+    """
+    ensure_checkpoint_dir(spark)
+    names = [f.name for f in schema.BARS.fields]
+    new = new.select(*names).checkpoint()
+    series = lambda: F.coalesce(F.col("ticker"), F.lit("\x00")).alias("_series")
+    since = new.groupBy(series()).agg(
+        # A bar without a day comes first in its series.
+        F.when(F.count_if(F.col("time").isNull()) == 0, F.min("time")).alias("_since")
+    )
+    since = since.checkpoint()
+    if not since.limit(1).count():
+        return
+    tickers = [None if r["_series"] == "\x00" else r["_series"] for r in since.select("_series").collect()] if since.count() <= FEW else None
+    held = None
+    if exists(spark, bars_path):
+        own = read_series(spark, bars_path, tickers=tickers).select(*names, series())
+        keys = new.select(series(), F.col("time").alias("_time")).distinct()
+        same = (F.col("_series") == F.col("_key")) & F.col("time").eqNullSafe(F.col("_time"))
+        held = own.join(since.select("_series"), "_series", "left_semi")
+        held = held.join(keys.withColumnRenamed("_series", "_key"), same, "left_anti").drop("_series")
+    merged = (new if held is None else held.unionByName(new)).checkpoint()
+    write_bars(merged, bars_path)
+
+    placed = merged.withColumn("_series", series()).join(since, "_series")
+    changed = F.coalesce(F.col("time") >= F.col("_since"), F.col("_since").isNull())
+    marked = placed.withColumn("_changed", changed)
+    latest = Window.partitionBy("_series", "_changed").orderBy(F.desc_nulls_last("time"), F.desc("high"), F.desc("low"), F.desc("close"))
+    reach = params.rows_after + params.rows_before
+    numbered = marked.withColumn("_back", F.row_number().over(latest))
+    tail = numbered.filter(F.col("_changed") | (F.col("_back") <= reach)).checkpoint()
+    # The first row that is made anew; a series without so many rows is made anew from its start.
+    before = F.when(~F.col("_changed") & (F.col("_back") == max(1, params.rows_after)), F.col("time"))
+    start = tail.groupBy("_series").agg(
+        F.max(before).alias("_start"),
+        (F.count_if(~F.col("_changed")) < max(1, params.rows_after)).alias("_all"),
+    )
+    made = ichimoku_cloud(tail.select(*names), params)
+    columns = made.columns
+    made = made.withColumn("_series", series()).join(start, "_series")
+    fresh = made.filter(F.col("_all") | F.col("_start").isNull() | (F.col("time") >= F.col("_start"))).select(*columns)
+    if exists(spark, out_path):
+        out = read_series(spark, out_path, tickers=tickers).withColumn("_series", series()).join(start, "_series")
+        stays = out.filter(~F.col("is_projected") & ~F.col("_all") & (F.col("time") < F.col("_start")))
+        fresh = fresh.unionByName(stays.select(*columns))
+    write_bars(fresh.checkpoint(), out_path)
+
+
 def refresh_snapshot(
     provider: DataFrame, path: str, as_of: datetime, days: int = RETENTION_DAYS
 ) -> list[str]:

@@ -354,9 +354,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, DATE '1998-08-25' FROM bars WHERE year(time) = 1995 AND NOT ends_with(ticker, '1')
             UNION ALL
             SELECT *, DATE '1998-09-01' FROM bars WHERE ends_with(ticker, '1')""",
+        "snapshot_compact": f"""{bars}
+            SELECT *, DATE '1998-08-26' AS cache_date FROM bars WHERE year(time) = 1996
+            UNION ALL
+            SELECT *, DATE '1998-08-25' FROM bars WHERE year(time) = 1995 AND NOT ends_with(ticker, '1')
+            UNION ALL
+            SELECT *, DATE '1998-09-01' FROM bars WHERE ends_with(ticker, '1')""",
         "source_cascade": f"""WITH {_SNAPSHOT}, {_RANKED}
             SELECT * EXCLUDE (rank) FROM offered
             QUALIFY rank = min(rank) OVER (PARTITION BY ticker)""",
+        "source_cascade_rows": f"""WITH {_SNAPSHOT}, {_RANKED}
+            SELECT * EXCLUDE (rank) FROM offered
+            QUALIFY rank = min(rank) OVER (PARTITION BY ticker)""",
+        "series_read": f"{bars} SELECT * FROM bars WHERE ticker IN ('Brand#12', 'Brand#35')",
+        "present_tickers": f"{bars} SELECT DISTINCT ticker FROM bars",
+        "indicator_update": cloud,
         "snapshot_read": f"WITH {_SNAPSHOT} SELECT * FROM snapshot",
         "snapshot_write": BRAND_BARS,
         "snapshot_expired": f"WITH {_DATED} SELECT * FROM dated WHERE {_EXPIRED}",
@@ -377,6 +389,7 @@ def oracle_sql() -> dict[str, str]:
                    count(*) FILTER (WHERE key LIKE 'cache/%') AS cache_files FROM objects""",
         "access_log_summary": _ACCESS_SUMMARY,
         "access_log_append": _ACCESS_SUMMARY,
+        "access_stream": _ACCESS_SUMMARY,
         "admission_audit": _AUDIT,
         "admission_stream": _AUDIT,
         "admission_summary": _summary("event_type", 14_400),

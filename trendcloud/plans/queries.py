@@ -14,10 +14,12 @@ from trendcloud.operators import access, admission, bars, cascade, catalog, indi
 from trendcloud.operators import registry, series, snapshots, tickers
 from trendcloud.params import CloudParams
 from trendcloud.plans.jobs import collect_ingest as run_collect
-from trendcloud.plans.jobs import landing_bars
+from trendcloud.plans.jobs import indicator_job, landing_bars
+from trendcloud.plans.jobs import indicator_update as update_indicator
 from trendcloud.plans.jobs import refresh_snapshot as run_refresh
 from trendcloud.sources import files, tables
 from trendcloud.streaming import admission as admission_streaming
+from trendcloud.streaming.access import access_log_stream
 
 FAST = CloudParams(5, 10, 10, 20, 10)
 SNAPSHOT_DAY = date(1998, 6, 30)
@@ -351,12 +353,8 @@ def collect_registry(spark, sf_dir):
     return registry.registry_list(files.scan_registry(spark, f"{path}/registry"))
 
 
-@query
-def source_cascade(spark, sf_dir):
-    """Snapshots first, then stored series, then one local series, then the provider.
-
-    All sources are stored tables; which tickers they hold is read from their names alone.
-    """
+def _sources(spark, sf_dir):
+    """A folder with the four sources as stored tables."""
     path = files.scratch_dir(spark, "sources")
     every = tables.brand_bars(spark, sf_dir)
     files.write_bars(every, f"{path}/provider")
@@ -365,12 +363,35 @@ def source_cascade(spark, sf_dir):
     files.write_bars(bars.date_range(provider.filter(number % 2 == 0), "1998-01-01", "1999-01-01"), f"{path}/stored")
     files.write_bars(bars.date_range(provider, "1999-01-01", "2000-01-01"), f"{path}/local")
     files.snapshot_write(snapshots.snapshot_read(tables.snapshot_envelopes(spark, sf_dir), SNAPSHOT_DAY), f"{path}/cache", SNAPSHOT_DAY)
+    return path
+
+
+@query
+def source_cascade(spark, sf_dir):
+    """Snapshots first, then stored series, then one local series, then the provider.
+
+    Which source serves a ticker is read from the tables' presence indexes; of each
+    source only the buckets that it serves from are opened.
+    """
+    path = _sources(spark, sf_dir)
+    stored = [
+        cascade.StoredSource.of_day("s3_cache", f"{path}/cache", SNAPSHOT_DAY),
+        cascade.StoredSource("s3_csv", f"{path}/stored"),
+        cascade.StoredSource("local_csv", f"{path}/local", "Brand#25"),
+    ]
+    return cascade.resolve_stored(spark, stored, files.read_series(spark, f"{path}/provider"))
+
+
+@query
+def source_cascade_rows(spark, sf_dir):
+    """The same for sources that are any tables: names are read from their rows."""
+    path = _sources(spark, sf_dir)
     return cascade.resolve_sources(
         cascade.gate_sources(
             files.scan_snapshot_table(spark, f"{path}/cache", SNAPSHOT_DAY),
             files.read_series(spark, f"{path}/stored"),
             files.read_series(spark, f"{path}/local"),
-            provider,
+            files.read_series(spark, f"{path}/provider"),
             use_csv=True,
             use_s3=True,
             local_ticker="Brand#25",
@@ -378,6 +399,37 @@ def source_cascade(spark, sf_dir):
     )
 
 
+@query
+def series_read(spark, sf_dir):
+    """Two of the stored series; only the buckets that hold them are opened."""
+    path = files.scratch_dir(spark, "series")
+    files.write_bars(tables.brand_bars(spark, sf_dir), path)
+    return files.read_series(spark, path, tickers=["Brand#12", "Brand#35"]).select("ticker", *schema.BAR_NAMES)
+
+
+@query
+def present_tickers(spark, sf_dir):
+    """The tickers that a stored table holds, from its index, after some were replaced and some added."""
+    path = files.scratch_dir(spark, "present")
+    number = F.split_part("ticker", F.lit("#"), F.lit(2)).cast("int")
+    every = tables.brand_bars(spark, sf_dir)
+    files.write_bars(every.filter(number < 40), path)
+    files.write_bars(every.filter(number > 30), path)
+    return files.present_tickers(spark, path).select("ticker")
+
+
+@query
+def indicator_update(spark, sf_dir):
+    """The indicator of bars to the end of 1997, brought up to date with those of 1998, by half-years."""
+    path = files.scratch_dir(spark, "indicator")
+    every = tables.brand_bars(spark, sf_dir)
+    files.write_bars(every.filter("time < date'1998-01-01'"), f"{path}/bars")
+    indicator_job(spark, f"{path}/bars", f"{path}/out")
+    for start, end in (("1998-01-01", "1998-07-01"), ("1998-07-01", "2100-01-01")):
+        update_indicator(spark, bars.date_range(every, start, end), f"{path}/bars", f"{path}/out")
+    return files.read_series(spark, f"{path}/out").select(*_cloud(spark, sf_dir).columns)
+
+
 @query
 def snapshot_read(spark, sf_dir):
     return snapshots.snapshot_read(tables.snapshot_envelopes(spark, sf_dir), SNAPSHOT_DAY)
@@ -421,6 +473,18 @@ def snapshot_refresh(spark, sf_dir):
     return files.scan_snapshot_table(spark, path)
 
 
+@query
+def snapshot_compact(spark, sf_dir):
+    """The refreshed snapshots after what has expired was taken out of the files."""
+    path = files.scratch_dir(spark, "snapshots")
+    for day in SNAPSHOT_DAYS[1:]:
+        files.snapshot_write(_by_year(spark, sf_dir, day), path, day.date())
+    provider = tables.brand_bars(spark, sf_dir).filter(F.endswith("ticker", F.lit("1")))
+    run_refresh(provider, path, AS_OF)
+    files.compact_snapshots(spark, path)
+    return files.scan_snapshot_table(spark, path)
+
+
 @query
 def snapshot_expired(spark, sf_dir):
     return snapshots.snapshot_expired(tables.object_listing(spark, sf_dir), AS_OF)
@@ -479,6 +543,19 @@ def access_log_append(spark, sf_dir):
     return access.access_log_summary(files.scan_access_log(spark, path))
 
 
+@query
+def access_stream(spark, sf_dir):
+    """The log appended as a stream that stops half-way and goes on from its checkpoint."""
+    path = files.scratch_dir(spark, "access-stream")
+    log = tables.access_log(spark, sf_dir)
+    late = F.col("timestamp") >= F.lit(datetime(2024, 1, 16))
+    for part in (log.filter(~late), log.filter(late)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(schema.ACCESS_LOG).parquet(f"{path}/in")
+        access_log_stream(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return access.access_log_summary(files.scan_access_log(spark, f"{path}/log"))
+
+
 @query
 def admission_audit(spark, sf_dir):
     """Five requests a day per user."""
