@@ -13,7 +13,11 @@ DOCS = T.StructType(
     ]
 )
 #: Columns whose names clash with ones the operators use or add.
-CLASHING = ("id", "key", "block", "ids", "part", "mark", "spans", "copy", "n_words", "stats", "score", "group")
+CLASHING = (
+    *("id", "key", "block", "ids", "part", "mark", "spans", "copy", "n_words", "stats", "score", "group"),
+    *("__source", "__steps", "__at", "__place", "__id", "__mark", "__spans", "__cut", "__first", "label"),
+    *("_source", "_steps", "_at", "_place", "_ID", "_mark", "_spans", "_cut", "_First", "turn", "at"),
+)
 
 
 def words(seed, n, letters="abcdefgh"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trendcloud.llm.bpe import bpe_report, decode, encode, read_ranks
-from trendcloud.llm.token_counts import token_counts, whole_tokens
+from trendcloud.llm.token_counts import odd_characters, token_counts, whole_tokens
 from trendcloud.llm.token_files import FileReader, read_token_files, write_token_files
 from trendcloud.sources.files import scratch_dir
 
@@ -183,3 +183,19 @@ def test_files_of_no_documents(spark, docs_of):
 def test_crc_of_the_query(spark, written):
     row = read_token_files(spark, written, only=[7]).select("tokens", F.crc32("tokens").alias("crc")).first()
     assert row["crc"] == zlib.crc32(bytes(row["tokens"]))
+
+
+def test_counts_are_the_library_s_for_every_character(spark):
+    """Each that is cut differently by itself, all others many to a text."""
+    vocabulary = text_of("byte_bpe_50k.json")
+    odd = odd_characters(vocabulary)
+    assert "\u0558" in odd and "\u088f" in odd and "é" not in odd and "数" not in odd
+    probe = "x {c}'s a{c}b {c}1 {c}{c} 1{c}!{c} \n{c}".format
+    alone = set(odd)
+    rest = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in alone]
+    texts = [probe(c=c) for c in odd] + [" ".join(probe(c=c) for c in rest[i : i + 512]) for i in range(0, len(rest), 512)]
+    library = Tokenizer.from_str(vocabulary)
+    expect = [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, vocabulary).collect()}
+    assert [got[i] for i in range(len(texts))] == expect

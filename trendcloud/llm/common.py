@@ -48,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def working_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null reads as empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

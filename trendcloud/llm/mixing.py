@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendcloud.llm.common import shuffle_partitions, stored
+from trendcloud.llm.common import shuffle_partitions, stored, working_names
 
 SEED = 17
 #: Weight of a source: its share of the corpus to this power (0 makes sources equal, 1 leaves them).
@@ -76,8 +76,9 @@ def mix_sources(
     rows that share one are repeated alike; rows without an id are drawn by their
     text. A null source is a source of its own; sources without a rate, or with a
     rate of 0, are left out, and so are documents drawn 0 times. Sources without a
-    single character have no weight. An empty table gives an empty one. Columns
-    of the input named copy or n_copies are replaced.
+    single character have no weight. An empty table gives an empty one. Texts of
+    any length only count their characters. Columns of the input named copy or
+    n_copies are replaced; all others, whatever their names, come back as they are.
     """
     n = shuffle_partitions(docs.sparkSession)
     kept = docs.drop("copy", "n_copies")
@@ -88,21 +89,21 @@ def mix_sources(
         rates = tempered_rates(kept.groupBy(name(F.col(source_col)).alias("source")).agg(size.alias("size")))
     else:
         rates = rates.select(name(F.col("source")).alias("source"), "rate")
-    steps = poisson_steps(rates.filter("rate > 0")).withColumnsRenamed({"source": "__source", "steps": "__steps"})
+    source, steps, at, place = working_names(docs, "source", "steps", "at", "place")
+    drawn_steps = poisson_steps(rates.filter("rate > 0")).withColumnsRenamed({"source": source, "steps": steps})
     who = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     drawn = (
-        kept.withColumn("__source", name(F.col(source_col)))
-        .join(steps, "__source")
-        .withColumn("__at", unit(F.lit(seed), who))
-        .withColumn("n_copies", F.size(F.filter("__steps", lambda s: s <= F.col("__at"))))
+        kept.withColumn(source, name(F.col(source_col)))
+        .join(drawn_steps, source)
+        .withColumn(at, unit(F.lit(seed), who))
+        .withColumn("n_copies", F.size(F.filter(steps, lambda s: s <= F.col(at))))
         .filter("n_copies > 0")
-        .drop("__steps", "__source", "__at")
+        .drop(steps, source, at)
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    place = F.xxhash64(F.lit(seed), who, F.col("copy"))
     return (
-        copies.withColumn("__place", place)
-        .repartition(n, "__place")
-        .sortWithinPartitions("__place")
+        copies.withColumn(place, F.xxhash64(F.lit(seed), who, F.col("copy")))
+        .repartition(n, place)
+        .sortWithinPartitions(place)
         .select(*kept.columns, "copy", "n_copies")
     )

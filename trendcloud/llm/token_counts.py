@@ -5,14 +5,20 @@ encode alone as that one token is proved once, on the driver, by encoding all of
 them (the vocabulary bounds the work). Tasks count matching pre-tokens directly
 and merge only the rest; a task remembers what it has merged, within a bound.
 Nothing is shuffled and the texts are read once.
+
+Texts are cut into pre-tokens here, and the library's own tables of characters may
+be of another Unicode version. Every character that the two cut differently is found
+once, on the driver; a text that holds one is counted by the library as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +82,32 @@ def whole_tokens(tokenizer_json: str) -> list[str]:
     ]
 
 
+@lru_cache(maxsize=4)
+def odd_characters(tokenizer_json: str) -> str:
+    """All characters that the library's pre-tokenizer and `PATTERN` do not treat alike.
+
+    The pattern tells letters, numbers, white space and others apart and nothing
+    else, so it is enough to see each character between letters, numbers and others.
+    """
+    split = Tokenizer.from_str(tokenizer_json).pre_tokenizer.pre_tokenize_str
+    find = regex.compile(PATTERN).finditer
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd: set[str] = set()
+    for at in range(0, len(every), 1 << 14):
+        chars = list(map(chr, every[at : at + (1 << 14)]))
+        for kind in ("a", "1", "!"):
+            text = kind + kind.join(chars) + kind
+            ours, theirs = np.zeros(len(text) + 1, bool), np.zeros(len(text) + 1, bool)
+            ours[[m.start() for m in find(text)]] = True
+            theirs[[begin for _, (begin, _) in split(text)]] = True
+            differ = np.flatnonzero(ours != theirs)
+            # A character stands at every odd place; a cut before or behind it is due to it.
+            for place in np.unique(np.concatenate([differ, differ - 1])).tolist():
+                if place % 2 == 1 and place < len(text):
+                    odd.add(text[place])
+    return "".join(sorted(odd))
+
+
 def token_counts(
     docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -88,6 +120,7 @@ def token_counts(
     """
     bounded_batches(docs.sparkSession)
     whole = whole_tokens(tokenizer_json)
+    odd = odd_characters(tokenizer_json)
     special = sorted(special_strings(json.loads(tokenizer_json)), key=len, reverse=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +128,7 @@ def token_counts(
         tokenizer = Tokenizer.from_str(tokenizer_json)
         find = regex.compile(PATTERN).findall
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else None
+        unlike = re.compile(f"[{re.escape(odd)}]").search if odd else lambda text: None
         tokens = dict.fromkeys(whole, 1)
         for batch in pieces(batches, 128):
             if len(tokens) > len(whole) + REMEMBERED:
@@ -102,6 +136,10 @@ def token_counts(
             bytes_, specials, words = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
+                if not text.isascii() and unlike(text):
+                    specials.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
+                    words.append([])
+                    continue
                 parts = cut(text) if cut else [text]
                 specials.append(len(parts) - 1)
                 words.append([w for p in parts for w in find(p)] if len(parts) > 1 else find(text))
