@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import words
@@ -164,3 +165,37 @@ def test_rolling_hashes_tell_runs_apart():
     twice = np.concatenate([values, values])
     rolled = Rolling(twice).of(10, 0)
     assert (rolled[:21] == rolled[30:51]).all() and len(set(rolled.tolist())) == 30
+
+
+def test_a_passage_in_very_many_documents_is_dealt_out_once_a_batch(spark, docs_of):
+    """What a task knows to be in a smaller document goes by document, not by window."""
+    from trendcloud.llm import substring_dedup as sub
+
+    passage = " ".join(words(77, 60))
+    rows = [(i, f"a{i} b{i} c{i} {passage}") for i in range(600)]
+    batch = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array(range(600))], names=["id", "text", "mark"])]
+
+    class Sketch:
+        value = b"\xff" * (2 * (1 << 20) // 8)
+
+    dealt = list(sub._deal(50, 1 << 20, 8, Sketch)(iter(batch)))
+    asked = [b.filter(b.column("high").is_valid()) for b in dealt]
+    positions = sum(len(x) // 4 for b in asked for x in b.column("position").to_pylist())
+    every = sum(len(x) // 4 for b in dealt for x in b.column("position").to_pylist())
+    assert every == 600 * 14 and positions <= 600 * 3 + 14 * 2, "only the first document's shared windows are dealt out"
+    got = {r["doc_id"]: r["n_removed"] for r in sub.cut_repeats(docs_of(rows).repartition(7)).collect()}
+    assert got == {i: 60 if i else 0 for i in range(600)}
+
+
+def test_an_exact_copy_in_very_many_documents_sends_its_set_once_a_task(spark, docs_of):
+    from trendcloud.llm import ngram_join as join
+
+    text = " ".join(words(5, 40))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([text] * 500)], names=["id", "text"])
+    sent = list(join._incidences(5, 16)(iter([batch])))
+    kinds = [(k, p, len(x) // 8) for b in sent for k, p, x in zip(b.column("kind").to_pylist(), b.column("part").to_pylist(), b.column("keys").to_pylist())]
+    documents = [n for k, _, n in kinds if k == 1]
+    assert sum(documents) == 500 and len(documents) == 16 and max(documents) < 70
+    assert [n for k, _, n in kinds if k == 2] == [1]
+    got = ngram_groups(docs_of([(i, text) for i in range(500)]).repartition(6)).collect()
+    assert {(r["n_shingles"], r["component_id"]) for r in got} == {(36, 0)} and len(got) == 500

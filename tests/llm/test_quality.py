@@ -182,3 +182,28 @@ def test_a_rule_is_cut_back_to_what_holds_on_other_rows():
     assert (covered == bad).mean() > 0.99
     assert not learn_rules({"a": a}, np.zeros(3000, bool), np.arange(3000) % 3 == 0)
     assert Rule((("a", True, 0.5),)).covers({"a": np.array([0.4, 0.5])}).tolist() == [False, True]
+
+
+def test_scores_are_those_of_a_direct_computation(labelled):
+    """Every score from the statistics by the formula, with weights from the whole normal equations."""
+    docs, labels, _ = labelled
+    stats = docs.select("doc_id", text_statistics(F.col("text")).alias("stats"))
+    model = learn_quality(stats, labels)
+    rows = {r["doc_id"]: np.array(r["stats"], float) for r in stats.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels).collect()}
+    x = np.array([rows[i] for i in sorted(rows)])
+    raw = model.features(x) @ model.weights
+    level = np.interp(np.clip(raw, -3, 4), model.knots, model.values)
+    expect = 0.998 * level + 0.002 * np.clip((np.clip(raw, -3, 4) + 1) / 3, 0, 1)
+    assert np.allclose([got[i] for i in sorted(rows)], expect, atol=1e-3)
+
+
+def test_only_labelled_texts_are_learned_from_and_all_stay_without_labels(spark, labelled, docs_of):
+    docs, labels, truth = labelled
+    kept = keep_quality(docs, labels)
+    assert kept.columns == docs.columns
+    scores = {r["doc_id"]: r["predicted"] for r in quality_scores(docs, labels).collect()}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, p in scores.items() if p}
+    none = spark.createDataFrame([], LABELS)
+    assert keep_quality(docs, none).count() == len(truth)
+    assert keep_quality(docs_of([]), labels).count() == 0

@@ -46,6 +46,7 @@ from trendcloud.llm.common import (
     shuffle_partitions,
     stored,
     utf8,
+    working_names,
 )
 from trendcloud.llm.components import components
 
@@ -114,7 +115,11 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _incidences(size: int, parts: int):
-    """Texts to packed incidences by column block (kind 0), and each document's set (kind 1)."""
+    """Texts to packed incidences by column block (kind 0), documents (1) and the sizes of sets (2).
+
+    Documents are dealt by id, as a set may have any number of them; incidences and
+    size of a set are sent once by a task.
+    """
 
     def incidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, sent = WordCodes(), set()
@@ -127,10 +132,12 @@ def _incidences(size: int, parts: int):
                 [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)],
                 np.uint64,
             ).view(np.int64)
-            part = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
             whose = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
             missing = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            # Rows without an id, or with the same one, spread by their place in the batch.
+            spread = mix(whose.view(np.uint64) + np.arange(len(whose), dtype=np.uint64))
+            part = spread % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
             used, packed = _split(
                 part[order],
                 ids=whose[order],
@@ -144,6 +151,12 @@ def _incidences(size: int, parts: int):
                 if keys[i] not in sent:
                     sent.add(keys[i])
                     fresh[i] = True
+            new = np.flatnonzero(fresh)
+            if len(new):
+                part = (keys[new].view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+                new = new[np.argsort(part, kind="stable")]
+                used, packed = _split(np.sort(part), sizes=sizes[new].astype("<i4"), keys=keys[new])
+                yield _rows(2, "part", used, packed)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             hashes, owner = hashes[fresh[owner]], owner[fresh[owner]]
             if not len(hashes):
@@ -186,23 +199,27 @@ def _shared_columns(buckets: int):
         cells, blocks = _Gathered(), []
         for batch in batches:
             part, kinds = batch.column("part").to_pylist(), batch.column("kind").to_pylist()
-            docs = _Gathered()
+            docs, sets = _Gathered(), _Gathered()
             for row, kind in enumerate(kinds):
                 if kind == 1:
                     docs.add(batch, row, {c: _KINDS[c] for c in ("ids", "nulls", "sizes", "keys")})
                     continue
+                if kind == 2:
+                    sets.add(batch, row, {c: _KINDS[c] for c in ("sizes", "keys")})
+                    continue
                 cells.add(batch, row, {c: _KINDS[c] for c in ("keys", "counts")})
                 low = np.frombuffer(batch.column("cols")[row].as_buffer(), np.uint8).reshape(-1, 6)
                 col = np.zeros((len(low), 8), np.uint8)
                 col[:, :6] = low
                 blocks.append(col.view("<u8").ravel() | np.uint64(part[row] << 48))
-            keys = docs["keys"]
-            if len(keys):
-                bucket = mix(keys.view(np.uint64)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                columns = {c: docs[c][order] for c in ("ids", "nulls", "sizes", "keys")}
-                used, packed = _split(bucket[order], **columns)
-                yield _rows(1, "bucket", used, packed)
+            for kind, of in ((1, docs), (2, sets)):
+                keys = of["keys"]
+                if len(keys):
+                    by = of["ids"].view(np.uint64) + np.arange(len(keys), dtype=np.uint64) if kind == 1 else keys.view(np.uint64)
+                    bucket = mix(by) % np.uint64(buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    used, packed = _split(bucket[order], **{c: of[c][order] for c in of.got})
+                    yield _rows(kind, "bucket", used, packed)
         if not blocks:
             return
         col, keys = np.concatenate(blocks), cells["keys"]
@@ -256,11 +273,13 @@ def _sets_of(percent: int):
                     names = ("keys", "counts", "freq")
                     cells.add(batch, row, {c: _KINDS[c] for c in names} | {"cols": "<u8"})
                     continue
+                if kind == 2:
+                    known.add(batch, row, {"keys": "<i8", "sizes": "<i4"})
+                    continue
                 ids, missing, sizes, keys = (
                     np.frombuffer(batch.column(c)[row].as_buffer(), _KINDS[c])
                     for c in ("ids", "nulls", "sizes", "keys")
                 )
-                known.add(batch, row, {"keys": "<i8", "sizes": "<i4"})
                 none = pa.nulls(len(ids), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -441,10 +460,12 @@ def one_of_each(
     """The documents that have the smallest id of their group; the columns are those of `docs`.
 
     Rows that share an id are one document and stay or go together; rows without
-    an id stay.
+    an id stay, and so do those with a null or empty text, which are in no group. An
+    empty table gives an empty one; columns of any name come back as they are.
     """
     groups = ngram_groups(docs.select(id_col, text_col), id_col, text_col, words, percent)
-    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
+    (mark,) = working_names(docs, "first")
+    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(first, F.col(id_col).cast("long") == F.col("__first"), "left_semi")
+    kept = named.join(first, F.col(id_col).cast("long") == F.col(mark), "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

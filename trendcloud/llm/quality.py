@@ -188,6 +188,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return sums[:, 0] / sums[:, 2], sums[:, 1] / sums[:, 2]
 
 
+_TURNS = 1_000_003
+
+
+def _turn() -> Column:
+    """An even number from 0 below `_TURNS`, by the id."""
+    return F.pmod(F.xxhash64("id"), F.lit(_TURNS))
+
+
 def fit_quality(rows: DataFrame) -> QualityModel:
     """A model of `label` (0 to 1) from `stats`, both columns of `rows` beside an `id`.
 
@@ -198,9 +206,9 @@ def fit_quality(rows: DataFrame) -> QualityModel:
     known = rows.count()
     if not known:
         return QualityModel()
-    turn = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
+    turn = _turn()
     if known > MOST_FITTED:
-        rows = rows.filter(turn < int(1_000_003 * MOST_FITTED / known))
+        rows = rows.filter(turn < int(_TURNS * MOST_FITTED / known))
     rows = stored(rows.select("stats", "label", (F.pmod(turn, F.lit(CALIBRATION)) == 0).alias("aside")), "labelled")
     fit, aside = rows.filter("not aside"), rows.filter("aside")
     if not fit.limit(1).count() or not aside.limit(1).count():
@@ -252,16 +260,18 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, label) of the rows that may be learned from."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col))
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("label"))
+
+
 def learn_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
     """A model from (id_col, stats) and the labels of rows that are not held out.
 
     Labels other than 0 and 1 are left out; a document with several has their mean.
     """
-    given = (
-        labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col))
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.avg(label_col).alias("label"))
-    )
+    given = _known_labels(labels, id_col, label_col)
     return fit_quality(stats.select(F.col(id_col).alias("id"), "stats").join(given, "id"))
 
 
@@ -283,8 +293,23 @@ def quality_scores(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least `THRESHOLD`; the columns are those of `docs`."""
+    """The documents with a score of at least `THRESHOLD`; the columns are those of `docs`.
+
+    Null and empty texts are scored as empty ones; null ids and repeated rows are kept
+    or go by their text; an empty table gives an empty one; columns of any name come
+    back as they are. Without labels to learn from nothing is known about quality,
+    and all documents stay. To learn, only the texts with labels (`MOST_FITTED` of
+    them at most, about) have their statistics taken; all are then judged in one pass.
+    """
     bounded_batches(docs.sparkSession)
-    stats = docs.select(F.col(id_col), text_statistics(F.col(text_col)).alias("stats"))
-    model = learn_quality(stored(stats, "statistics"), labels, id_col)
+    given = _known_labels(labels, id_col, "quality")
+    known = given.count()
+    if known > MOST_FITTED:
+        given = given.filter(_turn() < int(_TURNS * MOST_FITTED / known))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # No more labels than are learned from go to all tasks.
+    fitted = named.join(F.broadcast(given), "id").select("id", "label", text_statistics(F.col("text")).alias("stats"))
+    model = fit_quality(stored(fitted, "fitted"))
+    if model.weights is None:
+        return docs
     return docs.filter(quality_score(model, text_statistics(F.col(text_col))) >= THRESHOLD)

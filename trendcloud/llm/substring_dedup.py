@@ -9,9 +9,12 @@ A window is `length` consecutive words. Three passes over the texts:
    by ranges of cells. An anchor's estimate is never below the number of
    documents with any of its windows.
 2. *Exact groups.* Only windows whose anchor is estimated in two or more documents
-   are dealt out, by a hash of 96 bits; their smallest document is found exactly.
-   None that repeats is lost: the sketch only ever overestimates. A window
-   estimated by mistake stands alone in its group and does nothing.
+   are looked at, by a hash of 96 bits. What a task itself knows to be in a smaller
+   document needs no more; of each window only the smallest document that the task
+   has met goes on, so a passage in a third of all documents does not bring them
+   together. The windows that go on are dealt out and their smallest document is
+   found exactly. None that repeats is lost: the sketch only ever overestimates. A
+   window estimated by mistake stands alone in its group and does nothing.
 3. *Cut.* Covered words of each document meet its text again.
 
 The merged sketch is the one thing sent to all tasks; its width follows the
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ from trendcloud.llm.common import (
     ranges,
     shuffle_partitions,
     utf8,
+    working_names,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,6 +55,8 @@ LENGTH = 50
 CELLS, MOST_CELLS = 1 << 20, 1 << 28
 #: Cells whose counts one task merges at a time.
 CHUNK = 1 << 20
+#: Windows whose smallest document a task remembers.
+MET = 1 << 17
 #: Cells a task notes before it hands a partial sketch on.
 NOTED = 1 << 22
 
@@ -175,11 +182,67 @@ def repeated_cells(texts: DataFrame, length: int, cells: int) -> bytes:
     return bytes(bits)
 
 
+class _Smallest:
+    """The smallest document a task has met of each window that came in several; forgets all beyond `MET`."""
+
+    def __init__(self) -> None:
+        self.high = np.zeros(0, np.uint64)
+        self.low = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.int64)
+
+    def late(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which windows are known to be in a smaller document, of this batch or an earlier one."""
+        order = np.lexsort((ids, low, high))
+        h, l, i = high[order], low[order], ids[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(h)))
+        least = i[starts].copy()
+        if len(self.high):
+            at = np.minimum(np.searchsorted(self.high, h[starts]), len(self.high) - 1)
+            met = (self.high[at] == h[starts]) & (self.low[at] == l[starts])
+            least[met] = np.minimum(least[met], self.ids[at[met]])
+        out = np.zeros(len(h), bool)
+        out[order] = i > np.repeat(least, sizes)
+        several = i[starts + sizes - 1] > least
+        high = np.concatenate([h[starts][several], self.high])
+        low = np.concatenate([l[starts][several], self.low])
+        ids = np.concatenate([least[several], self.ids])
+        # One entry per high half: another window with the same half is only met less often.
+        self.high, first = np.unique(high, return_index=True)
+        self.low, self.ids = low[first], ids[first]
+        if len(self.high) > MET:
+            self.__init__()
+        return out
+
+
 def _deal(length: int, cells: int, parts: int, sketch):
-    """Windows estimated as repeated, in rows by part: owners, then hashes and positions."""
+    """Windows estimated as repeated, in rows by part: owners, then hashes and positions.
+
+    Rows without hashes hold windows that are known to be in a smaller document.
+    """
+
+    def rows_of(part, ids, marks, owner, position, high=None, low=None) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")  # owners stay together inside a part
+        part, owner, position = part[order], owner[order], position[order]
+        used, first = np.unique(part, return_index=True)
+        at = [*first.tolist(), len(part)]
+        rows: list[list] = [[], [], [], [], [], []]
+        for a, b in zip(at, at[1:], strict=False):
+            own, n = np.unique(owner[a:b], return_counts=True)
+            packed = [ids[own].astype("<i8"), marks[own].astype("<i8"), n.astype("<u4")]
+            packed += [x[order[a:b]] for x in (high, low)] if high is not None else [None, None]
+            packed += [position[a:b].astype("<u4")]
+            for column, values in zip(rows, packed, strict=True):
+                column.append(None if values is None else values.tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)],
+            names=["part", "ids", "marks", "counts", "high", "low", "position"],
+        )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits = WordCodes(), np.frombuffer(sketch.value, np.uint8)
+        codes, bits, smallest = WordCodes(), np.frombuffer(sketch.value, np.uint8), _Smallest()
 
         def repeated(cell: np.ndarray) -> np.ndarray:
             return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -200,23 +263,14 @@ def _deal(length: int, cells: int, parts: int, sketch):
             if not len(where):
                 continue
             high, low = rolling.of(length, 0)[where], rolling.of(length, 1)[where].astype(np.uint32)
-            part = ((high >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")  # owners stay together inside a part
-            part, owner, position = part[order], owner[order], position[order]
-            high, low = high[order], low[order]
-            used, first = np.unique(part, return_index=True)
-            at = [*first.tolist(), len(part)]
-            rows: list[list] = [[], [], [], [], [], []]
-            for a, b in zip(at, at[1:], strict=False):
-                own, n = np.unique(owner[a:b], return_counts=True)
-                packed = (ids[own].astype("<i8"), marks[own].astype("<i8"), n.astype("<u4"))
-                packed += (high[a:b], low[a:b], position[a:b].astype("<u4"))
-                for column, values in zip(rows, packed, strict=True):
-                    column.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)],
-                names=["part", "ids", "marks", "counts", "high", "low", "position"],
-            )
+            late = smallest.late(high, low, ids[owner])
+            if late.any():
+                # Nothing is to be found out about these: they go by document.
+                part = mix(ids[owner[late]].view(np.uint64)) % np.uint64(parts)
+                yield rows_of(part, ids, marks, owner[late], position[late])
+            if not late.all():
+                part = ((high[~late] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                yield rows_of(part, ids, marks, owner[~late], position[~late], high[~late], low[~late])
 
     return deal
 
@@ -230,12 +284,39 @@ def _read(batches: Iterator[pa.RecordBatch], columns: dict[str, str]) -> dict[st
     return {c: np.concatenate([np.zeros(0, kind), *got[c]]) for c, kind in columns.items()}
 
 
+def _by_bucket(buckets: int, ids: np.ndarray, marks: np.ndarray, owner: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+    """Late windows in rows by document bucket."""
+    bucket = mix(ids.view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((position, owner, bucket[owner]))
+    owner, position = owner[order], position[order]
+    used, first = np.unique(bucket[owner], return_index=True)
+    at = [*first.tolist(), len(owner)]
+    rows: list[list] = [[], [], [], []]
+    for a, b in zip(at, at[1:], strict=False):
+        own, _, n = np.unique(owner[a:b], return_index=True, return_counts=True)
+        for column, values in zip(rows, (ids[own], marks[own], n.astype("<u4"), position[a:b]), strict=True):
+            column.append(values.tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)],
+        names=["bucket", "ids", "marks", "counts", "position"],
+    )
+
+
 def _judge(buckets: int):
     """Whole parts: windows that start in a smaller document too, in rows by document bucket."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"ids": "<i8", "marks": "<i8", "counts": "<u4", "high": "<u8", "low": "<u4", "position": "<u4"}
-        x = _read(batches, kinds)
+        asked = []
+        for batch in batches:
+            open_ = batch.column("high").is_valid()
+            asked.append(batch.filter(open_))
+            known = batch.filter(pa.compute.invert(open_))
+            if known.num_rows:  # handed on as they are
+                x = _read([known], {c: kinds[c] for c in ("ids", "marks", "counts", "position")})
+                owner = np.repeat(np.arange(len(x["ids"])), x["counts"].astype(np.int64))
+                yield _by_bucket(buckets, x["ids"], x["marks"], owner, x["position"])
+        x = _read(asked, kinds)
         if not len(x["high"]):
             return
         counts = x["counts"].astype(np.int64)
@@ -248,22 +329,8 @@ def _judge(buckets: int):
         ids = x["ids"][owner]
         least = np.repeat(np.minimum.reduceat(ids, starts), np.diff([*starts, len(ids)]))
         late = ids > least
-        owner, position = owner[late], position[late]
-        bucket = mix(x["ids"].view(np.uint64)) % np.uint64(buckets)
-        order = np.lexsort((position, owner, bucket[owner]))
-        owner, position = owner[order], position[order]
-        used, first = np.unique(bucket[owner], return_index=True)
-        at = [*first.tolist(), len(owner)]
-        rows: list[list] = [[], [], [], []]
-        for a, b in zip(at, at[1:], strict=False):
-            own, begin, n = np.unique(owner[a:b], return_index=True, return_counts=True)
-            packed = (x["ids"][own], x["marks"][own], n.astype("<u4"), position[a:b])
-            for column, values in zip(rows, packed, strict=True):
-                column.append(values.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)],
-            names=["bucket", "ids", "marks", "counts", "position"],
-        )
+        if late.any():
+            yield _by_bucket(buckets, x["ids"], x["marks"], owner[late], position[late])
 
     return judge
 
@@ -360,17 +427,14 @@ def cut_repeats(
     id. Rows that share an id are one document and do not remove each other's
     words. Null texts read as empty; rows without an id lose nothing and remove
     nothing. Texts of any length are read whole; an empty table gives an empty
-    one. Columns of the input that clash with the three added are replaced.
+    one. Columns of the input named as the three added are replaced; all others,
+    whatever their names, come back as they are.
     """
     spans = covered_spans(docs, id_col, text_col, length)
     added = ["n_words", "n_removed", "kept_text"]
     docs = docs.drop(*added)
-    mark = F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
-    left = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", mark)
-    met = left.join(
-        spans.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")),
-        ["__id", "__mark"],
-        "left",
-    )
-    cut = met.withColumn("__cut", _cut(F.col(text_col), F.col("__spans")))
-    return cut.select(*docs.columns, *(F.col(f"__cut.{c}").alias(c) for c in added))
+    who, mark, covered, cut = working_names(docs, "id", "mark", "spans", "cut")
+    left = docs.withColumns({who: F.col(id_col).cast("long"), mark: F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))})
+    spans = spans.select(F.col("id").alias(who), F.col("mark").alias(mark), F.col("spans").alias(covered))
+    met = left.join(spans, [who, mark], "left").withColumn(cut, _cut(F.col(text_col), F.col(covered)))
+    return met.select(*docs.columns, *(F.col(f"{cut}.{c}").alias(c) for c in added))
