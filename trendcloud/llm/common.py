@@ -94,7 +94,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """Words to small numbers and their 128-bit hashes; forgets all when it has grown to `most`."""
 
-    def __init__(self, most: int = 1 << 17):
+    def __init__(self, most: int = 1 << 16):
         super().__init__()
         self.most = most
         self.digests: list[bytes] = []
