@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -128,7 +127,8 @@ def token_counts(
         tokenizer = Tokenizer.from_str(tokenizer_json)
         find = regex.compile(PATTERN).findall
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else None
-        unlike = re.compile(f"[{re.escape(odd)}]").search if odd else lambda text: None
+        is_odd = np.zeros(0x110000, bool)
+        is_odd[[ord(c) for c in odd]] = True
         tokens = dict.fromkeys(whole, 1)
         for batch in pieces(batches, 128):
             if len(tokens) > len(whole) + REMEMBERED:
@@ -136,7 +136,7 @@ def token_counts(
             bytes_, specials, words = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                if not text.isascii() and unlike(text):
+                if not text.isascii() and is_odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
                     specials.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
                     words.append([])
                     continue
