@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import words
 from trendcloud.llm import ngram_join, substring_dedup
@@ -83,6 +84,40 @@ def test_near_copies_at_all_distances(docs_of, monkeypatch, tile):
     assert as_rows(ngram_groups(docs_of(rows))) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_sets_of_all_sizes_that_hold_one_another(docs_of, monkeypatch, tile):
+    """Every text begins like the next longer one; only those of near sizes can be linked."""
+    monkeypatch.setattr(ngram_join, "TILE_SETS", tile)
+    text = words(21, 900)
+    lengths = [5, 9, 10, 14, 24, 29, 30, 44, 64, 84, 104, 129, 160, 210, 260, 330, 500, 624, 700, 899]
+    rows = [(i, " ".join(text[:n])) for i, n in enumerate(lengths)] + [(90, " ".join(text[5:705]))]
+    got = ngram_groups(docs_of(rows))
+    assert as_rows(got) == sorted(brute_groups(rows), key=str)
+
+
+@pytest.mark.parametrize("percent", [51, 80, 99, 100])
+def test_no_pair_that_can_be_linked_is_further_apart_than_one_band(spark, percent):
+    sizes = spark.range(1, 40_000).select(F.col("id").alias("size"))
+    band = dict(sizes.select("size", ngram_join._band(percent)).collect())
+    assert all(band[100 * s // percent] - band[s] in (0, 1) for s in band if 100 * s // percent in band)
+
+
+def test_blocks_of_bands_apart_share_no_tile(spark):
+    rows = [(7, i, 3 * i, 10, b"", i // 20, 4, 4 * (i >= 20), 4 * (i < 80)) for i in range(100)]
+    placed = spark.createDataFrame(
+        rows, "cluster long, n long, key long, size long, cols binary, band int, blocks long, before long, after long"
+    )
+    tiles = ngram_join._tiles(placed).select("tile.*", "key").collect()
+    assert {t["high"] - t["low"] for t in tiles} == {0, 1}
+    met = {}
+    for t in tiles:
+        met.setdefault(t[:4], set()).add(t["key"] // 3)
+    # Five bands of four blocks: ten tiles in each, sixteen between two that meet.
+    assert len(met) == 5 * 10 + 4 * 16
+    pairs = {(a, b) for keys in met.values() for a in keys for b in keys if a < b}
+    assert pairs == {(a, b) for a in range(100) for b in range(a + 1, 100) if b // 20 - a // 20 <= 1}
+
+
 def test_one_of_each_keeps_columns_and_rows_without_id(docs_of, odd_rows):
     docs = docs_of(odd_rows, clashing=True)
     kept = one_of_each(docs)

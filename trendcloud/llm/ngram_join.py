@@ -12,11 +12,13 @@ and what cannot reach the similarity is discarded as early as its size tells:
    which fewer of its columns are shared by any other is done. What is left are
    the near copies.
 3. *Candidates.* Ordered from rare to frequent, two linked sets share one of
-   their first n - ceil(0.8 n) + 1 columns. Sets that share one, directly or by
-   way of others, form a cluster.
-4. *Blocked product.* Each cluster is cut into tiles of bounded size, and a tile
-   accumulates overlaps a row at a time, against the sets of the tile that are not
-   linked yet. It hands on one link per set, never all pairs.
+   their first n - ceil(0.8 n) + 1 columns, and their sizes lie within 80 % of each
+   other, so in one size band or two that meet. Sets that share a column within
+   such bands, directly or by way of others, form a cluster.
+4. *Blocked product.* A cluster is one tile, or, if it is too large, one for each
+   pair of its blocks whose bands meet. A tile accumulates overlaps a row at a time,
+   against those sets of a size that can be linked which are not linked yet. It hands
+   on one link per set, never all pairs.
 5. Links between tiles meet as connected components, and every document gets the
    smallest id of its group.
 
@@ -26,6 +28,7 @@ number of their block).
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendcloud.llm.common import (
@@ -320,6 +323,12 @@ def _sets_of(percent: int):
     return sets
 
 
+def _band(percent: int) -> Column:
+    """Numbers a set's size so that sizes within `percent` of each other differ by at most 1."""
+    # A little wider than the ratio, so that rounding cannot part a pair at its very edge.
+    return F.floor(F.ln("size") / max(math.log(100 / percent) * (1 + 1e-6), 1e-3)).cast("int")
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1024):
         prefix = batch.column("prefix").to_numpy(zero_copy_only=False)
@@ -327,15 +336,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.frombuffer(c, "<i8")[:p]
             for c, p in zip(batch.column("cols").to_pylist(), prefix.tolist(), strict=True)
         ]
-        keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), [len(c) for c in cols])
+        n = [len(c) for c in cols]
+        keys, bands = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("key", "band"))
         flat = np.concatenate([np.zeros(0, np.int64), *cols])
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(keys)], names=["col", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat, keys, bands)], names=["col", "key", "band"])
 
 
 def _link(percent: int):
     """A tile's links: each set of a group with the first of them, itself included."""
 
     def link(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by([("size", "ascending"), ("key", "ascending")])
         keys = tile["key"].to_numpy()
         size = tile["size"].to_numpy()
         cols = [np.frombuffer(c, "<i8") for c in tile["cols"].to_pylist()]
@@ -357,14 +368,18 @@ def _link(percent: int):
                 if alive.sum() * 2 < len(open_):
                     open_ = np.flatnonzero(alive)
                     inside, begins = flat[ranges(at[open_], met[open_])], offsets(met[open_])[:-1]
-                if not len(open_):
-                    break
+                least, most = -(-percent * size[row] // 100), 100 * size[row] // percent
+                low, high = np.searchsorted(size[open_], [least, most + 1])
+                if low == high:  # no set left is of a size that can be linked with this one
+                    continue
+                some, begin = open_[low:high], begins[low]
+                end = begins[high] if high < len(begins) else len(inside)
                 own = flat[at[row] : at[row + 1]]
                 mark[own] = True
-                overlap = np.add.reduceat(mark[inside], begins, dtype=np.int64)
+                overlap = np.add.reduceat(mark[inside[begin:end]], begins[low:high] - begin, dtype=np.int64)
                 mark[own] = False
-                union = size[row] + size[open_] - overlap
-                linked = open_[(100 * overlap >= percent * union) & alive[open_]]
+                union = size[row] + size[some] - overlap
+                linked = some[(100 * overlap >= percent * union) & alive[some]]
                 alive[linked] = False
                 queue += linked.tolist()
                 a += keys[linked].tolist()
@@ -378,30 +393,70 @@ def _link(percent: int):
 
 
 def _clusters(sets: DataFrame) -> DataFrame:
-    """(key, cluster) of the sets that share a prefix column with another."""
-    rows = sets.mapInArrow(_prefixes, "col long, key long")
-    least = rows.groupBy("col").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    least = least.filter("least < most").select("col", "least")
-    pairs = rows.join(least, "col").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    """(key, cluster) of the sets that share a prefix column with another of a size to be linked with."""
+    rows = sets.mapInArrow(_prefixes, "col long, key long, band int")
+    # A band meets the next one under its own number and the one before under that one's.
+    rows = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    least = rows.groupBy("col", "band").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    least = least.filter("least < most").select("col", "band", "least")
+    pairs = rows.join(least, ["col", "band"]).select(F.col("key").alias("a"), F.col("least").alias("b"))
     found = components(pairs.distinct())
     return found.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
 
+def _tiles(placed: DataFrame) -> DataFrame:
+    """A row for each tile (cluster, tile) that a set belongs to.
+
+    `placed` has a set's cluster, band, number of blocks of its band, of the band before and
+    of the next one, both 0 if there is none. A block meets all blocks of its band and of
+    those two, and no others.
+    """
+    own, band = F.pmod(F.xxhash64("key"), F.col("blocks")), F.col("band")
+
+    def tiles(blocks: str, tile) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda o: F.struct(*tile(o)))
+
+    def meeting(blocks: str, tile) -> Column:
+        none = F.array().cast("array<struct<low:int,row:bigint,high:int,column:bigint>>")
+        return F.when(F.col(blocks) > 0, tiles(blocks, tile)).otherwise(none)
+
+    def named(low, row, high, column):
+        return low.alias("low"), row.alias("row"), high.alias("high"), column.alias("column")
+
+    where = F.concat(
+        tiles("blocks", lambda o: named(band, F.least(own, o), band, F.greatest(own, o))),
+        meeting("after", lambda o: named(band, own, band + 1, o)),
+        meeting("before", lambda o: named(band - 1, o, band, own)),
+    )
+    return placed.select("cluster", F.explode(where).alias("tile"), "key", "size", "cols")
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(key, root) of the sets linked to another."""
+    sets = sets.withColumn("band", _band(percent))
     clustered = stored(sets.join(_clusters(sets), "key"), "clusters")
-    load = clustered.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum(F.length("cols")) / (8 * TILE_INCIDENCES))
-        ).alias("blocks")
+    blocks = F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("size") / (8 * TILE_INCIDENCES)))
+    loads = clustered.groupBy("cluster", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("cols")).alias("size")
     )
-    load = stored(load, "load")
-    placed = clustered.join(load, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "key", "size", "cols"
+    whole = loads.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    whole = stored(whole.select("cluster", (blocks > 1).alias("cut")), "clusters-to-cut")
+    # A cluster has a band for each power of 1.25 at most, so its bands are few rows of a window.
+    near = Window.partitionBy("cluster").orderBy("band")
+    beside = {"before": (F.lag, -1), "after": (F.lead, 1)}
+    cut = loads.join(whole.filter("cut"), "cluster").select("cluster", "band", blocks.cast("long").alias("blocks"))
+    cut = cut.withColumns(
+        {
+            name: F.when(shift("band").over(near) == F.col("band") + by, shift("blocks").over(near)).otherwise(F.lit(0))
+            for name, (shift, by) in beside.items()
+        }
     )
-    links = tiles.groupBy("cluster", "row", "column").applyInArrow(_link(percent), "a long, b long")
-    if not load.filter("blocks > 1").limit(1).count():  # then each group lies in one tile, as a star
+    cut = stored(cut, "bands")
+    alone = {"band": F.lit(0), "blocks": F.lit(1).cast("long")} | {c: F.lit(0).cast("long") for c in beside}
+    small = clustered.join(whole.filter("not cut"), "cluster", "left_semi").withColumns(alone)
+    tiles = _tiles(small.unionByName(clustered.join(cut, ["cluster", "band"])))
+    links = tiles.groupBy("cluster", "tile").applyInArrow(_link(percent), "a long, b long")
+    if not whole.filter("cut").limit(1).count():  # then each group lies in one tile, as a star
         return links.select(F.col("a").alias("key"), F.col("b").alias("root"))
     found = components(links)
     return found.select(F.col("node").alias("key"), "root")
