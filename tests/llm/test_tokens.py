@@ -72,10 +72,35 @@ def test_words_are_shuffled_once_and_the_texts_never(docs_of, odd_rows, ranks):
 
 def test_decode_takes_ids_that_are_parts_of_characters_and_refuses_unknown_ones(spark, ranks):
     half = "é".encode()[:1]
-    df = spark.createDataFrame([([ranks[half]],), ([],), (None,)], "ids array<int>")
-    assert [bytes(r["decoded"]) for r in decode(df, ranks).collect()] == [half, b"", b""]
-    with pytest.raises(Exception, match="no bytes|out of bounds"):
-        decode(spark.createDataFrame([([60_000],)], "ids array<int>"), ranks).collect()
+    df = spark.createDataFrame([(1, [ranks[half]]), (2, []), (3, None)], "block int, ids array<int>")
+    got = decode(df, ranks).collect()
+    assert sorted((r["block"], bytes(r["decoded"])) for r in got) == [(1, half), (2, b""), (3, b"")]
+    for ids in ([60_000], [1, None]):
+        with pytest.raises(Exception, match="no bytes"):
+            decode(spark.createDataFrame([(ids,)], "ids array<int>"), ranks).collect()
+
+
+@pytest.mark.parametrize("block_ids", [1, 50, 1 << 20])
+def test_decode_joins_the_table_and_keeps_rows_and_columns(spark, docs_of, odd_rows, ranks, block_ids):
+    docs = docs_of(odd_rows, clashing=True)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, library.encode_ordinary(t or ""), "x", "y", [k]) for k, (i, t) in enumerate(odd_rows)]
+    names = "doc_id long, tokens array<int>, block string, row string, wanted array<int>"
+    df = spark.createDataFrame(rows, names)
+    out = decode(df, ranks, "tokens", block_ids)
+    assert out.columns == [*df.columns, "decoded"]
+    got = sorted((r["wanted"][0], r["doc_id"], r["tokens"], r["block"], bytes(r["decoded"])) for r in out.collect())
+    assert got == [(k, i, r[1], "x", (t or "").encode()) for k, ((i, t), r) in enumerate(zip(odd_rows, rows))]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "ArrowEvalPython" not in plan
+    both = encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=block_ids, decoded=True).collect()
+    assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in both) == sorted(
+        (i or -1, (t or "").encode()) for i, t in odd_rows
+    )
+
+
+def test_decode_of_nothing(spark, ranks):
+    assert decode(spark.createDataFrame([], "ids array<int>, DECODED int"), ranks).collect() == []
 
 
 def test_ranks_are_read_as_they_stand():

@@ -11,7 +11,14 @@ Three shuffles, none of them of the texts:
 3. The ids of a block's words meet its documents again, and every document is
    put together by position.
 
-All of it follows from the rows of a partition alone: a lost task can run again.
+Decoding joins the token-byte table: the distinct ids of a block are rows that meet
+their rows of the table, and the bytes found go back to the block, whose ids keep
+their positions. `encode` with `decoded` does so along the blocks it has anyway, so
+the documents are shuffled once; `decode` packs blocks of its own.
+
+All of it follows from the rows of a partition alone: a lost task can run again. A
+block is named by its contents, so if the input gives its rows in another order when
+it is run again, the job fails instead of mixing two runs up. Store such an input first.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -39,6 +47,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bytes of text in a block: what one task holds when it puts documents together.
 BLOCK_BYTES = 8 << 20
 
+#: Ids in a block of `decode`.
+BLOCK_IDS = 2 << 20
+
+#: In place of the part, in rows that bring a block the bytes of its tokens.
+TOKENS = -1
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to ids, from lines of base64 and id."""
@@ -83,12 +97,19 @@ def unpack_words(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+def block_name(made: int, contents: list[bytes]) -> int:
+    """Of the task's block number `made`; another if the block holds anything else."""
+    name = xxhash.xxh3_64(b"%d %d" % (TaskContext.get().partitionId(), made))
+    for part in contents:
+        name.update(part)
+    return name.intdigest() - (1 << 63)
+
+
 def _blocks_of(pattern: str, parts: int, block_bytes: int, schema: pa.Schema):
     """Texts to blocks; a block's words are ordered by the part that will merge them."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        task = TaskContext.get().partitionId() << 32
         made = 0
 
         def block(ids: list, counts: list[int], codes: list[np.ndarray], words: Distinct):
@@ -106,12 +127,13 @@ def _blocks_of(pattern: str, parts: int, block_bytes: int, schema: pa.Schema):
             at = [*first.tolist(), len(names)]
             asked = [pack_words([w for _, w, _ in names[a:b]]) for a, b in zip(at, at[1:], strict=False)]
             made += 1
+            packed = pack_numbers(number[flat])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([task + made - 1], pa.int64()),
+                    pa.array([block_name(made, [packed, *asked])], pa.int64()),
                     pa.array([pa.concat_arrays(ids)], schema.field("ids").type),
                     pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([pack_numbers(number[flat])], pa.binary()),
+                    pa.array([packed], pa.binary()),
                     pa.array([pack_numbers(place)], pa.binary()),
                     pa.array([asked], pa.list_(pa.binary())),
                     pa.array([used.tolist()], pa.list_(pa.int32())),
@@ -170,14 +192,75 @@ def _merge(ranks: dict[bytes, int]):
     return answer
 
 
-def _assemble(id_type: pa.DataType):
+def _ids_of(answers: pa.Table) -> pa.Table:
+    """The distinct ids of a block, as rows."""
+    ids = [np.unique(unpack_numbers(x)) for x in answers["merged"].to_pylist()]
+    ids = np.unique(np.concatenate(ids)).astype(np.int32)
+    block = np.full(len(ids), answers["block"][0].as_py(), np.int64)
+    return pa.table({"block": block, "id": ids})
+
+
+def _pack_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, id, token) packed, a row for each block of a batch."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        for block in np.unique(blocks).tolist():
+            own = batch.filter(pa.array(blocks == block))
+            ids, tokens = own.column("id").to_numpy(), own.column("token").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([TOKENS], pa.int32()),
+                    pa.array([block], pa.int64()),
+                    pa.array([pack_numbers(ids)], pa.binary()),
+                    pa.array([pack_words(tokens)], pa.binary()),
+                ],
+                names=["part", "block", "lengths", "merged"],
+            )
+
+
+def _join_tokens(wanted: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(block, id) with the token-byte table; Spark chooses the join by the table's size."""
+    tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())})
+    found = wanted.join(wanted.sparkSession.createDataFrame(tokens), "id").select("block", "id", "token")
+    return found.mapInArrow(_pack_tokens, "part int, block long, lengths binary, merged binary")
+
+
+def _bytes_of(flat: np.ndarray, sizes: np.ndarray, packed: pa.Table) -> pa.Array:
+    """What ids decode to, row after row: `sizes` are the offsets of rows, `packed` the tokens found."""
+    tokens = [w for x in packed["merged"].to_pylist() for w in unpack_words(x)]
+    ids = np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, packed["lengths"].to_pylist())])
+    order = np.argsort(ids)
+    ids = ids[order]
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    first, lengths = offsets(lengths)[:-1][order], lengths[order]
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    out, ends = [], [np.zeros(1, np.int64)]
+    for at in range(0, len(flat), 1 << 18):
+        some = flat[at : at + (1 << 18)]
+        where = np.searchsorted(ids, some)
+        if not len(ids) or (ids[np.minimum(where, len(ids) - 1)] != some).any():
+            raise ValueError("an id has no bytes in the table")
+        out.append(data[ranges(first[where], lengths[where])])
+        ends.append(ends[-1][-1] + np.cumsum(lengths[where]))
+    bounds = np.concatenate(ends)[sizes].astype(np.int32)
+    decoded = np.concatenate([np.zeros(0, np.uint8), *out])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(decoded)])
+
+
+def _assemble(id_type: pa.DataType, decoded: bool):
     def assemble(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part")  # as the block's words are ordered
+        if blocks.num_rows != 1:
+            raise RuntimeError("the input gave other rows when it was run again: store it first")
+        is_token = pc.equal(answers["part"], TOKENS)
+        tokens = answers.filter(is_token)
+        answers = answers.filter(pc.invert(is_token)).sort_by("part")  # as the block's words are ordered
         none = np.zeros(0, np.int64)
         lengths = np.concatenate([none, *map(unpack_numbers, answers["lengths"].to_pylist())])
         merged = [unpack_numbers(x).astype(np.int32) for x in answers["merged"].to_pylist()]
         merged = np.concatenate([none.astype(np.int32), *merged])
         place = unpack_numbers(blocks["place"][0].as_py())
+        if len(lengths) != len(place):
+            raise RuntimeError("the input gave other rows when it was run again: store it first")
         starts, lengths = offsets(lengths)[:-1][place], lengths[place]
         ids = blocks["ids"].combine_chunks().flatten()
         counts = blocks["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -190,7 +273,8 @@ def _assemble(id_type: pa.DataType):
             flat[filled : filled + len(got)] = got
             filled += len(got)
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.table([ids.cast(id_type), lists], names=["id", "ids"])
+        out = pa.table([ids.cast(id_type), lists], names=["id", "ids"])
+        return out.append_column("decoded", _bytes_of(flat, sizes, tokens)) if decoded else out
 
     return assemble
 
@@ -202,9 +286,12 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    decoded: bool = False,
 ) -> DataFrame:
     """(id_col, ids ARRAY<INT>) of every row, merged by `ranks` inside each match of `pattern`.
 
+    With `decoded`, a third column has the bytes that the ids decode to.
+
     Special tokens are ordinary text. A null or empty text has no ids, a null id
     is kept, repeated rows give repeated rows, an empty table an empty one.
     Columns other than the two are left out, whatever their names. A very long
@@ -237,52 +324,104 @@ def encode(
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     )
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
+        answered = answered.repartition(n, "block")
+        wanted = answered.groupBy("block").applyInArrow(_ids_of, "block long, id int")
+        answered = answered.unionByName(_join_tokens(wanted, ranks))
     encoded = (
         blocks.groupBy("block")
         .cogroup(answered.groupBy("block"))
-        .applyInArrow(_assemble(arrow.field("ids").type.value_type), schema)
+        .applyInArrow(_assemble(arrow.field("ids").type.value_type, decoded), schema)
     )
     return encoded.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """Add `decoded` BINARY: every id meets its row of the token-byte table, in order.
+def _rows_of(field: str, block_ids: int, schema: pa.Schema):
+    """Rows to blocks, each with its distinct ids."""
 
-    The table is as large as the vocabulary and no larger, so each task holds it
-    and looks ids up by position; no row moves. Bytes need not be valid UTF-8, as
-    an id may be part of a character. Null or empty ids decode to no bytes; an id
-    outside the table fails the job.
-    """
-    size = max(ranks.values()) + 1
-    lengths = np.zeros(size, np.int64)
-    bytes_of = [b""] * size
-    for token, i in ranks.items():
-        lengths[i], bytes_of[i] = len(token), token
-    data, first = b"".join(bytes_of), offsets(lengths)[:-1]
-
-    @F.arrow_udf(T.BinaryType())
-    def decoded(ids: pa.Array) -> pa.Array:
-        table, out = np.frombuffer(data, np.uint8), []
-        for row in ids:
-            if not row.is_valid or not len(row.values):
-                out.append(b"")
-                continue
-            flat = row.values.to_numpy(zero_copy_only=False)
-            if not (lengths[flat] > 0).all():
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+
+        def block(rows: list, ids: list) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            flat = pa.concat_arrays(ids)
+            if flat.null_count:
                 raise ValueError("an id has no bytes in the table")
-            out.append(table[ranges(first[flat], lengths[flat])].tobytes())
-        return pa.array(out, pa.binary())
+            flat = flat.to_numpy(zero_copy_only=False)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block_name(made, [np.ascontiguousarray(flat)])], pa.int64()),
+                    pa.ListArray.from_arrays([0, sum(map(len, rows))], pa.concat_arrays(rows), schema.field("rows").type),
+                    pa.array([np.unique(flat)], schema.field("wanted").type),
+                ],
+                schema=schema,
+            )
+
+        rows, ids, size = [], [], 0
+        for batch in pieces(batches, 128):
+            rows.append(batch.column("row"))
+            ids.append(pc.struct_field(rows[-1], field).flatten())
+            size += len(ids[-1])
+            if size >= block_ids:
+                yield block(rows, ids)
+                rows, ids, size = [], [], 0
+        if rows:
+            yield block(rows, ids)
+
+    return blocks
+
+
+def _decoded(field: str):
+    def decoded(key: tuple, blocks: pa.Table, tokens: pa.Table) -> pa.Table:
+        if blocks.num_rows != 1:
+            raise RuntimeError("the input gave other rows when it was run again: store it first")
+        rows = blocks["rows"].combine_chunks().flatten()
+        lists = pc.struct_field(rows, field)
+        sizes = offsets(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        found = _bytes_of(lists.flatten().to_numpy(zero_copy_only=False), sizes, tokens)
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(rows)]).append_column("decoded", found)
+
+    return decoded
 
-    return encoded.withColumn("decoded", decoded(F.col(ids_col)))
+
+def decode(
+    encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", block_ids: int = BLOCK_IDS
+) -> DataFrame:
+    """Add `decoded` BINARY: the distinct ids of blocks of rows join the token-byte table.
+
+    All columns are kept; one named `decoded` is replaced. Bytes need not be valid
+    UTF-8, as an id may be part of a character. Null or empty ids decode to no bytes;
+    an id that is null or outside the table fails the job. Repeated rows stay, an
+    empty table gives an empty one, and a very long row is a block of its own.
+    """
+    spark = encoded.sparkSession
+    bounded_batches(spark)
+    kept = [c for c in encoded.columns if c.lower() != "decoded" or c == ids_col]
+    rows = encoded.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    row_type = rows.schema["row"].dataType
+    id_type = row_type[ids_col].dataType.elementType
+    schema = T.StructType(
+        [
+            T.StructField("block", T.LongType()),
+            T.StructField("rows", T.ArrayType(row_type)),
+            T.StructField("wanted", T.ArrayType(id_type)),
+        ]
+    )
+    blocks = rows.mapInArrow(_rows_of(ids_col, block_ids, to_arrow_schema(schema)), schema)
+    blocks = blocks.repartition(shuffle_partitions(spark), "block")
+    tokens = _join_tokens(blocks.select("block", F.explode("wanted").alias("id")), ranks)
+    out = T.StructType([*row_type.fields, T.StructField("decoded", T.BinaryType())])
+    return blocks.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(_decoded(ids_col), out)
 
 
 def bpe_report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document the number of ids and digests of the ids and of what they decode to."""
-    encoded = encode(docs, ranks, pattern).select(
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return encode(docs, ranks, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    out = decode(encoded, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
