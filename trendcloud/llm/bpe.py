@@ -50,6 +50,9 @@ BLOCK_BYTES = 8 << 20
 #: Ids in a block of `decode`.
 BLOCK_IDS = 2 << 20
 
+#: Token-byte tables up to this size (with 64 bytes a row) are broadcast.
+TABLE_BYTES = 32 << 20
+
 #: In place of the part, in rows that bring a block the bytes of its tokens.
 TOKENS = -1
 
@@ -219,9 +222,12 @@ def _pack_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_tokens(wanted: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, id) with the token-byte table; Spark chooses the join by the table's size."""
-    tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())})
-    found = wanted.join(wanted.sparkSession.createDataFrame(tokens), "id").select("block", "id", "token")
+    """(block, id) with the token-byte table, which is broadcast if its size is within `TABLE_BYTES`."""
+    rows = pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())})
+    tokens = wanted.sparkSession.createDataFrame(rows)
+    if rows.nbytes + 64 * len(ranks) <= TABLE_BYTES:
+        tokens = F.broadcast(tokens)
+    found = wanted.join(tokens, "id").select("block", "id", "token")
     return found.mapInArrow(_pack_tokens, "part int, block long, lengths binary, merged binary")
 
 
