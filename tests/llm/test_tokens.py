@@ -68,6 +68,12 @@ def test_words_are_shuffled_once_and_the_texts_never(docs_of, odd_rows, ranks):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+    both = encode(docs_of(odd_rows), ranks, public_tokenizers.PATTERN, decoded=True)
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    union = plan[plan.index("Union") :].splitlines()
+    assert "ShuffleQueryStage" in union[1] and "Exchange" not in plan[: plan.index("Union")].splitlines()[-1]
+    assert plan.count("+- Exchange hashpartitioning") == 4  # blocks, words, answers, tokens
 
 
 def test_decode_takes_ids_that_are_parts_of_characters_and_refuses_unknown_ones(spark, ranks):

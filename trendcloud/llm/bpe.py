@@ -334,7 +334,8 @@ def encode(
         schema = schema.add("decoded", T.BinaryType())
         answered = answered.repartition(n, "block")
         wanted = answered.groupBy("block").applyInArrow(_ids_of, "block long, id int")
-        answered = answered.unionByName(_join_tokens(wanted, ranks))
+        # Both sides lie by block, so the union does and its rows are not shuffled again.
+        answered = answered.unionByName(_join_tokens(wanted, ranks).repartition(n, "block"))
     encoded = (
         blocks.groupBy("block")
         .cogroup(answered.groupBy("block"))
