@@ -4,12 +4,15 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trendcloud.operators import admission, segments
+from trendcloud.streaming import admission as streaming
 from trendcloud.streaming.admission import admission_stream, audit_files, finish_stream, read_verdicts, verdict_stream
 
 START = datetime(2024, 1, 1)
@@ -270,6 +273,74 @@ def test_each_step_writes_in_proportion_to_its_batch(spark, tmp_path):
     assert len(steps) >= 20 and max(steps[10:20]) < 1.5 * max(steps[2:8])
 
 
+class Messages:
+    """The state of one group, as a handle, a map and the time; counts what is asked of it."""
+
+    def __init__(self):
+        self.maps, self.timers, self.sent = {}, set(), 0
+
+    def getMapState(self, name, *_):
+        held, state = self.maps.setdefault(name, {}), SimpleNamespace()
+        calls = {"getValue": held.get, "containsKey": held.__contains__, "updateValue": held.__setitem__,
+                 "removeKey": held.pop, "keys": lambda: list(held)}
+        for call, does in calls.items():
+            setattr(state, call, lambda *a, does=does: (self.count(), does(*a))[1])
+        return state
+
+    def count(self):
+        self.sent += 1
+
+    def registerTimer(self, at):
+        self.count()
+        assert at not in self.timers
+        self.timers.add(at)
+
+    def batch(self, judge, frames, mark):
+        judge.init(self)
+        time = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+        out = list(judge.handleInputRows((0,), iter(frames), time))
+        for at in sorted(t for t in self.timers if t <= mark):
+            out += judge.handleExpiredTimer((0,), time, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+            self.timers.remove(at)
+        return {r[0][0]: r[1] for f in out for r in zip(f["packed"], f["admitted"])}
+
+
+def frame_of(hits):
+    return pd.DataFrame([(f"k{k}", at, i, [str(i)]) for i, k, at in hits], columns=["name", "at", "tie", "packed"])
+
+
+def test_state_is_asked_for_few_things_whatever_the_requests():
+    """A week of 20 keys in one file: each request has a slice of the lateness to itself."""
+    state, hour = Messages(), 3_600_000
+    judge = streaming.Judge(5, 86_400 * 10**6, hour // 16)
+    hits = [(i, i % 20, i * 600 * 10**6) for i in range(1000)]
+    assert state.batch(judge, [frame_of(hits)], 0) == {}
+    assert len(state.batch(judge, [], 1000 * 600_000)) == 1000
+    assert state.sent < 100
+
+
+@pytest.mark.parametrize("bundle, pending", [(1, 1), (3, 40), (1 << 12, 1 << 18)])
+def test_verdicts_hold_however_requests_are_bundled(monkeypatch, bundle, pending):
+    monkeypatch.setattr(streaming, "BUNDLE_ROWS", bundle)
+    monkeypatch.setattr(streaming, "PENDING_ROWS", pending)
+    rng, lateness = random.Random(9), 160_000
+    hits = [(i, rng.randrange(7), i * 10**6 + rng.randrange(90 * 10**6)) for i in range(1500)]
+    want = {}
+    for k in range(7):
+        own = sorted((at, i) for i, key, at in hits if key == k)
+        walk = admission.Admission(5, 60 * 10**6)
+        want |= {str(i): bool(walk.admit(np.array([at]), np.array([1]))[0]) for at, i in own}
+    state, judge, got, newest = Messages(), streaming.Judge(5, 60 * 10**6, 10_000), {}, 0
+    while hits:
+        n = rng.choice([5, 30, 400])
+        part, hits = hits[:n], hits[n:]
+        a, b = sorted(rng.randrange(n) for _ in range(2))
+        got |= state.batch(judge, [frame_of(p) for p in (part[:a], part[a:b], part[b:]) if p], max(0, newest // 1000 - lateness))
+        newest = max(newest, *(h[2] for h in part))
+    got |= state.batch(judge, [], 10**7)
+    assert got == want and not state.maps["waiting"]
+
+
 def test_stream_keeps_what_it_cannot_judge_and_all_types(spark, tmp_path):
     kind = LOG + ", price decimal(20,4), bytes binary, tags array<struct<a:bigint,b:string>>, near double, day date"
     more = (Decimal("12345678901234.5678"), b"\x00\xff", [(2**60, None), (1, "\u00e9")], 0.1, START.date())
