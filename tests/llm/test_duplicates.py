@@ -184,6 +184,22 @@ def test_windows_of_overlapping_passages(docs_of, monkeypatch):
     assert as_rows(got.select("doc_id", "n_words", "n_removed", "kept_text")) == brute_cut(rows, 10)
 
 
+def test_the_sketch_follows_the_texts_not_the_partitions(spark, docs_of, monkeypatch):
+    """Every worker holds the sketch: a small table dealt over many partitions has a small one."""
+    widths, old = [], substring_dedup.repeated_cells
+    monkeypatch.setattr(substring_dedup, "repeated_cells", lambda t, length, cells: (widths.append(cells), old(t, length, cells))[1])
+    shared = " ".join(words(5, 60))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in cut_repeats(docs_of([(1, shared), (2, "x " + shared), (3, None)])).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert widths == [CHUNK] and got == {1: 0, 2: 60, 3: 0}
+    assert substring_dedup.sketch_cells(864_000_000) == 1 << 26
+    assert substring_dedup.sketch_cells(1 << 40) == substring_dedup.MOST_CELLS
+
+
 def test_no_window_is_lost_when_every_cell_is_shared(docs_of, odd_rows, monkeypatch):
     """With a sketch of one bit in all, everything is estimated as repeated; the result is the same."""
     monkeypatch.setattr(substring_dedup, "_cells", lambda a, cells: (a * np.uint64(0), a * np.uint64(0)))

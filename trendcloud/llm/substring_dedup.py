@@ -17,9 +17,9 @@ A window is `length` consecutive words. Three passes over the texts:
    window estimated by mistake stands alone in its group and does nothing.
 3. *Cut.* Covered words of each document meet its text again.
 
-The merged sketch is the one thing sent to all tasks; its width follows the
-session's shuffle partitions up to `MOST_CELLS` (two rows of 32 MB). Beyond that
-more windows are estimated as repeated and pass 2 has more to do; its result
+The merged sketch is the one thing sent to all tasks; its width follows the bytes
+of the texts, which are summed up first, up to `MOST_CELLS` (two rows of 32 MB). Beyond
+that more windows are estimated as repeated and pass 2 has more to do; its result
 stays the same.
 """
 
@@ -51,8 +51,8 @@ from trendcloud.llm.common import (
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 50
-#: Cells a row of the sketch has for each shuffle partition, and at most (powers of two).
-CELLS, MOST_CELLS = 1 << 20, 1 << 28
+#: Cells a row of the sketch has at least and at most (powers of two), and the bytes of text for each.
+CELLS, MOST_CELLS, CELL_BYTES = 1 << 20, 1 << 28, 16
 #: Cells whose counts one task merges at a time.
 CHUNK = 1 << 20
 #: Windows whose smallest document a task remembers.
@@ -368,15 +368,24 @@ def _cover(length: int):
     return cover
 
 
+def sketch_cells(text_bytes: int) -> int:
+    """Cells of a row of the sketch: as many are full however the texts are dealt out.
+
+    About one anchor comes from 80 bytes of text. Every worker holds the sketch, so
+    it must not be wide just because there are many partitions.
+    """
+    return min(MOST_CELLS, max(CELLS, 1 << (text_bytes // CELL_BYTES).bit_length()))
+
+
 def covered_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """(id, mark, spans): covered words of every document that has any; `mark` is xxhash64 of its text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = shuffle_partitions(spark)
-    cells = min(MOST_CELLS, CELLS * (1 << (n - 1).bit_length()))
     chosen = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
+    cells = sketch_cells(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     sketch = spark.sparkContext.broadcast(repeated_cells(chosen.select("text"), length, cells))
     dealt = chosen.withColumn("mark", F.xxhash64("text")).mapInArrow(
         _deal(length, cells, 2 * n, sketch),
