@@ -287,6 +287,10 @@ class Messages:
             setattr(state, call, lambda *a, does=does: (self.count(), does(*a))[1])
         return state
 
+    def getValueState(self, name, *_):
+        held = self.getMapState(name)
+        return SimpleNamespace(exists=lambda: held.containsKey(0), get=lambda: held.getValue(0), update=lambda v: held.updateValue(0, v))
+
     def count(self):
         self.sent += 1
 
