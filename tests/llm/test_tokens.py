@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from trendcloud.llm import token_files
 from trendcloud.llm.bpe import bpe_report, decode, encode, read_ranks
 from trendcloud.llm.token_counts import odd_characters, token_counts, whole_tokens
 from trendcloud.llm.token_files import FileReader, read_token_files, write_token_files
@@ -160,6 +161,47 @@ def test_files_hold_the_library_s_ids_in_order(spark, odd_rows, written):
     assert sorted(bytes(r["tokens"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 50, 1 << 21])
+def test_ids_are_the_library_s_however_texts_are_cut(monkeypatch, block_bytes):
+    """Characters and strings that are cut, lower-cased or composed in ways of their own, side by side."""
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", block_bytes)
+    vocabulary = text_of("word_bpe_49k.json")
+    some = [*"aAzZ09'’ \t\n\r\x0b\x0c\x1c\x1f\x7f\x00\x85\xa0!.,-_<|>éÉŸÿ×÷ßİıŉĿŀſǰJ\u030c\u0301KÅﬁςσ数한½²٣\u200d\u2028가"]
+    some += ["'s", "'T", "'re", "don't", "<|startoftext|>", "<|endoftext|>", "<|", " the ", "THE", "\U0001f600"]
+    chosen = np.random.default_rng(9)
+    texts = ["".join(chosen.choice(some, n)) for n in chosen.integers(0, 40, 4000)]
+    chars = [chr(c) for c in range(0x3000)]
+    texts += ["", " ", *(f"x {c}'s a{c}b {c}1 {c}{c} 1{c}!{c} \n{c} A{c}" for c in chars)]
+    library = Tokenizer.from_str(vocabulary)
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    got = list(token_files.WordIds(vocabulary).of(enumerate(t.encode() for t in texts)))
+    assert [i for i, _ in got] == list(range(len(texts)))
+    assert [np.frombuffer(ids, "<u4").tolist() for _, ids in got] == want
+
+
+def test_spellings_of_a_word_are_looked_up_as_one():
+    ids = token_files.WordIds(text_of("word_bpe_49k.json"))
+    before = len(ids)
+    list(ids.of([(1, "Größe größe, GRÖSSE größe. (Größe) größe!".encode()), (2, b"word Word, WORD. word; 'word'")]))
+    # größe, grösse, word, 'word' as it stands, and the signs.
+    assert len(ids) - before == 4 + len([",", ".", "(", ")", "!", ";"])
+
+
+@pytest.mark.parametrize("text", [b"\xc3A x", b"a\xa9", b"ok \xff0", b"\xe2\x80", b"\xc3"])
+def test_texts_that_are_not_utf8_are_refused(text):
+    with pytest.raises(UnicodeDecodeError):
+        list(token_files.WordIds(text_of("word_bpe_49k.json")).of([(1, text)]))
+
+
+def test_another_pattern_leaves_words_whole():
+    vocabulary = text_of("word_bpe_49k.json").replace(r"[\\p{N}]|", r"[\\p{N}]+|")
+    text = "In 1999 the B-52's cost 12.50, a1b22"
+    ((_, got),) = token_files.WordIds(vocabulary).of([(1, text.encode())])
+    want = Tokenizer.from_str(vocabulary).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(got, "<u4").tolist() == want
+    assert want != Tokenizer.from_str(text_of("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_reading_some_documents_opens_only_their_frames(spark, written, monkeypatch):
     got = {r["doc_id"]: bytes(r["tokens"]) for r in read_token_files(spark, written, only=[9, 12, 99]).collect()}
     whole = {r["doc_id"]: bytes(r["tokens"]) for r in read_token_files(spark, written).collect()}

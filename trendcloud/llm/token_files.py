@@ -22,7 +22,8 @@ import re
 import struct
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trendcloud.llm.common import bounded_batches, offsets, pieces, shuffle_partitions, utf8
+from trendcloud.llm.common import bounded_batches, offsets, pieces, ranges, shuffle_partitions, utf8
 from trendcloud.llm.token_counts import byte_letters, special_strings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME_BYTES = 1 << 20
-#: Distinct words whose ids a task remembers before it forgets all of them.
+#: Distinct words and pieces whose ids a task remembers before it forgets all of them.
 REMEMBERED = 1 << 19
+#: Bytes of texts that are cut at once.
+BLOCK_BYTES = 1 << 21
+
+#: Fixed: how texts are cut after they are lower-cased (the public pattern of this format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 #: Latin letters that need no composition and have one lower-case letter each.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
 
+# Kinds of bytes.
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE = 0x184D2A5E
 SKIPPABLE_DOCUMENTS = 0x184D2A50
@@ -61,13 +70,17 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 class WordIds(dict):
     """The ids of a text's words, as bytes, of a tokenizer that drops white space and keeps words apart.
 
-    Words are remembered as they stand in the text, and so are the pieces that
-    the tokenizer cuts them into; only a piece not seen before is merged.
+    Blocks of texts are cut as arrays of bytes: a plain word into its lower-cased
+    pieces, one of the tokenizer's pattern each; any other word stands whole, as it
+    is in the text. Each distinct one of a block is looked up, and what has not been
+    seen before is cut by the tokenizer's own steps and merged.
     """
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(32)]
         spec = json.loads(tokenizer_json)
         _check(spec)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -78,19 +91,29 @@ class WordIds(dict):
         self.pieces: dict[str, bytes] = {}
         special = sorted(special_strings(spec), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, special))})").split if special else None
-        self.special = {
-            t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens") or []
-        }
-        self.signs = {s[:2].encode() for s in special}
+        # No text holds the byte 255, so these words stand for special strings alone.
+        self.marks = {s: b" \xff%d " % i for i, s in enumerate(special)}
+        ids = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.special = {mark.strip(): struct.pack("<I", ids[s]) for s, mark in self.marks.items()}
+        self.signs = {s[:2].encode() for s in special} | {b"\xff"}
+        self.space = re.compile(rb"[\t-\r ]").search
+        self.kinds, self.low, self.pairs = _byte_tables(pattern == PATTERN)
+        self._forget()
+
+    def _merge(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenize(piece)]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            merged = self.tokenizer.model.tokenize(piece)
-            ids = self.pieces[piece] = struct.pack(f"<{len(merged)}I", *(t.id for t in merged))
+            ids = self.pieces[piece] = self._merge(piece)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():
+            ids = self[word] = self._merge(word.lower().decode())
+            return ids
         text = word.decode()
         ascii_ = text.isascii()
         if (ascii_ and text.isprintable()) or self.plain(text):
@@ -101,20 +124,107 @@ class WordIds(dict):
         else:
             normal = self.tokenizer.normalizer.normalize_str(text)
             found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        ids = self[word] = b"".join(map(self._piece, found))
+        ids = self[word] = self._merge(found[0]) if len(found) == 1 else b"".join(map(self._piece, found))
         return ids
 
-    def of(self, text: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.pieces.clear()
-        if self.cut and any(s in text for s in self.signs):
-            parts = self.cut(text.decode())
-            return b"".join(
-                self.special[p] if i % 2 else b"".join(map(self.__getitem__, p.encode().split()))
-                for i, p in enumerate(parts)
-            )
-        return b"".join(map(self.__getitem__, text.split()))
+    def of(self, docs: Iterable[tuple[int | None, bytes]]) -> Iterator[tuple[int | None, bytes]]:
+        """(key, ids) of each (key, text), in the same order."""
+        ids: list[bytes] = []
+        for block in self._blocks(docs):
+            if len(self) > REMEMBERED:
+                self._forget()
+            keys, parts, last = zip(*block, strict=True)
+            for key, part, whole in zip(keys, self._block(parts), last, strict=True):
+                ids.append(part)
+                if whole:
+                    yield key, b"".join(ids)
+                    ids = []
+
+    def _forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+        self.update(self.special)
+
+    def _blocks(self, docs: Iterable[tuple[int | None, bytes]]) -> Iterator[list[tuple[int | None, bytes, bool]]]:
+        """(key, part of its text, is it the last one) in blocks; long texts are cut at white space."""
+        block, size = [], 0
+        for key, text in docs:
+            if self.cut and any(s in text for s in self.signs):
+                parts = self.cut(text.decode())
+                text = b"".join(self.marks[p] if i % 2 else p.encode() for i, p in enumerate(parts))
+            at, last = 0, False
+            while not last:
+                space = self.space(text, at + BLOCK_BYTES)
+                end = space.start() if space else len(text)
+                last = not space
+                block.append((key, text[at:end], last))
+                size += end - at + 64  # a row without text weighs something too
+                at = end
+                if size >= BLOCK_BYTES:
+                    yield block
+                    block, size = [], 0
+        if block:
+            yield block
+
+    def _block(self, parts: tuple[bytes, ...]) -> list[bytes]:
+        """The ids of each part: those of the distinct words and pieces, put in place."""
+        raw = np.frombuffer(b"\n%b\n" % b"\n".join(parts), np.uint8)
+        kind, low = self._kinds(raw)
+        begin = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        held = kind[1:] != SPACE
+        places = np.flatnonzero(begin & held) + 1
+        ends = np.append(np.flatnonzero(begin[held]), np.count_nonzero(held)).astype(np.int32)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(low[1:][held])]
+        found = pa.Array.from_buffers(pa.binary(), len(places), buffers).dictionary_encode()
+        words = [self[w] for w in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        which = found.indices.to_numpy()
+        counts = sizes[which]
+        ids = np.frombuffer(b"".join(words), "<u4")[ranges(offsets(sizes)[which], counts)].tobytes()
+        heads = 1 + offsets(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        cuts = 4 * offsets(counts)[np.searchsorted(places, heads)]
+        return [ids[a:b] for a, b in pairwise(cuts.tolist())]
+
+    def _kinds(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kind of every byte, and the bytes with plain words in lower case."""
+        kind, low = self.kinds[raw], self.low[raw]
+        leads = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+        if len(leads):
+            follow = raw[leads + 1]
+            pair = self.pairs[raw[leads] & 7, follow & 63]
+            pair[follow >> 6 != 2] = 0
+            low[leads], low[leads + 1] = pair.T
+            kind[leads[pair[:, 0] == 0]] = WHOLE
+        odd = kind == WHOLE
+        if odd.any():
+            words = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+            odd = np.repeat(np.logical_or.reduceat(odd, words), np.diff(words, append=len(raw)))
+            rest = kind[words[0] :]
+            rest[odd & (rest != SPACE)] = WHOLE
+            low = np.where(kind == WHOLE, raw, low)
+        return kind, low
+
+
+def _byte_tables(cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each byte, its lower case, and that of the plain letters of two bytes (0: not plain).
+
+    A word with any byte of kind `WHOLE` is not cut; without `cut` none is.
+    """
+    kinds = np.full(256, WHOLE, np.uint8)
+    if cut:
+        kinds[0x21:0x7F] = OTHER
+        kinds[ord("'")] = WHOLE  # may begin a contraction
+        for first, last in ("az", "AZ", "\x80\xbf", "\xc3\xc5"):
+            kinds[ord(first) : ord(last) + 1] = LETTER
+        kinds[ord("0") : ord("9") + 1] = DIGIT
+    kinds[[*b"\t\n\v\f\r "]] = SPACE
+    low = np.arange(256, dtype=np.uint8)
+    low[ord("A") : ord("Z") + 1] += 32
+    pairs = np.zeros((8, 64, 2), np.uint8)
+    for c in filter(re.compile(f"[{LETTERS}]").match, map(chr, range(0xC0, 0x180))):
+        lead, follow = c.encode()
+        pairs[lead & 7, follow & 63] = [*c.lower().encode()]
+    return kinds, low, pairs
 
 
 def _check(spec: dict) -> None:
@@ -222,17 +332,19 @@ def _write(folder: str, tokenizer_json: str, end_id: int, frame_bytes: int):
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.zst"
         writer = out = None
         low = high = None
-        for batch in pieces(batches, 256):
+        rows = (
+            row
+            for batch in pieces(batches, 256)
+            for row in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)
+        )
+        for doc_id, tokens in ids.of(rows):
             if writer is None:
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(f"{path}/{name}", compression=None)
                 writer = FileWriter(out, frame_bytes)
-            keys = batch.column(0).to_pylist()
-            for doc_id, text in zip(keys, utf8(batch.column(1)), strict=True):
-                writer.add(doc_id, ids.of(text) + end)
-            known = [k for k in keys if k is not None]
-            if known:
-                low, high = known[0] if low is None else low, known[-1]
+            writer.add(doc_id, tokens + end)
+            if doc_id is not None:
+                low, high = doc_id if low is None else low, doc_id
         if writer is None:
             return
         writer.close()
