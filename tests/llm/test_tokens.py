@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -187,6 +188,19 @@ def test_spellings_of_a_word_are_looked_up_as_one():
     assert len(ids) - before == 4 + len([",", ".", "(", ")", "!", ";"])
 
 
+def test_a_worker_s_memory_does_not_grow_with_its_tasks():
+    """A reused worker makes one `WordIds` after another; none leaves anything behind."""
+    vocabulary = text_of("word_bpe_49k.json")
+    letters = np.random.default_rng(4).integers(ord("a"), ord("z") + 1, (20_000, 9), np.uint8)
+    text = b" ".join(row.tobytes() for row in letters)
+    sizes = []
+    for _ in range(30):
+        list(token_files.WordIds(vocabulary).of([(1, text)]))
+        with open("/proc/self/statm") as file:
+            sizes.append(int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE"))
+    assert sizes[-1] - sizes[4] < 40 << 20
+
+
 @pytest.mark.parametrize("text", [b"\xc3A x", b"a\xa9", b"ok \xff0", b"\xe2\x80", b"\xc3"])
 def test_texts_that_are_not_utf8_are_refused(text):
     with pytest.raises(UnicodeDecodeError):

@@ -79,6 +79,8 @@ class WordIds(dict):
     def __init__(self, tokenizer_json: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # The library's own cache of merged words outlives the tokenizer in a reused worker.
+        self.tokenizer.model._resize_cache(0)
         self.tokenize = self.tokenizer.model.tokenize
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(32)]
         spec = json.loads(tokenizer_json)
